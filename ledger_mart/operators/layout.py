@@ -1,25 +1,37 @@
-"""Row placement before a date-partitioned write."""
+"""Row placement before a date-partitioned write.
+
+Written as scanned, every task makes a file for every date it meets. One shuffle of
+the rows to be written bounds the number of files, and adaptive execution sizes the
+writing tasks: small shuffle partitions share a task and large ones, be it one date
+with a third of the table, are split over as many tasks as they need. That splitting
+is adaptive execution's, so where it is switched off the rows stay as scanned.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.schema import DATE
+from ledger_mart.schema import DATE, TXN_NO
 
+SPLITS_HOT_PARTITIONS = [
+    "spark.sql.adaptive.enabled",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled",
+]
 
-def gather_by_date(df: DataFrame) -> DataFrame:
-    """Bring the rows of a date together without tying a date to one task.
-
-    Written as scanned, every task makes a file for every date it meets. Here the
-    rows are shuffled by date and adaptive execution sizes the result: small dates
-    share a task, and a date above the advisory size, be it a third of the table,
-    is split over as many tasks as it needs. That splitting is adaptive
-    execution's, so without it the rows stay as scanned.
-    """
+
+def _rebalance(df: DataFrame, key: str) -> DataFrame:
     conf = df.sparkSession.conf
-    if conf.get("spark.sql.adaptive.enabled", "true") != "true":
+    if any(conf.get(switch, "true") != "true" for switch in SPLITS_HOT_PARTITIONS):
         return df
-    if conf.get("spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled", "true") != "true":
-        return df
-    return df.hint("rebalance", F.col(DATE))
+    return df.hint("rebalance", F.col(key))
+
+
+def gather_by_date(df: DataFrame) -> DataFrame:
+    """For many dates: each task writes few of them."""
+    return _rebalance(df, DATE)
+
+
+def spread_one_date(df: DataFrame) -> DataFrame:
+    """For a single date: tasks of even size, however the raw files held its rows."""
+    return _rebalance(df, TXN_NO)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledger_mart.functions.columns import flag_total, row_total
 from ledger_mart.operators.audit import partition_audit
-from ledger_mart.operators.layout import gather_by_date
+from ledger_mart.operators.layout import gather_by_date, spread_one_date
 from ledger_mart.operators.transform import (
     add_flag,
     clean,
@@ -27,7 +27,7 @@ from ledger_mart.schema import DATE
 from ledger_mart.sinks.fact import replace_dates, replace_table
 from ledger_mart.sources.fact import read_fact_partitions
 from ledger_mart.sources.raw import read_raw
-from ledger_mart.storage import path_exists
+from ledger_mart.storage import path_exists, require_disjoint
 
 FlagStep = Callable[[DataFrame], DataFrame]
 
@@ -55,13 +55,14 @@ def daily_job(
     A date without rows leaves the table as it is, and ends normally.
     """
     checked_batch_date(batch_date)
+    require_disjoint(spark, input_path, output_path)
     batch = read_raw(spark, input_path).transform(filter_batch_date, batch_date)
     rows = flagged = 0
     if not _nothing_to_write(spark, batch, output_path):
         seen = Observation("daily job")
         facts = batch.transform(clean).transform(flag)
         if gather:
-            facts = facts.transform(gather_by_date)
+            facts = facts.transform(spread_one_date)
         replace_dates(
             facts.observe(seen, row_total().alias("rows"), flag_total().alias("flagged")),
             output_path,
@@ -93,6 +94,7 @@ def backfill(
     if not batch_dates:
         raise ValueError("no batch dates")
     wanted = sorted({checked_batch_date(d) for d in batch_dates})
+    require_disjoint(spark, input_path, output_path)
     batch = read_raw(spark, input_path).transform(filter_batch_dates, wanted)
     counts = {}
     if not _nothing_to_write(spark, batch, output_path):
@@ -132,6 +134,7 @@ def full_load(
     the table alone. ``gather`` off skips the shuffle by date, which is right where
     each raw file holds few dates.
     """
+    require_disjoint(spark, input_path, output_path)
     raw = read_raw(spark, input_path)
     if not allow_empty and raw.isEmpty():
         return RunReport(None, "no_data", 0, input_path, output_path)

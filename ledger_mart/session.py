@@ -10,9 +10,10 @@ from pyspark.sql import SparkSession
 PROFILE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Sizes the tasks of the writing stage, and with them the Parquet files.
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # Sizes of the writing tasks, and with them of the Parquet files: at most the
+    # first, and less, down to the second, where cores would be idle.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16m",
 }
 
 
