@@ -30,10 +30,18 @@ def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="ledger_mart", description=__doc__)
     jobs = parser.add_subparsers(dest="job", required=True)
 
-    def job(name: str, text: str, *, export: bool = False) -> argparse.ArgumentParser:
+    def job(
+        name: str, text: str, *, load: bool = True, export: bool = False
+    ) -> argparse.ArgumentParser:
         sub = jobs.add_parser(name, help=text)
         sub.add_argument("--input", required=True, help="path the job reads")
         sub.add_argument("--output", required=True, help="table the job writes")
+        if load:
+            sub.add_argument(
+                "--as-scanned",
+                action="store_true",
+                help="no shuffle before the write; for raw files of few dates each",
+            )
         if export:
             sub.add_argument("--export", required=True, help="mart to export to")
         return sub
@@ -54,31 +62,32 @@ def _parser() -> argparse.ArgumentParser:
     refreshing(job("full-export", "replace the fact table and the mart", export=True))
     dates = job("backfill", "load the given dates in one scan")
     dates.add_argument("--dates", required=True, nargs="+", type=_day)
-    dated(job("export-date", "export one date of a fact table"))
-    job("export", "export a whole fact table")
+    dated(job("export-date", "export one date of a fact table", load=False))
+    job("export", "export a whole fact table", load=False)
     audit = jobs.add_parser("audit", help="rows per date of a fact table")
     audit.add_argument("--input", required=True)
     return parser
 
 
 def _run(spark: SparkSession, args: argparse.Namespace) -> Sequence[RunReport]:
+    source, target = args.input, args.output
+    layout = {"gather": not getattr(args, "as_scanned", False)}
+    refresh = {"allow_empty": not getattr(args, "keep_if_empty", False)}
     match args.job:
         case "daily":
-            return [daily_job(spark, args.input, args.output, args.date)]
+            return [daily_job(spark, source, target, args.date, **layout)]
         case "daily-export":
-            return daily_end_to_end(spark, args.input, args.output, args.export, args.date)
+            return daily_end_to_end(spark, source, target, args.export, args.date, **layout)
         case "full":
-            return [full_load(spark, args.input, args.output, not args.keep_if_empty)]
+            return [full_load(spark, source, target, **refresh, **layout)]
         case "full-export":
-            return full_end_to_end(
-                spark, args.input, args.output, args.export, not args.keep_if_empty
-            )
+            return full_end_to_end(spark, source, target, args.export, **refresh, **layout)
         case "backfill":
-            return backfill(spark, args.input, args.output, args.dates)
+            return backfill(spark, source, target, args.dates, **layout)
         case "export-date":
-            return [export_partition(spark, args.input, args.output, args.date)]
+            return [export_partition(spark, source, target, args.date)]
         case _:
-            return [export_full(spark, args.input, args.output)]
+            return [export_full(spark, source, target)]
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -18,13 +18,14 @@ def daily_end_to_end(
     export_path: str,
     batch_date: str,
     flag: FlagStep = add_flag,
+    gather: bool = True,
 ) -> tuple[RunReport, RunReport]:
     """Daily load, output gate, export of the date: the load's and export's report.
 
     A date without rows passes as long as the table has partitions at all; its
     export then says whether an earlier load of the date was there.
     """
-    loaded = daily_job(spark, input_path, fact_path, batch_date, flag)
+    loaded = daily_job(spark, input_path, fact_path, batch_date, flag, gather)
     output_gate(spark, fact_path)
     return loaded, export_partition(spark, fact_path, export_path, batch_date)
 
@@ -35,7 +36,8 @@ def full_end_to_end(
     fact_path: str,
     export_path: str,
     allow_empty: bool = True,
+    gather: bool = True,
 ) -> tuple[RunReport, RunReport]:
     """Full load, then export of the whole table."""
-    loaded = full_load(spark, input_path, fact_path, allow_empty)
+    loaded = full_load(spark, input_path, fact_path, allow_empty, gather)
     return loaded, export_full(spark, fact_path, export_path)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledger_mart.functions.columns import flag_total, row_total
-from ledger_mart.operators.audit import partition_audit
 from ledger_mart.operators.layout import gather_by_date, spread_one_date
 from ledger_mart.operators.transform import (
     add_flag,
@@ -88,8 +87,8 @@ def backfill(
 ) -> list[RunReport]:
     """Load many dates in one scan and one write.
 
-    The table ends up as after a daily job for each date: dates without rows keep
-    what they had. One report per requested date, in date order.
+    Table and reports are as after a daily job for each date, in date order: dates
+    without rows keep what they had.
     """
     if not batch_dates:
         raise ValueError("no batch dates")
@@ -106,15 +105,19 @@ def backfill(
         replace_dates(facts.observe(seen, F.collect_set(DATE).alias("dates")), output_path)
         written = [d.isoformat() for d in seen.get["dates"]]
         if written:
-            fresh = partition_audit(read_fact_partitions(spark, output_path, written))
-            counts = {r[DATE].isoformat(): r["row_count"] for r in fresh.collect()}
+            fresh = read_fact_partitions(spark, output_path, written, flagged=True)
+            per_date = fresh.groupBy(DATE).agg(
+                row_total().alias("rows"), flag_total().alias("flagged")
+            )
+            counts = {r[DATE].isoformat(): r for r in per_date.collect()}
     return [
         RunReport(
             batch_date=d,
-            status="written" if counts.get(d) else "no_data",
-            rows=counts.get(d, 0),
+            status="written" if d in counts else "no_data",
+            rows=counts[d]["rows"] if d in counts else 0,
             input_path=input_path,
             output_path=output_path,
+            flagged=(counts[d]["flagged"] or 0) if d in counts else 0,
         )
         for d in wanted
     ]

@@ -10,6 +10,12 @@ from pyspark.sql import SparkSession
 PROFILE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Scan tasks: an upper bound, reached only where the input is large for the
+    # cores at hand. Fewer of them keep a large shuffle's blocks from being tiny.
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # Shuffle partitions before adaptive sizing: some for each date of five years,
+    # so that few dates share one, and no more than Spark keeps exact sizes of.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
     # Sizes of the writing tasks, and with them of the Parquet files: at most the
     # first, and less, down to the second, where cores would be idle.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",

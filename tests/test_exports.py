@@ -4,6 +4,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ledger_mart.fixtures import events_ledger, staged_ledger, write_raw_csv
@@ -129,3 +130,13 @@ def test_daily_end_to_end_stops_at_the_gate(spark, raw, fact, mart):
     with pytest.raises(NoOutputError):
         daily_end_to_end(spark, raw, fact, mart, NO_DAY)
     assert not Path(mart).exists()
+
+
+def test_mart_outlives_a_table_that_was_emptied(spark, raw, fact, mart, tmp_path):
+    full_end_to_end(spark, raw, fact, mart)
+    empty = write_raw_csv(events_ledger(spark, SF_DIR).where("1 = 0"), str(tmp_path / "none"))
+    loaded, exported = full_end_to_end(spark, empty, fact, mart, allow_empty=False)
+    assert (loaded.status, exported.rows) == ("no_data", 1000)
+    with pytest.raises(AnalysisException):
+        full_end_to_end(spark, empty, fact, mart)
+    assert partition_count(spark, mart) == 30

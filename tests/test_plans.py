@@ -1,0 +1,175 @@
+"""What the optimizer makes of the operators, and how rows are laid out."""
+
+from __future__ import annotations
+
+from collections import Counter
+from pathlib import Path
+
+import pytest
+from pyspark import TaskContext
+from pyspark.sql import functions as F
+
+from ledger_mart.fixtures import events_ledger, staged_ledger, write_raw_csv
+from ledger_mart.operators.audit import batch_row_count, partition_audit
+from ledger_mart.operators.layout import gather_by_date, spread_one_date
+from ledger_mart.operators.transform import (
+    add_flag, clean, filter_batch_date, filter_batch_dates,
+)
+from ledger_mart.plans.load import backfill, daily_job, full_load
+from ledger_mart.schema import DATE, FLAG, RAW_COLUMNS, TXN_NO
+from ledger_mart.sources.fact import file_inventory, read_fact, read_fact_partitions
+from ledger_mart.sources.raw import read_raw
+
+SF_DIR = "/root/testdata/sf0.01"
+DAY = "2024-01-03"
+
+
+def plan(df, capsys) -> str:
+    df.explain("formatted")
+    return capsys.readouterr().out
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    return staged_ledger(spark, SF_DIR)
+
+
+@pytest.fixture(scope="module")
+def fact(spark, raw, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("plans") / "fact")
+    full_load(spark, raw, path)
+    return path
+
+
+def test_batch_filter_reaches_the_csv_scan(spark, raw, capsys):
+    day = plan(read_raw(spark, raw).transform(filter_batch_date, DAY), capsys)
+    assert f"EqualTo({DATE},{DAY})" in day
+    days = plan(read_raw(spark, raw).transform(filter_batch_dates, [DAY, "2024-01-04"]), capsys)
+    assert f"In({DATE}, [{DAY},2024-01-04])" in days
+
+
+def test_batch_count_parses_only_the_date(spark, raw, capsys):
+    count = batch_row_count(read_raw(spark, raw).transform(filter_batch_date, DAY))
+    assert f"ReadSchema: struct<{DATE}:string>" in plan(count, capsys)
+
+
+def test_row_steps_need_no_shuffle(spark, raw, capsys):
+    chain = read_raw(spark, raw).transform(clean).transform(add_flag)
+    assert "Exchange" not in plan(chain, capsys)
+
+
+def test_layout_is_one_shuffle(spark, raw, capsys):
+    facts = read_raw(spark, raw).transform(clean)
+    for layout, key in ((gather_by_date, DATE), (spread_one_date, TXN_NO)):
+        text = plan(facts.transform(layout), capsys)
+        assert text.count("REBALANCE_PARTITIONS_BY_COL") == 1
+        assert f"hashpartitioning({key}" in text
+
+
+@pytest.mark.parametrize(
+    "switch",
+    [
+        "spark.sql.adaptive.enabled",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled",
+    ],
+)
+def test_no_shuffle_where_a_hot_date_would_not_be_split(
+    spark, session_conf, raw, capsys, switch
+):
+    session_conf({switch: "false"})
+    facts = read_raw(spark, raw).transform(clean)
+    assert "Exchange" not in plan(facts.transform(gather_by_date), capsys)
+    assert "Exchange" not in plan(facts.transform(spread_one_date), capsys)
+
+
+def test_fact_dates_are_pruned(spark, fact, capsys):
+    text = plan(read_fact(spark, fact, [DAY]), capsys)
+    assert f"({DATE}#" in text.split("PartitionFilters:")[1].splitlines()[0]
+    assert "Filter" not in text.split("(1) Scan parquet")[0]
+    one = read_fact_partitions(spark, fact, [DAY])
+    assert one.count() == read_fact(spark, fact, [DAY]).count() == 333
+    assert {Path(f).parent.name for f in one.inputFiles()} <= {
+        f"{DATE}={DAY}",
+        "%EA%B1%B0%EB%9E%98%EC%9D%BC%EC%9E%90=" + DAY,
+    }
+
+
+def test_audit_reads_no_column(spark, fact, capsys):
+    assert "ReadSchema: struct<>" in plan(partition_audit(read_fact(spark, fact)), capsys)
+
+
+def test_inventory_reads_no_content(spark, fact, capsys):
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan(
+        file_inventory(spark, fact), capsys
+    )
+
+
+def file_counts(path):
+    return Counter(p.parent.name.split("=")[1] for p in Path(path).rglob("*.parquet"))
+
+
+@pytest.fixture(scope="module")
+def hot_raw(spark, tmp_path_factory):
+    """A third and more of the ledger on one date, spread over all raw files."""
+    number = F.col(TXN_NO).cast("long")
+    hot = events_ledger(spark, "/root/testdata/sf0.1").withColumn(
+        DATE, F.when(number % 3 == 0, F.lit(DAY)).otherwise(F.col(DATE))
+    )
+    path = str(tmp_path_factory.mktemp("hot") / "raw")
+    return write_raw_csv(hot.repartition(12), path)
+
+
+def rows(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_hot_date_is_split_and_the_rest_gathered(spark, session_conf, hot_raw, tmp_path):
+    session_conf({
+        "spark.sql.files.maxPartitionBytes": "1m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "100k",
+        "spark.sql.shuffle.partitions": "60",
+    })
+    out, scanned = str(tmp_path / "fact"), str(tmp_path / "scanned")
+    full_load(spark, hot_raw, out)
+    full_load(spark, hot_raw, scanned, gather=False)
+    files, as_scanned = file_counts(out), file_counts(scanned)
+    assert files[DAY] >= 3
+    assert max(n for d, n in files.items() if d != DAY) <= 3
+    assert min(as_scanned.values()) >= 10
+    want = rows(read_raw(spark, hot_raw).transform(clean))
+    assert rows(read_fact(spark, out).select(*RAW_COLUMNS)) == want
+    assert rows(read_fact(spark, scanned).select(*RAW_COLUMNS)) == want
+
+    daily = str(tmp_path / "daily")
+    report = daily_job(spark, hot_raw, daily, DAY)
+    assert report.rows == read_fact(spark, daily).count() > 33_000
+    assert file_counts(daily)[DAY] >= 3
+
+    filled = str(tmp_path / "backfill")
+    reports = backfill(spark, hot_raw, filled, [DAY, "2024-01-04", "2024-01-05"])
+    assert reports[0].rows == report.rows
+    assert file_counts(filled)[DAY] >= 3
+
+
+def fails_at_first(df):
+    """A flag step whose every task fails once, after some rows."""
+
+    def step(batches):
+        seen = 0
+        for batch in batches:
+            yield batch.assign(**{FLAG: batch["이상여부"].astype("int32")})
+            seen += len(batch)
+        if seen and TaskContext.get().attemptNumber() == 0:
+            raise OSError("lost")
+
+    schema = add_flag(df).schema
+    return df.mapInPandas(step, schema)
+
+
+@pytest.mark.parametrize("gather", [True, False])
+def test_counts_are_exact_when_tasks_are_retried(spark, raw, tmp_path, gather):
+    out = str(tmp_path / "fact")
+    report = daily_job(spark, raw, out, DAY, flag=fails_at_first, gather=gather)
+    assert (report.rows, report.flagged) == (333, 61)
+    assert read_fact(spark, out).count() == 333
