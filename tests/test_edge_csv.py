@@ -7,13 +7,16 @@ from pathlib import Path
 
 import pytest
 
+from conftest import HEADER, write_csv
+from ledger_mart.operators.audit import partition_audit
 from ledger_mart.operators.transform import add_flag, cast_txn_date, clean, fill_nulls
 from ledger_mart.plans.load import backfill, daily_job, full_load
 from ledger_mart.schema import (
     AMOUNT, COUNTERPARTY, DATE, FLAG, LABEL, LABEL_TYPE, MEMO, RAW_COLUMNS, TXN_NO,
 )
-from ledger_mart.sources.fact import read_fact
+from ledger_mart.sources.fact import file_inventory, read_fact
 from ledger_mart.sources.raw import read_raw
+from ledger_mart.storage import partition_count
 
 
 def by_number(df, *columns):
@@ -136,3 +139,60 @@ def test_backfill_takes_dates_as_text_too(spark, edge_csv, tmp_path):
         ("2024-12-30", "written", 5),
         ("2024-12-31", "written", 1),
     ]
+
+
+# What Spark makes of a text, with ANSI mode on or off.
+AMOUNT_TEXTS = {
+    "7": 7,
+    "-7": -7,
+    "+7": 7,
+    "007": 7,
+    "9223372036854775807": 9223372036854775807,
+    "9223372036854775808": None,
+    "12.0": None,
+    "1e3": None,
+    "1,000": None,
+    " 7": None,
+    "": None,
+}
+DATE_TEXTS = {
+    "2024-12-30": date(2024, 12, 30),
+    " 2024-12-30 ": date(2024, 12, 30),
+    "2024-1-5": date(2024, 1, 5),
+    "2024-12-30T10:00:00": date(2024, 12, 30),
+    "2024-12": date(2024, 12, 1),
+    "2024/12/30": None,
+    "20241230": None,
+    "2024-02-30": None,
+    "30.12.2024": None,
+    "": None,
+}
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_amount_and_date_texts(spark, session_conf, tmp_path, ansi):
+    session_conf({"spark.sql.ansi.enabled": ansi})
+    write_csv(
+        tmp_path / "raw" / "a.csv",
+        HEADER,
+        *[f'A{i},2024-12-30,acc,A,"{t}",m,p,a,0,' for i, t in enumerate(AMOUNT_TEXTS)],
+        *[f'D{i},"{t}",acc,A,1,m,p,a,0,' for i, t in enumerate(DATE_TEXTS)],
+    )
+    raw = read_raw(spark, str(tmp_path / "raw"))
+    amounts, dates = by_number(raw, AMOUNT), by_number(cast_txn_date(raw), DATE)
+    assert {t: amounts[f"A{i}"][0] for i, t in enumerate(AMOUNT_TEXTS)} == AMOUNT_TEXTS
+    assert {t: dates[f"D{i}"][0] for i, t in enumerate(DATE_TEXTS)} == DATE_TEXTS
+    filled = by_number(clean(raw), AMOUNT)
+    assert {t: filled[f"A{i}"][0] for i, t in enumerate(AMOUNT_TEXTS)} == {
+        t: n or 0 for t, n in AMOUNT_TEXTS.items()
+    }
+
+
+def test_inventory_and_audit_know_the_null_partition(spark, edge_csv, tmp_path):
+    out = str(tmp_path / "fact")
+    full_load(spark, edge_csv, out)
+    days = [date(2024, 1, 5), date(2024, 12, 30), date(2024, 12, 31), None]
+    assert {r[DATE] for r in file_inventory(spark, out).collect()} == set(days)
+    assert partition_count(spark, out) == 4
+    counts = {r[DATE]: r["row_count"] for r in partition_audit(read_fact(spark, out)).collect()}
+    assert counts == dict(zip(days, [1, 6, 1, 3]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from pathlib import Path
 
@@ -63,6 +64,16 @@ def test_backfill_equals_daily_jobs(spark, raw, out, tmp_path):
     assert rows(read_fact(spark, out)) == expected(spark, *DAYS)
 
 
+def test_different_dates_can_be_loaded_at_once(spark, raw, out):
+    days = [f"2024-01-{d:02}" for d in range(3, 9)]
+    with ThreadPoolExecutor(len(days)) as pool:
+        reports = list(pool.map(lambda d: daily_job(spark, raw, out, d), days))
+    assert [r.batch_date for r in reports] == days
+    for report in reports:
+        assert report.rows == sum(expected(spark, report.batch_date).values())
+    assert rows(read_fact(spark, out)) == expected(spark, *days)
+
+
 def test_dynamic_overwrite_leaves_the_files_of_other_dates(spark, raw, out):
     daily_job(spark, raw, out, DAYS[0])
     before = parquet_files(out)
