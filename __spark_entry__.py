@@ -8,7 +8,6 @@ read back.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,13 +140,13 @@ def batch_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def empty_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "fact")
-    return status_frame(spark, daily_job(spark, staged_ledger(spark, sf_dir), out, NO_DAY))
+    return status_frame(spark, [daily_job(spark, staged_ledger(spark, sf_dir), out, NO_DAY)])
 
 
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "fact")
     report = daily_job(spark, staged_ledger(spark, sf_dir), out, DAY)
-    return report_frame(spark, report).select("batch_date", "status", "rows", "flagged")
+    return report_frame(spark, [report]).select("batch_date", "status", "rows", "flagged")
 
 
 def partition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +184,7 @@ def export_partition_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact, mart = _loaded(spark, sf_dir), scratch_path(spark, "mart")
     reports = [export_partition(spark, fact, mart, day) for day in (DAY, NO_DAY)]
-    return reduce(DataFrame.unionAll, [status_frame(spark, r) for r in reports])
+    return status_frame(spark, reports)
 
 
 def daily_end_to_end_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,11 +96,11 @@ def main(argv: Sequence[str] | None = None) -> None:
         args.date = resolve_batch_date(args.date)
     spark = build_session(f"ledger_mart_{args.job}", getattr(args, "date", None))
     if args.job == "audit":
-        for row in partition_audit(read_fact(spark, args.input)).orderBy(DATE).toLocalIterator():
-            print(json.dumps({"date": str(row[DATE]), "rows": row["row_count"]}))
+        audit = partition_audit(read_fact(spark, args.input, flagged=False))
+        for row in audit.orderBy(DATE).collect():  # one row per date
+            print(json.dumps({"date": row[DATE] and str(row[DATE]), "rows": row["row_count"]}))
     else:
-        for report in _run(spark, args):
-            row = run_report(spark, report).first()
+        for row in run_report(spark, _run(spark, args)).collect():
             print(json.dumps(row.asDict(), ensure_ascii=False))
     spark.stop()
 

@@ -41,6 +41,6 @@ def export_status(spark: SparkSession, path: str, batch_date: str) -> str:
     without Parquet files, or data."""
     if not path_exists(spark, partition_path(path, batch_date)):
         return "skipped"
-    if file_inventory(spark, path, batch_date).isEmpty():
+    if file_inventory(spark, path, [batch_date]).isEmpty():
         return "empty"
     return "exported"

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledger_mart.operators.audit import export_status
+from ledger_mart.schema import DATE
 from ledger_mart.sources.fact import file_inventory
 from ledger_mart.storage import partition_count
 
-STATUS_COLUMNS = ["batch_date", "status", "rows"]
+REPORT_SCHEMA = (
+    "batch_date string, status string, rows long, input_path string, "
+    "output_path string, flagged long"
+)
 
 
 @dataclass(frozen=True)
@@ -28,35 +31,37 @@ class RunReport:
     flagged: int | None = None
 
 
-def status_frame(spark: SparkSession, report: RunReport) -> DataFrame:
-    return report_frame(spark, report).select(*STATUS_COLUMNS)
+def report_frame(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
+    return spark.createDataFrame([astuple(r) for r in reports], REPORT_SCHEMA)
 
 
-def report_frame(spark: SparkSession, report: RunReport) -> DataFrame:
-    return spark.range(1).select(
-        F.lit(report.batch_date).cast("string").alias("batch_date"),
-        F.lit(report.status).alias("status"),
-        F.lit(report.rows).cast("long").alias("rows"),
-        F.lit(report.flagged).cast("long").alias("flagged"),
-        F.lit(report.input_path).alias("input_path"),
-        F.lit(report.output_path).alias("output_path"),
-    )
+def status_frame(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
+    return report_frame(spark, reports).select("batch_date", "status", "rows")
 
 
-def run_report(spark: SparkSession, report: RunReport) -> DataFrame:
-    """The report with the number of date partitions in the output and of Parquet
+def run_report(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
+    """The reports with the number of date partitions in the output and of Parquet
     files in the run's part of it, both from listings."""
-    present = partition_count(spark, report.output_path)
-    if present == 0:
-        files = 0
-    elif report.batch_date is None:
-        files = file_inventory(spark, report.output_path).count()
-    elif export_status(spark, report.output_path, report.batch_date) == "exported":
-        files = file_inventory(spark, report.output_path, report.batch_date).count()
-    else:
-        files = 0
-    return report_frame(spark, report).select(
-        "*",
-        F.lit(present).cast("long").alias("partitions"),
-        F.lit(files).cast("long").alias("files"),
+    partitions: dict[str, int] = {}
+    files: dict[tuple[str, str | None], int] = {}
+    for path in {r.output_path for r in reports}:
+        partitions[path] = partition_count(spark, path)
+        with_data = [
+            r.batch_date
+            for r in reports
+            if r.output_path == path and r.status in ("written", "exported")
+        ]
+        dates = [d for d in with_data if d]
+        if dates:
+            per_date = file_inventory(spark, path, dates).groupBy(DATE).count()
+            for row in per_date.collect():
+                files[path, row[DATE].isoformat()] = row["count"]
+        if None in with_data:
+            files[path, None] = file_inventory(spark, path).count()
+    return spark.createDataFrame(
+        [
+            (*astuple(r), partitions[r.output_path], files.get((r.output_path, r.batch_date), 0))
+            for r in reports
+        ],
+        f"{REPORT_SCHEMA}, partitions long, files long",
     )

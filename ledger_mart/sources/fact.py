@@ -51,16 +51,19 @@ def read_fact_partitions(
 
 
 def file_inventory(
-    spark: SparkSession, path: str, batch_date: str | None = None
+    spark: SparkSession, path: str, dates: Sequence[str] | None = None
 ) -> DataFrame:
-    """Date, path and length of every Parquet file, from the listing alone."""
-    target = partition_path(path, batch_date) if batch_date else path
+    """Date, path and length of every Parquet file, or of those of existing dates.
+
+    All three come from the listing; no file is opened.
+    """
+    targets = [path] if dates is None else [partition_path(path, d) for d in dates]
     files = (
         spark.read.format("binaryFile")
         .option("basePath", path)
         .option("pathGlobFilter", "*.parquet")
-        .load(target)
+        .load(targets)
     )
-    if DATE not in files.columns:  # nothing below the table root to infer it from
-        files = files.withColumn(DATE, F.lit(batch_date))
+    if DATE not in files.columns:  # no file to infer it from
+        files = files.withColumn(DATE, F.lit(None))
     return files.select(F.col(DATE).cast("date").alias(DATE), "path", "length")

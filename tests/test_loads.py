@@ -228,16 +228,29 @@ def test_audit_and_inventory(spark, raw, out):
     assert len(counts) == 30 and sum(counts.values()) == 1000
     files = file_inventory(spark, out)
     assert {r["path"].removeprefix("file:") for r in files.collect()} == parquet_files(out)
-    one = file_inventory(spark, out, DAYS[0])
+    one = file_inventory(spark, out, DAYS[:1])
     assert {str(r[DATE]) for r in one.collect()} == {DAYS[0]}
 
 
-def test_run_report_counts_partitions_and_files(spark, raw, out):
-    full = run_report(spark, full_load(spark, raw, out)).first()
-    assert (full["rows"], full["partitions"]) == (1000, 30)
-    assert full["files"] == len(parquet_files(out))
-    daily = run_report(spark, daily_job(spark, raw, out, DAYS[0])).first()
-    assert (daily["rows"], daily["partitions"]) == (sum(expected(spark, DAYS[0]).values()), 30)
-    assert daily["files"] == len(parquet_files(f"{out}/{DATE}={DAYS[0]}"))
-    nothing = run_report(spark, daily_job(spark, raw, out, "1999-01-01")).first()
-    assert (nothing["status"], nothing["files"]) == ("no_data", 0)
+def test_run_report_counts_partitions_and_files(spark, raw, out, tmp_path):
+    jobs = [
+        full_load(spark, raw, out),
+        daily_job(spark, raw, out, "1999-01-01"),
+        *backfill(spark, raw, out, DAYS),
+        daily_job(spark, raw, str(tmp_path / "other"), DAYS[0]),
+    ]
+    got = run_report(spark, jobs).collect()
+    sizes = [sum(expected(spark, d).values()) for d in DAYS]
+    assert [(r["status"], r["rows"], r["partitions"]) for r in got] == [
+        ("written", 1000, 30),
+        ("no_data", 0, 30),
+        *[("written", n, 30) for n in sizes],
+        ("written", sizes[0], 1),
+    ]
+    assert [r["files"] for r in got] == [
+        len(parquet_files(out)),
+        0,
+        *[len(parquet_files(f"{out}/{DATE}={d}")) for d in DAYS],
+        len(parquet_files(tmp_path / "other")),
+    ]
+    assert run_report(spark, jobs[1:2]).first()["flagged"] == 0
