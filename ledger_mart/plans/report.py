@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import astuple, dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledger_mart.schema import DATE
 from ledger_mart.sources.fact import file_inventory
 from ledger_mart.storage import partition_count
 
-REPORT_SCHEMA = (
-    "batch_date string, status string, rows long, input_path string, "
-    "output_path string, flagged long"
-)
+REPORT_TYPES = {
+    "batch_date": "string",
+    "status": "string",
+    "rows": "long",
+    "input_path": "string",
+    "output_path": "string",
+    "flagged": "long",
+}
 
 
 @dataclass(frozen=True)
@@ -31,8 +36,17 @@ class RunReport:
     flagged: int | None = None
 
 
+def _frame(spark: SparkSession, records: Sequence[dict], types: dict[str, str]) -> DataFrame:
+    """A few driver-side records as literals: a plan that needs no Python worker."""
+    rows = [
+        F.struct(*[F.lit(record[c]).cast(t).alias(c) for c, t in types.items()])
+        for record in records
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def report_frame(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
-    return spark.createDataFrame([astuple(r) for r in reports], REPORT_SCHEMA)
+    return _frame(spark, [asdict(r) for r in reports], REPORT_TYPES)
 
 
 def status_frame(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
@@ -58,10 +72,12 @@ def run_report(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
                 files[path, row[DATE].isoformat()] = row["count"]
         if None in with_data:
             files[path, None] = file_inventory(spark, path).count()
-    return spark.createDataFrame(
-        [
-            (*astuple(r), partitions[r.output_path], files.get((r.output_path, r.batch_date), 0))
-            for r in reports
-        ],
-        f"{REPORT_SCHEMA}, partitions long, files long",
-    )
+    records = [
+        {
+            **asdict(r),
+            "partitions": partitions[r.output_path],
+            "files": files.get((r.output_path, r.batch_date), 0),
+        }
+        for r in reports
+    ]
+    return _frame(spark, records, {**REPORT_TYPES, "partitions": "long", "files": "long"})
