@@ -18,19 +18,21 @@ PROFILE = {
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
     # Sizes of the writing tasks, and with them of the Parquet files: at most the
     # first, and less, down to the second, where cores would be idle.
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32m",
 }
 
 
-def build_session(
-    job: str, batch_date: str | None = None, conf: dict[str, str] | None = None
-) -> SparkSession:
-    """A session named after the job and its date; ``conf`` overrides the profile.
+def build_session(job: str, batch_date: str | None = None) -> SparkSession:
+    """A session named after the job and its date, with the profile.
 
-    Master, memory and executors are left to ``spark-submit``.
+    Whatever ``spark-submit`` was given wins over the profile. Master, memory and
+    executors are left to it altogether.
     """
-    builder = SparkSession.builder.appName("_".join(filter(None, [job, batch_date])))
-    for key, value in {**PROFILE, **(conf or {})}.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+    name = "_".join(filter(None, [job, batch_date]))
+    spark = SparkSession.builder.appName(name).getOrCreate()
+    submitted = spark.sparkContext.getConf()
+    for key, value in PROFILE.items():
+        if not submitted.contains(key):
+            spark.conf.set(key, value)
+    return spark

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 import sys
 from datetime import date
@@ -81,6 +82,20 @@ def test_command_line_run(spark, tmp_path):
     assert report["input_path"] == raw and report["output_path"] == fact
 
 
+def test_submitted_settings_win_over_the_profile():
+    mine = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    code = (
+        "from ledger_mart.session import PROFILE, build_session\n"
+        "spark = build_session('fds', '2024-01-03')\n"
+        "print({k: spark.conf.get(k) for k in PROFILE}, spark.sparkContext.appName)\n"
+    )
+    run = subprocess.run(
+        [sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True, timeout=300,
+        env={**os.environ, "PYSPARK_SUBMIT_ARGS": f"--conf {mine}=64m pyspark-shell"}, check=True,
+    )
+    assert run.stdout.strip() == f"{ {**PROFILE, mine: '64m'} } fds_2024-01-03"
+
+
 def test_jobs_leave_the_session_alone(spark, tmp_path):
     before = dict(spark.sparkContext.getConf().getAll())
     options = [*PROFILE, "spark.sql.sources.partitionOverwriteMode"]
