@@ -1,0 +1,112 @@
+"""Any sequence of loads and exports against a table kept in Python."""
+
+from __future__ import annotations
+
+import tempfile
+from collections import Counter, defaultdict
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from ledger_mart.fixtures import events_ledger, write_raw_csv
+from ledger_mart.operators.transform import add_flag, clean
+from ledger_mart.plans.export import export_full, export_partition
+from ledger_mart.plans.load import backfill, daily_job, full_load
+from ledger_mart.schema import DATE, FLAG, LABEL, RAW_COLUMNS
+from ledger_mart.sources.fact import read_fact
+from ledger_mart.storage import partition_count
+
+SF_DIR = "/root/testdata/sf0.001"
+DAYS = [f"2024-01-0{d}" for d in range(1, 6)]
+COLUMNS = [*RAW_COLUMNS, FLAG]
+
+
+@pytest.fixture(scope="module")
+def ledgers(spark, tmp_path_factory):
+    """Raw ledgers that lack some rows or dates: path, and clean flagged rows by date."""
+    days = events_ledger(spark, SF_DIR).where(F.col(DATE).isin(DAYS))
+    versions = {
+        "all": days,
+        "errors": days.where(F.col(LABEL) == 1),
+        "early": days.where(F.col(DATE) < DAYS[3]),
+        "none": days.where("1 = 0"),
+    }
+    found = {}
+    for name, ledger in versions.items():
+        rows = defaultdict(Counter)
+        for row in ledger.transform(clean).transform(add_flag).select(COLUMNS).collect():
+            rows[str(row[DATE])][tuple(row)] += 1
+        path = str(tmp_path_factory.mktemp("model") / name)
+        found[name] = (write_raw_csv(ledger, path), dict(rows))
+    return found
+
+
+def without_flag(rows):
+    return Counter({(*row[:-1], None): n for row, n in rows.items()})
+
+
+def content(spark, path):
+    if partition_count(spark, path) == 0:
+        return {}
+    tables = defaultdict(Counter)
+    for row in read_fact(spark, path, flagged=True).select(COLUMNS).collect():
+        tables[str(row[DATE])][tuple(row)] += 1
+    return dict(tables)
+
+
+STEPS = st.lists(
+    st.tuples(
+        st.sampled_from(["daily", "daily", "backfill", "full", "full kept", "export", "mart"]),
+        st.sampled_from(["all", "errors", "early", "none"]),
+        st.lists(st.sampled_from([*DAYS, "1999-01-01"]), min_size=1, max_size=4),
+    ),
+    min_size=3,
+    max_size=7,
+)
+
+
+@settings(
+    max_examples=5,
+    deadline=None,
+    derandomize=True,
+    suppress_health_check=[HealthCheck.function_scoped_fixture],
+)
+@given(steps=STEPS)
+def test_tables_follow_the_model(spark, ledgers, tmp_path, steps):
+    base = tempfile.mkdtemp(dir=tmp_path)
+    fact, mart = f"{base}/fact", f"{base}/mart"
+    table, exported = {}, {}
+    for kind, version, days in steps:
+        raw, rows = ledgers[version]
+        if kind == "daily":
+            report = daily_job(spark, raw, fact, days[0])
+            batch = rows.get(days[0], Counter())
+            assert report.rows == sum(batch.values())
+            assert report.flagged == sum(row[-1] * n for row, n in batch.items())
+            if batch:
+                table[days[0]] = batch
+        elif kind == "backfill":
+            reports = backfill(spark, raw, fact, days)
+            assert {r.batch_date: r.rows for r in reports} == {
+                d: sum(rows.get(d, Counter()).values()) for d in days
+            }
+            table.update({d: rows[d] for d in days if d in rows})
+        elif kind.startswith("full"):
+            report = full_load(spark, raw, fact, allow_empty=kind == "full")
+            assert report.rows == sum(sum(r.values()) for r in rows.values())
+            if rows or kind == "full":
+                table = {d: without_flag(r) for d, r in rows.items()}
+        elif kind == "export":
+            report = export_partition(spark, fact, mart, days[0])
+            assert report.status == ("exported" if days[0] in table else "skipped")
+            if days[0] in table:
+                exported[days[0]] = table[days[0]]
+        elif table:
+            assert export_full(spark, fact, mart).rows == sum(
+                sum(r.values()) for r in table.values()
+            )
+            exported = dict(table)
+        assert content(spark, fact) == table
+    assert content(spark, mart) == exported

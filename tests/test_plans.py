@@ -104,6 +104,25 @@ def test_inventory_reads_no_content(spark, fact, capsys):
     )
 
 
+def jobs_of(spark, run, group):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_load_scans_the_raw_files_once(spark, raw, tmp_path):
+    """Two jobs: the shuffle of the scanned rows, and the write from it."""
+    out = str(tmp_path / "fact")
+    assert jobs_of(spark, lambda: full_load(spark, raw, out), "full") == 2
+    assert jobs_of(spark, lambda: daily_job(spark, raw, out, DAY), "daily") == 2
+    scanned = jobs_of(spark, lambda: daily_job(spark, raw, out, DAY, gather=False), "scanned")
+    assert scanned == 1
+    assert jobs_of(spark, lambda: daily_job(spark, raw, out, "1999-01-01"), "empty") <= 2
+
+
 def file_counts(path):
     return Counter(p.parent.name.split("=")[1] for p in Path(path).rglob("*.parquet"))
 
