@@ -22,7 +22,7 @@ SPLITS_HOT_PARTITIONS = [
 
 def _rebalance(df: DataFrame, key: str) -> DataFrame:
     conf = df.sparkSession.conf
-    if any(conf.get(switch, "true") != "true" for switch in SPLITS_HOT_PARTITIONS):
+    if any(conf.get(switch, "true").lower() != "true" for switch in SPLITS_HOT_PARTITIONS):
         return df
     return df.hint("rebalance", F.col(key))
 

@@ -1,8 +1,11 @@
 """Loads: raw ledger to fact table.
 
-Every job scans the raw files once. The row counts come from an observation in the
-stage that writes, above the last shuffle: Spark counts each task of that stage
-once, also when tasks are retried or an executor is lost.
+A load into an existing table scans the raw files once. The row counts come from an
+observation in the stage that writes, above the last shuffle: Spark counts each task
+of that stage once, also when tasks are retried or an executor is lost.
+
+``gather`` off skips the shuffle before the write, which is right where each raw file
+holds few dates.
 """
 
 from __future__ import annotations
@@ -105,7 +108,7 @@ def backfill(
         replace_dates(facts.observe(seen, F.collect_set(DATE).alias("dates")), output_path)
         written = [d.isoformat() for d in seen.get["dates"]]
         if written:
-            fresh = read_fact_partitions(spark, output_path, written, flagged=True)
+            fresh = read_fact_partitions(spark, output_path, written, merge_schema=False)
             per_date = fresh.groupBy(DATE).agg(
                 row_total().alias("rows"), flag_total().alias("flagged")
             )
@@ -134,8 +137,7 @@ def full_load(
 
     Rows whose date does not parse go to the NULL partition. An empty raw ledger
     empties the table, as a full refresh means; with ``allow_empty`` off it leaves
-    the table alone. ``gather`` off skips the shuffle by date, which is right where
-    each raw file holds few dates.
+    the table alone.
     """
     require_disjoint(spark, input_path, output_path)
     raw = read_raw(spark, input_path)

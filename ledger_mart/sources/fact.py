@@ -35,19 +35,19 @@ def read_fact(
 
 
 def read_fact_partitions(
-    spark: SparkSession, path: str, dates: Sequence[str], flagged: bool | None = None
+    spark: SparkSession, path: str, dates: Sequence[str], merge_schema: bool = True
 ) -> DataFrame:
     """Existing dates of the fact table; only their directories are listed.
 
-    With ``flagged`` unset, whatever columns any of their files has are there, so
-    none is lost where dates come from loads with and without the flag.
+    Whatever columns any of their files has are there, so none is lost where dates
+    come from loads with and without the flag. Dates of one and the same write need
+    no ``merge_schema``.
     """
-    reader = spark.read.option("basePath", path)
-    if flagged is None:
-        reader = reader.option("mergeSchema", True)
-    else:
-        reader = reader.schema(fact_schema(flagged))
-    return reader.parquet(*[partition_path(path, d) for d in dates])
+    return (
+        spark.read.option("basePath", path)
+        .option("mergeSchema", merge_schema)
+        .parquet(*[partition_path(path, d) for d in dates])
+    )
 
 
 def file_inventory(

@@ -185,6 +185,16 @@ def test_any_flag_step_can_be_used(spark, raw, out):
     report = daily_job(spark, raw, out, DAYS[0], flag=large)
     fact = read_fact(spark, out)
     assert 0 < report.flagged == fact.where(F.col(AMOUNT) > 1000).count() < report.rows
+    assert backfill(spark, raw, out, DAYS[:1], flag=large) == [report]
+
+
+def test_a_flag_step_may_have_another_type_and_more_columns(spark, raw, out):
+    def scored(df):
+        return df.withColumn("score", F.lit(0.5)).withColumn(FLAG, F.col(LABEL))
+
+    reports = backfill(spark, raw, out, DAYS, flag=scored)
+    assert reports == [daily_job(spark, raw, out, d, flag=scored) for d in DAYS]
+    assert dict(read_fact(spark, out).dtypes)["score"] == "double"
 
 
 @pytest.mark.parametrize("job", [full_load, daily_job, backfill])
