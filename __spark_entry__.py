@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledger_mart import cli
 from ledger_mart.fixtures import events_ledger, staged_ledger, write_raw_csv
 from ledger_mart.operators import audit, transform
 from ledger_mart.plans.end_to_end import daily_end_to_end, full_end_to_end
@@ -39,12 +40,23 @@ def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_raw(spark, staged_ledger(spark, sf_dir))
 
 
-def permissive_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = F.col(TXN_NO).cast("long") % 19 == 0
+def _with_bad_text(spark: SparkSession, sf_dir: str, column: str, text: str, every: int) -> str:
+    """The whole ledger as CSV, with ``text`` for the column in some of the rows."""
+    bad = F.col(TXN_NO).cast("long") % every == 0
     ledger = events_ledger(spark, sf_dir).withColumn(
-        AMOUNT, F.when(bad, F.lit("abc")).otherwise(F.col(AMOUNT).cast("string"))
+        column, F.when(bad, F.lit(text)).otherwise(F.col(column).cast("string"))
     )
-    return read_raw(spark, write_raw_csv(ledger, scratch_path(spark, "bad-amounts")))
+    return write_raw_csv(ledger, scratch_path(spark, "bad-text"))
+
+
+def permissive_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_raw(spark, _with_bad_text(spark, sf_dir, AMOUNT, "abc", every=19))
+
+
+def corrupt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _with_bad_text(spark, sf_dir, AMOUNT, "12.5", every=19)
+    raw = read_raw(spark, path, corrupt_column="line")
+    return raw.select(*RAW_COLUMNS, F.col("line").isNotNull().alias("corrupt"))
 
 
 def positional_header(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +70,12 @@ def fact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_fact(spark, _loaded(spark, sf_dir)).select(*FACT_COLUMNS)
 
 
+def mixed_fact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _loaded(spark, sf_dir)
+    daily_job(spark, staged_ledger(spark, sf_dir), out, DAY)
+    return read_fact(spark, out, merge_schema=True).select(*FLAGGED_COLUMNS)
+
+
 # Row-wise steps
 
 
@@ -101,6 +119,12 @@ def full_load_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_fact(spark, _loaded(spark, sf_dir), flagged=False).select(*FACT_COLUMNS)
 
 
+def unparsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "fact")
+    full_load(spark, _with_bad_text(spark, sf_dir, DATE, "2024/01/03", every=3), out)
+    return read_fact(spark, out).select(*FACT_COLUMNS)
+
+
 def static_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _loaded(spark, sf_dir)
     day = read_raw(spark, staged_ledger(spark, sf_dir)).transform(
@@ -114,6 +138,13 @@ def daily_job_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir, DAY)
 
 
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "fact")
+    argv = ["daily", "--input", staged_ledger(spark, sf_dir), "--output", out, "--date", DAY]
+    cli.run(spark, cli.parse(argv))
+    return read_fact(spark, out).select(*FLAGGED_COLUMNS)
+
+
 def rerun_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir, DAY, DAY)
 
@@ -208,16 +239,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_scan": raw_scan,
         "permissive_parse": permissive_parse,
+        "corrupt_lines": corrupt_lines,
         "positional_header": positional_header,
         "fact_scan": fact_scan,
+        "mixed_fact_scan": mixed_fact_scan,
         "filter_batch_date": filter_batch_date,
         "cast_txn_date": cast_txn_date,
         "fill_nulls": fill_nulls,
         "clean_ledger": clean_ledger,
         "fds_flag": fds_flag,
         "full_load": full_load_query,
+        "unparsed_dates": unparsed_dates,
         "static_overwrite": static_overwrite,
         "daily_job": daily_job_query,
+        "command_line": command_line,
         "rerun_idempotent": rerun_idempotent,
         "dynamic_overwrite": dynamic_overwrite,
         "backfill": backfill_query,
@@ -275,16 +310,29 @@ def oracle_sql() -> dict[str, str]:
             select * replace (case when cast("거래번호" as bigint) % 19 <> 0
                                    then "금액" end as "금액")
             from {raw}""",
+        "corrupt_lines": f"""
+            select * replace (case when cast("거래번호" as bigint) % 19 <> 0
+                                   then "금액" end as "금액"),
+                   cast("거래번호" as bigint) % 19 = 0 as corrupt
+            from {raw}""",
         "positional_header": f"select * from {raw}",
         "fact_scan": all_clean,
+        "mixed_fact_scan": f"""
+            select * replace (case when {on_day} then fds_flag end as fds_flag)
+            from {flagged}""",
         "filter_batch_date": f"select * from {raw} where {on_day}",
         "cast_txn_date": f"select * replace ({to_date}) from {raw}",
         "fill_nulls": f"select * replace ({filled}) from {raw}",
         "clean_ledger": all_clean,
         "fds_flag": f"select * from {flagged}",
         "full_load": all_clean,
+        "unparsed_dates": f"""
+            select * replace (case when cast("거래번호" as bigint) % 3 <> 0
+                                   then "거래일자" end as "거래일자")
+            from {clean}""",
         "static_overwrite": day_clean,
         "daily_job": day_flagged,
+        "command_line": day_flagged,
         "rerun_idempotent": day_flagged,
         "dynamic_overwrite": f"select * from {flagged} where {both_days}",
         "backfill": f'select * from {flagged} where "거래일자" in ({days})',

@@ -69,7 +69,16 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
-def _run(spark: SparkSession, args: argparse.Namespace) -> Sequence[RunReport]:
+def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
+    """The arguments, with the batch date resolved where the job has one."""
+    args = _parser().parse_args(argv)
+    if "date" in args:
+        args.date = resolve_batch_date(args.date)
+    return args
+
+
+def run(spark: SparkSession, args: argparse.Namespace) -> Sequence[RunReport]:
+    """The load or export that ``args`` ask for, on the caller's session."""
     source, target = args.input, args.output
     layout = {"gather": not getattr(args, "as_scanned", False)}
     refresh = {"allow_empty": not getattr(args, "keep_if_empty", False)}
@@ -91,16 +100,14 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> Sequence[RunReport]:
 
 
 def main(argv: Sequence[str] | None = None) -> None:
-    args = _parser().parse_args(argv)
-    if "date" in args:
-        args.date = resolve_batch_date(args.date)
+    args = parse(argv)
     spark = build_session(f"ledger_mart_{args.job}", getattr(args, "date", None))
     if args.job == "audit":
         audit = partition_audit(read_fact(spark, args.input, flagged=False))
         for row in audit.orderBy(DATE).collect():  # one row per date
             print(json.dumps({"date": row[DATE] and str(row[DATE]), "rows": row["row_count"]}))
     else:
-        for row in run_report(spark, _run(spark, args)).collect():
+        for row in run_report(spark, run(spark, args)).collect():
             print(json.dumps(row.asDict(), ensure_ascii=False))
     spark.stop()
 

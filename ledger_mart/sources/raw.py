@@ -19,6 +19,7 @@ def read_raw(
     Columns bind by position and each file's header line is skipped, whatever it
     says. Text that is no long becomes NULL, short lines are padded with NULL and
     surplus fields are dropped; name a ``corrupt_column`` to keep such lines' text.
+    Spark judges a line by the columns the query reads, so read them all for that.
     Files are split between tasks, so one huge file is no bottleneck.
     """
     reader = (

@@ -43,9 +43,13 @@ def test_bad_arguments_are_refused(argv):
         cli.main(argv)
 
 
+def test_date_defaults_to_today():
+    args = cli.parse(["daily", "--input", "a", "--output", "b"])
+    assert args.date == date.today().isoformat()
+
+
 def run_job(spark, *argv):
-    args = cli._parser().parse_args(argv)
-    return [(r.batch_date, r.status, r.rows) for r in cli._run(spark, args)]
+    return [(r.batch_date, r.status, r.rows) for r in cli.run(spark, cli.parse(argv))]
 
 
 def test_every_job_has_a_subcommand(spark, tmp_path):
