@@ -13,7 +13,7 @@ from ledger_mart.plans.end_to_end import daily_end_to_end, full_end_to_end
 from ledger_mart.plans.export import export_full, export_partition
 from ledger_mart.plans.load import daily_job, full_load
 from ledger_mart.schema import DATE, FLAG, LABEL, RAW_COLUMNS
-from ledger_mart.sources.fact import read_fact
+from ledger_mart.sources.fact import file_inventory, read_fact
 from ledger_mart.storage import partition_count
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -104,6 +104,9 @@ def test_export_status(spark, raw, fact, mart):
         NO_DAY: ("skipped", 0),
     }
     assert partition_count(spark, mart) == 1
+    none = file_inventory(spark, fact, [NEXT_DAY])
+    assert none.isEmpty()
+    assert none.dtypes == file_inventory(spark, fact).dtypes
 
 
 @pytest.mark.parametrize("target", ["", "/", "/inside", "/.."])
