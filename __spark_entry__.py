@@ -230,12 +230,39 @@ def full_end_to_end_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_fact(spark, mart).select(*FACT_COLUMNS)
 
 
+# The subpackage llm and its pipeline, where they are installed
+
+try:
+    import corpus_pipeline
+    from ledger_mart.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("ledger_mart.llm", "corpus_pipeline"):
+        raise
+    llm_queries = corpus_pipeline = None
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The daily job on the smallest tables, read back."""
     return daily_job_query(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = ledger_queries()
+    if llm_queries:
+        found |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    found = ledger_sql()
+    if llm_queries:
+        found |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
+
+
+def ledger_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_scan": raw_scan,
         "permissive_parse": permissive_parse,
@@ -270,7 +297,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def ledger_sql() -> dict[str, str]:
     raw = """(
         select cast(event_id as varchar) as "거래번호",
                strftime(ts, '%Y-%m-%d') as "거래일자",

@@ -26,13 +26,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert registry.queries().keys() == registry.oracle_sql().keys()
+    assert registry.ledger_queries().keys() == registry.ledger_sql().keys()
 
 
-@pytest.mark.parametrize("name", registry.queries())
+@pytest.mark.parametrize("name", registry.ledger_queries())
 def test_query_equals_sql(spark, duck, name):
     got = registry.queries()[name](spark, SF_DIR)
-    want = duck.sql(registry.oracle_sql()[name])
+    want = duck.sql(registry.ledger_sql()[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     kinds = dict(zip(want.columns, map(str, want.types)))
