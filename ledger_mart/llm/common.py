@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +48,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` returned for the key, kept by this process for later tasks. Functions
+    travel by value, so their module's globals would last for one task only."""
+    store = sys.modules.setdefault("_llm_kept", types.ModuleType("_llm_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on columns of both, null equal to null, with the left side's keys.
     Apart from the keys the two have no column name in common."""

@@ -14,8 +14,10 @@ gives no pieces; other columns of the input are not read.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,48 +25,62 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import ranked, written
+from ledger_mart.llm.common import kept, ranked, written
 
 LENGTH = 4096
 END_ID = 2
 #: White space of which tokenizers and str.split() may differ in opinion.
 _ODD = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _ODD_SPACE = re.compile("[" + "".join(map(chr, _ODD)) + "]")
-_CACHED_WORDS = 300_000
+#: Punctuation that ends a word of Latin letters: parted from it, fewer different words remain.
+_TAIL = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])[.,!?;:]+(?=\s|$)")
+_CACHED_WORDS = 500_000
 _CACHED_CHARS = 48
+_TEXTS = 256  # worked on at once
 
 
-class WordIds(dict):
-    """Ids of words as little-endian bytes, made when first asked for.
+class WordIds:
+    """Ids of texts as little-endian bytes, by way of their words' ids.
 
     The tokenizer drops white space and never joins what white space parts, so a text's
-    ids are those of its words in turn.
+    ids are those of its words in turn. Of the words seen, the latest half a million to
+    a million are remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= _CACHED_CHARS:
-            self[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
+    def words(self, text: str) -> list[str] | None:
+        """None if the text has to be tokenised as a whole."""
         if _ODD_SPACE.search(text):
-            return self.encode(text)
-        if len(self) > _CACHED_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-_TOKENIZERS: dict[str, WordIds] = {}
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:  # letters beyond Latin-1 may change case otherwise there
+            return text.split()
+        return _TAIL.sub(r" \g<0>", text.lower()).split()
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > _CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        by_text = [self.words(x) for x in texts]
+        new = [x for x in set().union(*(x for x in by_text if x)) if x not in self.known]
+        again = {x: ids for x in new if (ids := self.older.get(x)) is not None}
+        first = [x for x in new if x not in again]
+        own = dict(zip(first, self.encode(first))) | again
+        self.known.update((x, ids) for x, ids in own.items() if len(x) <= _CACHED_CHARS)
+        look = (lambda x: self.known.get(x) or own[x]) if any(len(x) > _CACHED_CHARS for x in own) else self.known.__getitem__
+        whole = iter(self.encode([x for x, words in zip(texts, by_text) if words is None]))
+        return [next(whole) if words is None else b"".join(map(look, words)) for words in by_text]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -72,15 +88,16 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, WordIds(tokenizer))
+        words = kept(("word ids", tokenizer), lambda: WordIds(tokenizer))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = words.text(text or "") + end
-                n = len(ids) // 4
-                for start in range(0, n, length):
-                    part = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
+            for at in range(0, len(batch), _TEXTS):
+                some = batch[at : at + _TEXTS]
+                for doc_id, ids in zip(some["doc_id"], words.texts([x or "" for x in some["text"]])):
+                    n = len(ids := ids + end) // 4
+                    for start in range(0, n, length):
+                        part = ids[4 * start : 4 * (start + length)]
+                        rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_mart.llm import mixing, packing
+from ledger_mart.llm import mixing, packing, syncmers, topk
 from ledger_mart.llm.common import table
 
 
@@ -17,6 +17,29 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP6_SQL = """
+    with vectors as (
+        select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+        from embeddings
+        where vec_id is not null and len(embedding) > 0
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (
+        select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+        from vectors q, vectors c
+        where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+    select query_id, cast(rank as integer) as rank, vec_id, score
+    from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+    where rank <= 5"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -60,6 +83,8 @@ OP9_SQL = """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_syncmers": op5_syncmers,
+        "op6_topk": op6_topk,
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,
     }
@@ -67,5 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_topk": OP6_SQL,
         "op9_mixing": OP9_SQL,
     }
