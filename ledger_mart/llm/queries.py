@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_mart.llm import mixing, packing, syncmers, topk
-from ledger_mart.llm.common import table
+from ledger_mart.llm import language, mixing, packing, partenum, suffix_tree, syncmers, topk, toxicity
+from ledger_mart.llm.common import held_out, table
 
 
 def _tokenizer() -> str:
@@ -17,6 +17,47 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 4)
+    scored = toxicity.toxicity(documents, table(spark, sf_dir, "labels"), ~out)
+    predicted = (F.col("score") >= toxicity.CUT).cast("int")
+    return scored.select("doc_id", out.alias("held_out"), "score", predicted.alias("predicted"), "window")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out("doc_id", 4)
+    found = language.identified(table(spark, sf_dir, "documents"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+OP4_SQL = """
+    with recursive words as (
+        select doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+        from documents),
+    sets as (
+        select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as s
+        from words),
+    items as (select doc_id, len(s) as n, unnest(s) as x from sets),
+    links as (
+        select a.doc_id as a, b.doc_id as b
+        from items a join items b on a.x = b.x and a.doc_id <> b.doc_id
+        group by a.doc_id, b.doc_id, a.n, b.n
+        having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+    reach as (
+        select doc_id, doc_id as other from sets
+        union
+        select r.doc_id, l.b from reach r join links l on r.other = l.a)
+    select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.component_id
+    from sets s join (select doc_id, min(other) as component_id from reach group by doc_id) r using (doc_id)"""
+
+
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -40,6 +81,12 @@ OP6_SQL = """
     where rank <= 5"""
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out("doc_id", 7)
+    found = suffix_tree.scored(table(spark, sf_dir, "documents"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -83,8 +130,12 @@ OP9_SQL = """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
+        "op3_language": op3_language,
+        "op4_partenum": op4_partenum,
         "op5_syncmers": op5_syncmers,
         "op6_topk": op6_topk,
+        "op7_suffix_tree": op7_suffix_tree,
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,
     }
@@ -92,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_partenum": OP4_SQL,
         "op6_topk": OP6_SQL,
         "op9_mixing": OP9_SQL,
     }
