@@ -29,6 +29,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _least(values: list[Column]) -> Column:
+    return F.least(*values) if len(values) > 1 else values[0]
+
+
 def anchors(symbols: Column, k: int, s: int) -> Column:
     """array<struct<pos int, hash int>>: the closed syncmers of an array of symbols, in order."""
     def found(h: Column) -> Column:
@@ -39,7 +43,7 @@ def anchors(symbols: Column, k: int, s: int) -> Column:
             inner = k - s + 1
             at = F.filter(
                 F.sequence(F.lit(0), F.size(h) - k),
-                lambda i: F.least(F.get(g, i), F.get(g, i + inner - 1)) <= F.least(*[F.get(g, i + j) for j in range(1, inner - 1)]),
+                lambda i: F.least(F.get(g, i), F.get(g, i + inner - 1)) <= _least([F.get(g, i + j) for j in range(1, inner - 1)]),
             )
             return F.transform(at, lambda i: F.struct(i.alias("pos"), F.hash(*run(i, k)).alias("hash")))
 
