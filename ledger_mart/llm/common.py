@@ -10,8 +10,10 @@ import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def schema_of(df: DataFrame, keep: Sequence[str], added: str) -> T.StructType:
+    """The columns kept and those of a DDL string, all nullable."""
+    own = [T.StructField(c, df.schema[c].dataType) for c in keep]
+    return T.StructType([*own, *T.StructType.fromDDL(added).fields])
+
+
+def extended(batch: pa.RecordBatch, keep: Sequence[str], **added: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added.values()], names=[*keep, *added])
+
+
 def kept(key: Any, make: Callable[[], Any]) -> Any:
     """What ``make`` returned for the key, kept by this process for later tasks. Functions
     travel by value, so their module's globals would last for one task only."""

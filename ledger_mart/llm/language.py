@@ -19,18 +19,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import kept
+from ledger_mart.llm.common import extended, kept, schema_of
 from ledger_mart.llm.learning import by_chance, sample_by_class, whitening
 
 SYMBOLS = 64
 FEATURES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
-SAMPLE = 4000  # texts learned from, at most
-LANDMARKS = 400
-RIDGE = 1e-4
+SAMPLE = 2000  # texts learned from, at most
+LANDMARKS = 300
+RIDGE = 1e-3
 UNKNOWN = "und"
 
 
@@ -80,8 +80,9 @@ class Model:
         return sums / np.sqrt([len(f) for f in found])[:, None] + self.bias
 
 
-def fit(found: list[np.ndarray], languages: list[str]) -> Model | None:
-    """Texts in an order of chance; the landmarks are the first of each language in turn."""
+def fit(found: list[np.ndarray], languages: list[str], counts: dict[str, int]) -> Model | None:
+    """Texts in an order of chance; the landmarks are the first of each language in turn.
+    Each language weighs as its count in the corpus, however many of its texts are here."""
     pairs = [(f, lang) for f, lang in zip(found, languages) if len(f)]
     if not pairs:
         return None
@@ -103,7 +104,8 @@ def fit(found: list[np.ndarray], languages: list[str]) -> Model | None:
     white = whitening(kernel[marks])
     features = kernel @ white
     truth = np.where(np.array(languages)[:, None] == np.array(names), 1.0, -1.0)
-    balance = 1 / np.array([languages.count(x) for x in languages]) * len(found) / len(names)
+    balance = np.array([counts[x] / languages.count(x) for x in languages])
+    balance *= len(found) / balance.sum()
     centre, middle = np.average(features, axis=0, weights=balance), np.average(truth, axis=0, weights=balance)
     x, y = features - centre, truth - middle
     left = x.T @ (x * balance[:, None]) + RIDGE * len(found) * np.eye(x.shape[1])
@@ -115,37 +117,38 @@ def fit(found: list[np.ndarray], languages: list[str]) -> Model | None:
 
 def learn(docs: DataFrame, most: int = SAMPLE) -> Model | None:
     """From at most about ``most`` rows with a lang; features are made where the rows are."""
-    rows, _ = sample_by_class(docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang"), "lang", "doc_id", most)
+    rows, counts = sample_by_class(docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang"), "lang", "doc_id", most)
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "lang": batch["lang"], "found": [presence(t).tobytes() for t in batch["text"]]})
+            found = [presence(t.as_py()).tobytes() for t in batch.column("text")]
+            yield extended(batch, ["doc_id", "lang"], found=pa.array(found, pa.binary()))
 
-    got = by_chance(rows.mapInPandas(features, "doc_id string, lang string, found binary").collect(), "doc_id")
-    return fit([np.frombuffer(r["found"], np.int32) for r in got], [r["lang"] for r in got])
+    got = by_chance(rows.mapInArrow(features, schema_of(rows, ["doc_id", "lang"], "found binary")).collect(), "doc_id")
+    return fit([np.frombuffer(r["found"], np.int32) for r in got], [r["lang"] for r in got], counts)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id unless given) with lang_pred and score."""
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(model and vars(model))
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence, model = Presence(), sent.value and Model(**sent.value)
         for batch in batches:
             predicted, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
             for at in range(0, len(batch), 512):
-                found = [presence(t) for t in batch["_text"][at : at + 512]]
+                found = [presence(t.as_py()) for t in batch.column("_text")[at : at + 512]]
                 some = [i for i, f in enumerate(found) if len(f)] if model else []
                 if some:
                     value = model.scores([found[i] for i in some])
                     for i, best, v in zip(some, value.argmax(axis=1), value.max(axis=1)):
                         predicted[at + i], score[at + i] = model.languages[best], min(1.0, max(0.0, (v + 1) / 2))
-            yield batch[keep].assign(lang_pred=predicted, score=score)
+            yield extended(batch, keep, lang_pred=pa.array(predicted, pa.string()), score=pa.array(score))
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(scored, schema)
+    schema = schema_of(docs, keep, "lang_pred string, score double")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scored, schema)
 
 
 def identified(docs: DataFrame, taught: Column) -> DataFrame:

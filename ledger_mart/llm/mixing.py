@@ -88,6 +88,6 @@ def emit(docs: DataFrame, mix: DataFrame) -> DataFrame:
     source and text are one document with the copies of all of them."""
     keys = ["doc_id", "source", "text_hash"]
     often = mix.groupBy(*keys).agg(F.sum("copies").alias("copies")).where("copies > 0")
-    once = docs.select("*", F.xxhash64("text").alias("text_hash")).dropDuplicates(keys)
+    once = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", F.xxhash64("text").alias("text_hash")).dropDuplicates(keys)
     times = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
-    return joined(once, often, keys).select(*docs.columns, times.alias("_copy")).drop("_copy")
+    return joined(once, often, keys).select("_doc", times.alias("_copy")).select("_doc.*")

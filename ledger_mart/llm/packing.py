@@ -21,7 +21,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,22 +87,23 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     """(doc_id, start, length, ids_crc32, doc_tokens): documents cut at multiples of ``length``."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept(("word ids", tokenizer), lambda: WordIds(tokenizer))
         for batch in batches:
             rows = []
             for at in range(0, len(batch), _TEXTS):
-                some = batch[at : at + _TEXTS]
-                for doc_id, ids in zip(some["doc_id"], words.texts([x or "" for x in some["text"]])):
+                some = batch.slice(at, _TEXTS)
+                texts = [x.as_py() or "" for x in some.column("text")]
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), words.texts(texts)):
                     n = len(ids := ids + end) // 4
                     for start in range(0, n, length):
                         part = ids[4 * start : 4 * (start + length)]
                         rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(names), names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    )
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, ", ".join(f"{n} long" for n in names))
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, dict[int, int]]]:

@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_mart.llm import language, mixing, packing, partenum, suffix_tree, syncmers, topk, toxicity
+from ledger_mart.llm import html, language, license, mixing, packing, partenum, suffix_tree, syncmers, topk, toxicity
 from ledger_mart.llm.common import held_out, table
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     out = held_out("doc_id", 4)
@@ -88,7 +92,7 @@ def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +132,13 @@ OP9_SQL = """
     from lined"""
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license": op1_license,
         "op2_toxicity": op2_toxicity,
         "op3_language": op3_language,
         "op4_partenum": op4_partenum,
@@ -138,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_tree": op7_suffix_tree,
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,
+        "op10_html": op10_html,
     }
 
 

@@ -26,12 +26,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import joined, written
+from ledger_mart.llm.common import extended, joined, schema_of, written
 
 DEPTH = 3
 LEAST_SHARE = 2e-6
@@ -201,24 +200,24 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     base_by_id[[START, RARE]] = root_by_id[[START, RARE]] = 0.0
     known_by_id = by_id > 0
     known_by_id[[START, RARE]] = False
-    schema = named.select(
-        *keep, "taught", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("root"),
-        F.array(F.lit(0)).alias("ids"), F.array(F.lit(b"")).alias("rare"),
-    ).schema
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = ids_sent.value.get
         for batch in batches:
             out = []
-            for text in batch["text"]:
-                words = tokens(text)
+            for text in batch.column("text"):
+                words = tokens(text.as_py())
                 ids = np.fromiter((ids_of(w, RARE) for w in words), np.int32, len(words))
                 ids = np.concatenate([[START], ids, [END]]).astype(np.int32)
                 rare = [words[i] for i in np.flatnonzero(ids == RARE) - 1]
                 out.append((len(words) + 1, int(known_by_id[ids].sum()), float(base_by_id[ids].sum()), float(root_by_id[ids].sum()), ids, rare))
-            yield pd.concat([batch.drop(columns="text").reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "root", "ids", "rare"])], axis=1)
-
-    encoded = written(named.mapInPandas(encode, schema).withColumn("_row", F.monotonically_increasing_id()), "encoded")
+            n, known, base, root, ids, rare = zip(*out) if out else [()] * 6
+            yield extended(
+                batch, [*keep, "taught"], n_tokens=pa.array(n, pa.int64()), n_known=pa.array(known, pa.int64()), base=pa.array(base, pa.float64()),
+                root=pa.array(root, pa.float64()), ids=pa.array(ids, pa.list_(pa.int32())), rare=pa.array(rare, pa.list_(pa.binary())),
+            )
+
+    schema = schema_of(named, [*keep, "taught"], "n_tokens long, n_known long, base double, root double, ids array<int>, rare array<binary>")
+    encoded = written(named.mapInArrow(encode, schema).withColumn("_row", F.monotonically_increasing_id()), "encoded")
     tree = Tree(symbols, [], root_by_id * math.log(10))
     for _ in range(DEPTH):
         tree.levels.append(grown(run_counts(encoded, symbols, tree.levels, least), symbols, tree.levels))

@@ -28,11 +28,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import joined, kept
+from ledger_mart.llm.common import extended, joined, kept, schema_of
 from ledger_mart.llm.learning import by_chance, sample_by_class, whitening
 
 SAMPLE = 4000  # labelled documents learned from, at most
@@ -241,12 +241,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     known = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), toxic.where("doc_id is not null"), ["doc_id"])
     rows, counts = sample_by_class(known, "toxic", "doc_id", most)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [" ".join(sorted(windows(t))) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "toxic": batch["toxic"], "found": found})
+            found = [" ".join(sorted(windows(t.as_py()))) for t in batch.column("text")]
+            yield extended(batch, ["doc_id", "toxic"], found=pa.array(found, pa.string()))
 
-    got = by_chance(rows.mapInPandas(cut, "doc_id string, toxic int, found string").collect(), "doc_id")
+    got = by_chance(rows.mapInArrow(cut, "doc_id long, toxic int, found string").collect(), "doc_id")
     total = sum(counts.values())
     return fit([set(r["found"].split()) for r in got], np.array([r["toxic"] for r in got], int), counts.get(1, 0) / total if total else 0.0)
 
@@ -255,10 +255,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """The columns ``keep`` (doc_id unless given) with score and ``window``, the one that decided it."""
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
-    schema = docs.select(*keep, F.lit(0.0).alias("score"), F.lit("").alias("window")).schema
     run = uuid.uuid4().hex  # margins stay known to a process from task to task of one run
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**sent.value)
         state = kept("margins", dict)
         if state.get("run") != run:
@@ -267,16 +266,18 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         for batch in batches:
             margin, window = [], []
             for at in range(0, len(batch), 256):
-                found = [windows(t) for t in batch["_text"][at : at + 256]]
+                found = [windows(t.as_py()) for t in batch.column("_text")[at : at + 256]]
                 if len(known) > _KEPT:
                     known.clear()
                 known.update(margins_of(model, set().union(*found) - known.keys()))
                 best = [max(f, key=known.__getitem__, default="") for f in found]
                 window += [b or None for b in best]
                 margin += [known[b] if b else -1e3 for b in best]
-            yield batch[keep].assign(score=model.chance(np.array(margin, float)), window=window)
+            score = model.chance(np.array(margin, float))
+            yield extended(batch, keep, score=pa.array(score), window=pa.array(window, pa.string()))
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(scored, schema)
+    schema = schema_of(docs, keep, "score double, window string")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scored, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, taught: Column) -> DataFrame:
