@@ -45,6 +45,7 @@ ROUNDS = 5
 CUT = 0.3
 _EDGE, _OTHER = 0, 1
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
+_INSERTED = re.compile(r"[\W_]+")
 _TRIM = ".,!?;:\"'()[]{}«»…-"
 _KEPT = 400_000
 
@@ -61,12 +62,14 @@ def _symbols() -> np.ndarray:
 
 
 def windows(text: str | None) -> set[str]:
-    """The different windows of a text: its words in lower case, long ones in pieces, and
-    rows of single characters put together."""
+    """The different windows of a text: its words in lower case, those with signs also without
+    them, rows of single characters put together, and long windows in pieces."""
     text = (text or "").lower()
     found = {w.strip(_TRIM) or w for w in set(text.split())}
     if "  " in text or re.search(r"(?<!\S)\S\s\S\s\S(?!\S)", text):
         found |= {"".join(m.group().split()) for m in _SPACED.finditer(text)}
+    for odd in [w for w in found if not w.isalnum()]:
+        found.add(_INSERTED.sub("", odd) or odd)
     for long in [w for w in found if len(w) > WINDOW]:
         found.remove(long)
         found |= {long[i : i + WINDOW] for i in range(0, len(long) - WINDOW // 2, WINDOW // 2)}

@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ledger_mart.llm import packing
+
+path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def rows(docs, length=packing.LENGTH):
+    return [r.asDict() for r in packing.pack(docs, path, length).collect()]
+
+
+def check(found, texts, length):
+    """Each id in one piece, pieces gapless in their sequences."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in found:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert by_doc.keys() == texts.keys()
+    for doc_id, text in texts.items():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(by_doc[doc_id], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for parts in by_sequence.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= length
+    return len(by_sequence)
+
+
+def test_round_trip(documents):
+    texts = dict(enumerate([None, "", "  ", "Hello, world!", "word " * 300, "A,b;c!! it's don't 3.14 x", "café İΣ 日本", "a\x1cb　c <|endoftext|>d", "x" * 500, "é e ́"]))
+    assert check(rows(documents(list(texts.values())), 64), texts, 64) < 20
+
+
+def test_little_padding(documents):
+    rng = random.Random(1)
+    texts = {i: "one " * min(int(rng.expovariate(1 / 40)), 300) for i in range(900)}
+    found = rows(documents(list(texts.values())), 128)
+    sequences = check(found, texts, 128)
+    assert sequences * 128 <= 1.03 * sum(r["length"] for r in found) + 128
+
+
+def test_no_documents_and_repeated_ones(documents):
+    assert rows(documents([])) == []
+    found = rows(documents([(1, "a b", "en", "s")] * 3 + [(None, "a", "en", "s")]))
+    assert len({(r["sequence_id"], r["offset"]) for r in found}) == 4
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 50), max_size=15))
+def test_patterns_hold_the_histogram(histogram):
+    patterns = packing.shortest_pack_first(histogram, 40)
+    held = defaultdict(int)
+    for count, parts in patterns:
+        assert count > 0 and sum(k * v for k, v in parts.items()) <= 40
+        for length, many in parts.items():
+            held[length] += count * many
+    assert held == histogram
+    assert len(patterns) <= 2 * len(histogram) + 1

@@ -1,0 +1,111 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ledger_mart.llm import partenum
+
+
+def sets_of(texts, words):
+    found = {}
+    for i, text in texts:
+        own = (text or "").encode().lower().split()
+        found[i] = {tuple(own[j : j + words]) for j in range(len(own) - words + 1)} if len(own) >= words else ({tuple(own)} if own else set())
+    return found
+
+
+def brute(texts, words, percent):
+    """Sizes and least reachable ids."""
+    sets = sets_of(texts, words)
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                label[high] = low
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def found(docs, words, percent):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in partenum.near_duplicates(docs, words, percent).collect()}
+
+
+def corpus(seed, groups=12):
+    """Families of texts edited again and again, so that links form chains."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [None, "", " \n", "Only", "only", "two words", "TWO words", "É x y", "é x y"]
+    for _ in range(groups):
+        words = rng.choices(vocabulary, k=rng.choice((3, 8, 20, 45, 130, 300)))
+        for _ in range(rng.randint(1, 9)):
+            texts.append(" ".join(words))
+            for _ in range(rng.randint(0, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+    common = " ".join(rng.choices(vocabulary, k=12))
+    texts += [f"{common} {' '.join(rng.choices(vocabulary, k=15))}" for _ in range(25)]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("words", "percent", "seed"), [(3, 90, 1), (5, 80, 2), (2, 60, 3)])
+def test_equals_brute_force(documents, words, percent, seed):
+    texts = corpus(seed)
+    assert found(documents([(i, t, "en", "s") for i, t in texts]).repartition(4), words, percent) == brute(texts, words, percent)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.integers(50, 99), st.integers(0, 10**6), st.data())
+def test_like_sets_share_a_signature(size, percent, seed, data):
+    """Also where they differ as much as the similarity allows, and lie in two bands."""
+    rng = np.random.default_rng(seed)
+    whole = rng.integers(0, 2**63, 2 * size + 4, dtype=np.uint64)
+    gone = data.draw(st.integers(0, size - 1))
+    new = data.draw(st.integers(0, size))
+    a, b = whole[:size], np.r_[whole[gone:size], whole[size : size + new]]
+    bands = partenum.Bands(percent)
+    both = size - gone
+    if 100 * both < percent * (len(a) + len(b) - both) or both == len(a) == len(b):
+        return
+    signatures = [
+        {int(x) for band in (bands.of(len(s)), bands.of(len(s)) + 1) for x in bands.signatures([np.unique(s)], band)[0]} for s in (a, b)
+    ]
+    assert signatures[0] & signatures[1]
+
+
+def test_no_rows_repeated_ids_and_null_ids(documents):
+    assert found(documents([]), 3, 90) == {}
+    rows = [(1, "a b c d", "en", "s"), (1, "x y z v", "en", "s"), (7, "x y z v", "en", "s"), (None, "x y z v", "en", "s"), (9, None, "en", "s")]
+    got = sorted(tuple(r) for r in partenum.near_duplicates(documents(rows), 3, 90).collect() if r["doc_id"] is not None)
+    assert {r[0]: r[2] for r in got} == {1: 1, 7: 1, 9: 9} and len(got) == 4
+
+
+def test_large_group_of_copies_is_salted(documents, monkeypatch):
+    monkeypatch.setattr(partenum, "_SALTED", 5)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(40):
+        own = list(words)
+        own[rng.randrange(200)] = f"x{i}"
+        texts.append((i, " ".join(own)))
+    texts += [(100 + i, texts[0][1]) for i in range(40)]
+    assert found(documents([(i, t, "en", "s") for i, t in texts]), 3, 90) == brute(texts, 3, 90)
+
+
+def test_one_of_each(documents):
+    texts = corpus(8, 5)
+    docs = documents([(i, t, "en", "s") for i, t in texts] + [(None, "x", "en", "s")])
+    kept = partenum.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = {c for _, c in brute(texts, 5, 80).values()} | {None}
+    assert sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in kept.collect())

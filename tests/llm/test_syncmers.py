@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledger_mart.llm import syncmers
+
+
+def prints(docs):
+    return {r["doc_id"]: r for r in syncmers.fingerprints(docs).collect()}
+
+
+def test_edited_texts_and_order(documents, monkeypatch):
+    monkeypatch.setattr(syncmers, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(syncmers, "STRIDE", 2)
+    rng = random.Random(1)
+    texts = {i * 7: " ".join(rng.choices("ab c déf gh \U0001f600 i j".split(" "), k=rng.randint(0, 60))) for i in range(40)}
+    texts[3], texts[5] = None, ""
+    found = prints(documents([(i, t, "en", "s") for i, t in texts.items()]).repartition(5))
+    order = sorted(texts)
+    for at, i in enumerate(order):
+        own, after = texts[i] or "", texts[order[(at + 1) % len(order)]] or ""
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        assert found[i]["n_chars"] == len(own)
+        assert found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= found[i]["near_edited"] <= 1 and 0 <= found[i]["near_next"] <= 1
+
+
+def by_definition(symbols, k, s, key):
+    """Places of closed syncmers, from the runs' hashes."""
+    places = []
+    for i in range(len(symbols) - k + 1):
+        inner = [key(symbols[i + j : i + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            places.append(i)
+    return places
+
+
+def test_anchors_are_closed_syncmers(spark):
+    rng = random.Random(3)
+    words = rng.choices("the of and a to in is it for on with".split(), k=120)
+    frame = spark.createDataFrame([(words,)], "w array<string>")
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.xxhash64(F.get("w", i)), F.xxhash64(F.get("w", i + 1))))
+    row = frame.select(syncmers.anchors(F.col("w"), 8, 2).alias("a"), runs.alias("r")).first()
+    key = {tuple(words[i : i + 2]): h for i, h in enumerate(row["r"])}
+    want = by_definition(words, 8, 2, lambda x: key[tuple(x)])
+    assert [a["pos"] for a in row["a"]] == want
+    assert max(b - a for a, b in zip(want, want[1:])) <= 8 - 2 + 1  # no wide gap
+
+
+def test_likeness(documents):
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(400))
+    other = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(400))
+    found = prints(documents([long, long, other, "", None, "one", "a short text of ten words or so, no more"]))
+    assert found[0]["fingerprint"] == found[1]["fingerprint"] and found[0]["near_next"] == 1
+    assert found[1]["near_edited"] == pytest.approx(1 / 3, abs=0.12)
+    assert found[1]["near_next"] < 0.02 and found[0]["fingerprint"] != found[2]["fingerprint"]
+    assert found[3]["near_next"] == 1 and found[4]["near_next"] == 0  # both empty; one empty
+    assert found[6]["near_edited"] > 0.1
+
+
+def test_no_rows_one_row_null_and_repeated_ids(documents):
+    assert prints(documents([])) == {}
+    (only,) = syncmers.fingerprints(documents(["abcd"])).collect()
+    assert only["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and only["near_next"] == 1
+    rows = syncmers.fingerprints(documents([(None, "a", "en", "s"), (2, "b", "en", "s"), (2, "b", "en", "s")])).collect()
+    assert len(rows) == 3
+
+
+def test_no_python_in_the_plan(documents):
+    plan = syncmers.fingerprints(documents(["a b c"] * 3))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
