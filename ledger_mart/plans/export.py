@@ -14,14 +14,23 @@ from ledger_mart.plans.batch_date import checked_batch_date
 from ledger_mart.plans.report import RunReport
 from ledger_mart.sinks.fact import replace_dates, replace_table
 from ledger_mart.sources.fact import read_fact, read_fact_partitions
-from ledger_mart.storage import require_disjoint
+from ledger_mart.storage import partition_count, require_apart
 
 
-def export_full(spark: SparkSession, fact_path: str, export_path: str) -> RunReport:
-    """Replace the mart by the whole fact table, with every column any file has."""
-    require_disjoint(spark, fact_path, export_path)
+def export_full(
+    spark: SparkSession, fact_path: str, export_path: str, flagged: bool | None = None
+) -> RunReport:
+    """Replace the mart by the whole fact table, with every column any file has.
+
+    That reads every footer first. ``flagged`` declares the columns instead, for a table
+    that has no others: those of the contract with or without the flag. A table without
+    dates is ``empty`` and leaves the mart as it is.
+    """
+    require_apart(spark, fact_path, export_path)
+    if partition_count(spark, fact_path) == 0:
+        return RunReport(None, "empty", 0, fact_path, export_path)
     seen = Observation("full export")
-    fact = read_fact(spark, fact_path, merge_schema=True)
+    fact = read_fact(spark, fact_path, flagged=flagged)
     replace_table(fact.observe(seen, row_total().alias("rows")), export_path)
     return RunReport(None, "exported", seen.get["rows"], fact_path, export_path)
 
@@ -35,7 +44,7 @@ def export_partition(
     mart stays as it is and the status says why.
     """
     checked_batch_date(batch_date)
-    require_disjoint(spark, fact_path, export_path)
+    require_apart(spark, fact_path, export_path)
     status = export_status(spark, fact_path, batch_date)
     rows = 0
     if status == "exported":

@@ -1,8 +1,8 @@
 """Loads: raw ledger to fact table.
 
-A load into an existing table scans the raw files once. The row counts come from an
-observation in the stage that writes, above the last shuffle: Spark counts each task
-of that stage once, also when tasks are retried or an executor is lost.
+A load scans the raw files once. The row counts come from an observation in the stage
+that writes, above the last shuffle: Spark counts each task of that stage once, also
+when tasks are retried or an executor is lost.
 
 ``gather`` off skips the shuffle before the write, which is right where each raw file
 holds few dates.
@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_mart.functions.columns import flag_total, row_total
+from ledger_mart.functions.columns import flag_of, flag_total, row_total
 from ledger_mart.operators.layout import gather_by_date, spread_one_date
 from ledger_mart.operators.transform import (
     add_flag,
@@ -25,23 +25,31 @@ from ledger_mart.operators.transform import (
 )
 from ledger_mart.plans.batch_date import checked_batch_date
 from ledger_mart.plans.report import RunReport
-from ledger_mart.schema import DATE
+from ledger_mart.schema import DATE, FLAG
 from ledger_mart.sinks.fact import replace_dates, replace_table
 from ledger_mart.sources.fact import read_fact_partitions
 from ledger_mart.sources.raw import read_raw
-from ledger_mart.storage import path_exists, require_disjoint
+from ledger_mart.storage import path_exists, remove_empty_folder, require_apart
 
 FlagStep = Callable[[DataFrame], DataFrame]
 
 
-def _nothing_to_write(spark: SparkSession, batch: DataFrame, output_path: str) -> bool:
-    """The empty-batch gate that has to run before the write.
+def _flagged(batch: DataFrame, flag: FlagStep) -> DataFrame:
+    """Cleaned rows with the flag as the contract's type, whatever the step gives.
 
-    An empty write with dynamic overwrite changes nothing in a table that exists, so
-    the write's own count is gate enough there and the raw files are not scanned
-    twice. Only a first run has to look first, lest it create an empty table.
+    A flag that doesn't fit is NULL; further columns of the step stay.
     """
-    return not path_exists(spark, output_path) and batch.isEmpty()
+    return batch.transform(clean).transform(flag).withColumn(FLAG, flag_of(F.col(FLAG)))
+
+
+def _replace_dates(spark: SparkSession, facts: DataFrame, output_path: str, seen: Observation) -> None:
+    """One scan, also of a batch without rows: an empty write with dynamic overwrite changes
+    nothing in a table that exists, and the empty folder it makes of one that doesn't is
+    removed again."""
+    existed = path_exists(spark, output_path)
+    replace_dates(facts, output_path)
+    if not existed and not any(seen.get.values()):
+        remove_empty_folder(spark, output_path)
 
 
 def daily_job(
@@ -57,19 +65,15 @@ def daily_job(
     A date without rows leaves the table as it is, and ends normally.
     """
     checked_batch_date(batch_date)
-    require_disjoint(spark, input_path, output_path)
+    require_apart(spark, input_path, output_path)
     batch = read_raw(spark, input_path).transform(filter_batch_date, batch_date)
-    rows = flagged = 0
-    if not _nothing_to_write(spark, batch, output_path):
-        seen = Observation("daily job")
-        facts = batch.transform(clean).transform(flag)
-        if gather:
-            facts = facts.transform(spread_one_date)
-        replace_dates(
-            facts.observe(seen, row_total().alias("rows"), flag_total().alias("flagged")),
-            output_path,
-        )
-        rows, flagged = seen.get["rows"], seen.get["flagged"] or 0
+    seen = Observation("daily job")
+    facts = _flagged(batch, flag)
+    if gather:
+        facts = facts.transform(spread_one_date)
+    facts = facts.observe(seen, row_total().alias("rows"), flag_total().alias("flagged"))
+    _replace_dates(spark, facts, output_path, seen)
+    rows, flagged = seen.get["rows"], seen.get["flagged"] or 0
     return RunReport(
         batch_date=batch_date,
         status="written" if rows else "no_data",
@@ -96,23 +100,23 @@ def backfill(
     if not batch_dates:
         raise ValueError("no batch dates")
     wanted = sorted({checked_batch_date(d) for d in batch_dates})
-    require_disjoint(spark, input_path, output_path)
+    require_apart(spark, input_path, output_path)
     batch = read_raw(spark, input_path).transform(filter_batch_dates, wanted)
     counts = {}
-    if not _nothing_to_write(spark, batch, output_path):
-        seen = Observation("backfill")
-        facts = batch.transform(clean).transform(flag)
-        if gather:
-            facts = facts.transform(gather_by_date)
-        # The set holds requested dates only, so it is no longer than the request.
-        replace_dates(facts.observe(seen, F.collect_set(DATE).alias("dates")), output_path)
-        written = [d.isoformat() for d in seen.get["dates"]]
-        if written:
-            fresh = read_fact_partitions(spark, output_path, written, merge_schema=False)
-            per_date = fresh.groupBy(DATE).agg(
-                row_total().alias("rows"), flag_total().alias("flagged")
-            )
-            counts = {r[DATE].isoformat(): r for r in per_date.collect()}
+    seen = Observation("backfill")
+    facts = _flagged(batch, flag)
+    if gather:
+        facts = facts.transform(gather_by_date)
+    # The set holds requested dates only, so it is no longer than the request.
+    facts = facts.observe(seen, F.collect_set(DATE).alias("dates"))
+    _replace_dates(spark, facts, output_path, seen)
+    written = [d.isoformat() for d in seen.get["dates"]]
+    if written:
+        fresh = read_fact_partitions(spark, output_path, written, merge_schema=False)
+        per_date = fresh.groupBy(DATE).agg(
+            row_total().alias("rows"), flag_total().alias("flagged")
+        )
+        counts = {r[DATE].isoformat(): r for r in per_date.collect()}
     return [
         RunReport(
             batch_date=d,
@@ -139,7 +143,7 @@ def full_load(
     empties the table, as a full refresh means; with ``allow_empty`` off it leaves
     the table alone.
     """
-    require_disjoint(spark, input_path, output_path)
+    require_apart(spark, input_path, output_path)
     raw = read_raw(spark, input_path)
     if not allow_empty and raw.isEmpty():
         return RunReport(None, "no_data", 0, input_path, output_path)

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ledger_mart.schema import DATE
+from ledger_mart.storage import require_shared
 
 
 def _overwrite(df: DataFrame, path: str, radius: str) -> None:
+    require_shared(df.sparkSession, path)
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", radius)

@@ -16,16 +16,18 @@ def read_fact(
     path: str,
     dates: Sequence[str] | None = None,
     flagged: bool | None = None,
-    merge_schema: bool = False,
+    merge_schema: bool | None = None,
 ) -> DataFrame:
     """The fact table, or the given dates of it by partition pruning.
 
-    With ``flagged`` unset the columns are discovered from the files. A table that
-    holds both full-load files (no flag) and daily files (with flag) needs either
-    ``flagged=True``, which declares the schema and opens no footer, or
-    ``merge_schema=True``, which reads every footer in a distributed job.
+    With ``flagged`` unset every column that any file has is there, found in a distributed
+    job that reads all footers: full-load files have no flag, daily files do, and a flag
+    step may add more. ``flagged`` declares the contract's columns with or without the flag
+    and opens no footer; ``merge_schema=False`` takes the columns of one file.
     """
     reader = spark.read
+    if merge_schema is None:
+        merge_schema = flagged is None
     if flagged is not None:
         reader = reader.schema(fact_schema(flagged))
     fact = reader.option("mergeSchema", merge_schema).parquet(path)
@@ -66,4 +68,6 @@ def file_inventory(
     )
     if DATE not in files.columns:  # no file to infer it from
         files = files.withColumn(DATE, F.lit(None))
-    return files.select(F.col(DATE).cast("date").alias(DATE), "path", "length")
+    # Tasks are cut by bytes, none of which is read: a few of them will do.
+    listed = files.select(F.col(DATE).cast("date").alias(DATE), "path", "length")
+    return listed.coalesce(spark.sparkContext.defaultParallelism)

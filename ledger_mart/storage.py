@@ -7,9 +7,13 @@ reach the driver's Python.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
+from itertools import combinations
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ledger_mart.schema import DATE
@@ -42,14 +46,61 @@ def partition_count(spark: SparkSession, table: str) -> int:
     return len(fs.listStatus(hadoop_path, only_dates))
 
 
-def require_disjoint(spark: SparkSession, source: str, target: str) -> None:
-    """Refuse to overwrite a table with a plan that reads it."""
-    fs, source_path = _resolve(spark, source)
-    left = fs.makeQualified(source_path).toString().rstrip("/") + "/"
-    fs, target_path = _resolve(spark, target)
-    right = fs.makeQualified(target_path).toString().rstrip("/") + "/"
-    if left.startswith(right) or right.startswith(left):
-        raise ValueError(f"{target} overlaps {source}, which the same job reads")
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """Store and path components; components may hold glob characters."""
+    fs, hadoop_path = _resolve(spark, path)
+    uri = fs.makeQualified(hadoop_path).toUri()
+    resolved = [p for p in uri.getPath().split("/") if p]
+    if any(p.count("{") != p.count("}") for p in resolved):
+        raise ValueError(f"{path}: braces around a slash can't be told apart from other paths")
+    return [f"{uri.getScheme()}://{uri.getAuthority() or ''}", *resolved]
+
+
+def overlap(spark: SparkSession, left: str, right: str) -> bool:
+    """Whether one path is, holds or lies in the other, now or for any match of a glob.
+
+    Component by component either may match the other as a pattern; nothing is listed,
+    so a glob also covers what doesn't exist yet.
+    """
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern
+    pairs = zip(_parts(spark, left), _parts(spark, right))
+    return all(a == b or glob(a).matches(b) or glob(b).matches(a) for a, b in pairs)
+
+
+def require_apart(spark: SparkSession, *paths: str) -> None:
+    """Refuse a job any two of whose paths overlap; it would read or replace what it writes."""
+    for left, right in combinations(paths, 2):
+        if overlap(spark, left, right):
+            raise ValueError(f"{right} overlaps {left}, which the same job uses")
+
+
+def require_shared(spark: SparkSession, path: str) -> None:
+    """Refuse to write to a local disk from a cluster, where each executor has its own."""
+    fs, hadoop_path = _resolve(spark, path)
+    local = fs.makeQualified(hadoop_path).toUri().getScheme() == "file"
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{path} is a local disk, a different one for each executor")
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _resolve(spark, path)
+    fs.mkdirs(hadoop_path)
+
+
+def remove_empty_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder unless something is in it, be it from another job meanwhile."""
+    fs, hadoop_path = _resolve(spark, path)
+    if fs.exists(hadoop_path) and len(fs.listStatus(hadoop_path)) == 0:
+        with contextlib.suppress(Py4JJavaError):  # filled meanwhile: then it stays
+            fs.delete(hadoop_path, False)
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a table under a scratch path; any other path is refused."""
+    if "/ledger-mart/" not in path:
+        raise ValueError(f"{path} is no scratch path")
+    fs, hadoop_path = _resolve(spark, path)
+    fs.delete(hadoop_path, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -4,7 +4,6 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ledger_mart.fixtures import events_ledger, staged_ledger, write_raw_csv
@@ -140,6 +139,36 @@ def test_mart_outlives_a_table_that_was_emptied(spark, raw, fact, mart, tmp_path
     empty = write_raw_csv(events_ledger(spark, SF_DIR).where("1 = 0"), str(tmp_path / "none"))
     loaded, exported = full_end_to_end(spark, empty, fact, mart, allow_empty=False)
     assert (loaded.status, exported.rows) == ("no_data", 1000)
-    with pytest.raises(AnalysisException):
-        full_end_to_end(spark, empty, fact, mart)
+    loaded, exported = full_end_to_end(spark, empty, fact, mart)
+    assert (loaded.status, exported.status, exported.rows) == ("no_data", "empty", 0)
     assert partition_count(spark, mart) == 30
+    assert export_full(spark, f"{fact}-none", mart).status == "empty"
+
+
+@pytest.mark.parametrize("target", ["{raw}", "{raw}/mart", "{parent}", "{fact}", "{fact}/mart", "{parent}/r*"])
+def test_no_end_to_end_run_touches_what_it_reads(spark, raw, fact, target):
+    before = sorted(Path(raw).iterdir())
+    export = target.format(raw=raw, parent=Path(raw).parent, fact=fact)
+    with pytest.raises(ValueError):
+        full_end_to_end(spark, raw, fact, export)
+    with pytest.raises(ValueError):
+        daily_end_to_end(spark, raw, fact, export, DAY)
+    assert sorted(Path(raw).iterdir()) == before and not Path(fact).exists()
+
+
+def test_declared_columns_spare_the_footer_pass(spark, raw, fact, mart):
+    full_load(spark, raw, fact)
+    daily_job(spark, raw, fact, DAY)
+
+    def jobs(run, group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            run()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    found = jobs(lambda: export_full(spark, fact, f"{mart}-found"), "found")
+    declared = jobs(lambda: export_full(spark, fact, mart, flagged=True), "declared")
+    assert declared < found
+    assert rows(read_fact(spark, mart)) == rows(read_fact(spark, f"{mart}-found")) == rows(read_fact(spark, fact))

@@ -6,6 +6,7 @@ from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 from ledger_mart.fixtures import events_ledger, staged_ledger, write_raw_csv
 from ledger_mart.operators.audit import NoOutputError, output_gate, partition_audit
 from ledger_mart.operators.transform import add_flag, clean, filter_batch_date
+from ledger_mart.plans.export import export_full
 from ledger_mart.plans.load import backfill, daily_job, full_load
 from ledger_mart.plans.report import run_report
 from ledger_mart.schema import AMOUNT, DATE, FLAG, LABEL, RAW_COLUMNS
 from ledger_mart.sinks.fact import replace_dates, replace_table
 from ledger_mart.sources.fact import file_inventory, read_fact
-from ledger_mart.storage import partition_count
+from ledger_mart.sources.raw import read_raw
+from ledger_mart.storage import overlap, partition_count, require_shared
 
 SF_DIR = "/root/testdata/sf0.001"
 DAYS = ["2024-01-03", "2024-01-04", "2024-01-05"]
@@ -197,13 +200,75 @@ def test_a_flag_step_may_have_another_type_and_more_columns(spark, raw, out):
     assert dict(read_fact(spark, out).dtypes)["score"] == "double"
 
 
+def test_flags_of_other_types_share_a_table(spark, raw, out):
+    daily_job(spark, raw, out, DAYS[0])
+    daily_job(spark, raw, out, DAYS[1], flag=lambda df: df.withColumn(FLAG, F.col(LABEL) * 3_000_000_000))
+    daily_job(spark, raw, out, DAYS[2], flag=lambda df: df.withColumn(FLAG, F.col(LABEL) == 1).withColumn("extra", F.lit("x")))
+    fact = read_fact(spark, out)
+    assert dict(fact.dtypes)[FLAG] == "int" and "extra" in fact.columns
+    assert fact.where((F.col(DATE) == DAYS[1]) & (F.col(LABEL) == 1)).select(FLAG).distinct().collect() == [(None,)]
+    assert export_full(spark, out, f"{out}-mart").rows == read_fact(spark, out, flagged=True).count() == fact.count()
+
+
+def test_a_default_read_has_every_column(spark, raw, out):
+    full_load(spark, raw, out)
+    daily_job(spark, raw, out, DAYS[0])
+    fact = read_fact(spark, out)
+    assert FLAG in fact.columns and fact.where(F.col(FLAG).isNotNull()).count() == sum(expected(spark, DAYS[0]).values())
+
+
 @pytest.mark.parametrize("job", [full_load, daily_job, backfill])
 def test_a_load_onto_its_own_input_is_refused(spark, raw, job):
     rest = {full_load: [], daily_job: [DAYS[0]], backfill: [DAYS]}[job]
-    for target in (raw, f"{raw}/fact", str(Path(raw).parent)):
+    folder = Path(raw)
+    for source, target in (
+        (raw, raw), (raw, f"{raw}/fact"), (raw, str(folder.parent)),
+        (f"{folder.parent}/*", raw), (f"{folder.parent}/*/", f"{folder.parent}/fact"),
+        (f"{folder.parent.parent}/*/{folder.name}", str(folder.parent)),
+        (f"{folder.parent.parent}/[!x]*/raw", f"{folder.parent}"),
+        (f"{raw}/*.csv", raw),
+    ):
         with pytest.raises(ValueError):
-            job(spark, raw, target, *rest)
-    assert (Path(raw) / "_SUCCESS").exists()
+            job(spark, source, target, *rest)
+    assert (folder / "_SUCCESS").exists() and list(folder.glob("*.csv"))
+
+
+def test_a_first_run_without_rows_keeps_what_another_job_wrote(spark, raw, out, monkeypatch):
+    """The folder of an empty first run goes, but not if it has filled meanwhile."""
+    from ledger_mart.plans import load
+
+    write = load.replace_dates
+
+    def slow(facts, path):
+        write(facts, path)
+        daily_job(spark, raw, path, DAYS[0])
+
+    monkeypatch.setattr(load, "replace_dates", lambda facts, path: (monkeypatch.undo(), slow(facts, path)))
+    assert daily_job(spark, raw, out, "1999-01-01").status == "no_data"
+    assert read_fact(spark, out).count() == sum(expected(spark, DAYS[0]).values())
+
+
+def test_paths_of_other_stores_and_names_do_not_overlap(spark):
+    assert not overlap(spark, "file:///a/b", "file:///a/bc")
+    assert not overlap(spark, "/a/*/raw", "/a/b/fact")
+    assert overlap(spark, "/a/{b,c}", "file:/a/c/d") and overlap(spark, "/a/b", "/a/b/")
+    with pytest.raises(ValueError):
+        overlap(spark, "/a/{b/x,c}", "/z")
+
+
+def test_local_disks_are_refused_on_a_cluster(spark, tmp_path):
+    cluster = SimpleNamespace(
+        sparkContext=SimpleNamespace(master="yarn", _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc)
+    )
+    with pytest.raises(ValueError):
+        require_shared(cluster, str(tmp_path))
+    require_shared(spark, str(tmp_path))
+
+
+def test_subfolders_are_read_if_asked(spark, raw, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "deeper").symlink_to(raw)
+    assert read_raw(spark, str(tmp_path / "raw"), recursive=True).count() == 1000
 
 
 @pytest.mark.parametrize("bad", ["20240103", "2024-1-3", "2024-01-03T00:00:00", "2024-02-30", ""])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -16,6 +18,7 @@ from ledger_mart.operators.transform import (
     add_flag, clean, filter_batch_date, filter_batch_dates,
 )
 from ledger_mart.plans.load import backfill, daily_job, full_load
+from ledger_mart.plans.report import RunReport, report_frame
 from ledger_mart.schema import DATE, FLAG, RAW_COLUMNS, TXN_NO
 from ledger_mart.sources.fact import file_inventory, read_fact, read_fact_partitions
 from ledger_mart.sources.raw import read_raw
@@ -64,6 +67,23 @@ def test_layout_is_one_shuffle(spark, raw, capsys):
         text = plan(facts.transform(layout), capsys)
         assert text.count("REBALANCE_PARTITIONS_BY_COL") == 1
         assert f"hashpartitioning({key}" in text
+        assert re.search(r"hashpartitioning\([^)]*, (200|2000)\), REBALANCE", text)
+
+
+def test_files_are_bounded_whatever_the_session_says(spark, session_conf, hot_raw, tmp_path):
+    """Each split writes a file of a date or two, not one of each date of its partition."""
+    session_conf({
+        "spark.sql.shuffle.partitions": "2",
+        "spark.sql.files.maxPartitionBytes": "1m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "50k",
+    })
+    out = str(tmp_path / "fact")
+    full_load(spark, hot_raw, out)
+    sizes = sum(p.stat().st_size for p in Path(hot_raw).glob("*.csv"))
+    splits, dates = sizes // 100_000 + 1, 30
+    assert splits >= 30
+    assert sum(file_counts(out).values()) <= 2 * (splits + dates)
 
 
 @pytest.mark.parametrize(
@@ -78,8 +98,9 @@ def test_no_shuffle_where_a_hot_date_would_not_be_split(
 ):
     session_conf({switch: "false"})
     facts = read_raw(spark, raw).transform(clean)
-    assert "Exchange" not in plan(facts.transform(gather_by_date), capsys)
-    assert "Exchange" not in plan(facts.transform(spread_one_date), capsys)
+    for layout in (gather_by_date, spread_one_date):
+        with pytest.warns(UserWarning, match="written as scanned"):
+            assert "Exchange" not in plan(facts.transform(layout), capsys)
 
 
 def test_fact_dates_are_pruned(spark, fact, capsys):
@@ -121,6 +142,27 @@ def test_a_load_scans_the_raw_files_once(spark, raw, tmp_path):
     scanned = jobs_of(spark, lambda: daily_job(spark, raw, out, DAY, gather=False), "scanned")
     assert scanned == 1
     assert jobs_of(spark, lambda: daily_job(spark, raw, out, "1999-01-01"), "empty") <= 2
+    fresh = str(tmp_path / "fresh")
+    assert jobs_of(spark, lambda: daily_job(spark, raw, fresh, "1999-01-01"), "absent") <= 2
+    assert not Path(fresh).exists()
+    assert jobs_of(spark, lambda: daily_job(spark, raw, fresh, DAY), "first") == 2
+    backfilled = jobs_of(spark, lambda: backfill(spark, raw, f"{fresh}-2", [DAY]), "backfill")
+    assert backfilled == jobs_of(spark, lambda: backfill(spark, raw, f"{fresh}-2", [DAY]), "again")
+
+
+def test_inventory_tasks_do_not_grow_with_the_files(spark, session_conf, fact):
+    session_conf({"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "0"})
+    files = file_inventory(spark, fact)
+    assert files.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert files.count() > files.rdd.getNumPartitions()
+
+
+def test_many_reports_cost_no_plan_each(spark):
+    reports = [RunReport(f"2024-01-{i:04}", "written", i, "/in", "/out", 0) for i in range(3650)]
+    start = time.perf_counter()
+    rows = report_frame(spark, reports).collect()
+    assert time.perf_counter() - start < 5
+    assert [r["rows"] for r in rows] == list(range(3650))
 
 
 def file_counts(path):
