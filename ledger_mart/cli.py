@@ -13,7 +13,7 @@ from ledger_mart.plans.batch_date import checked_batch_date, resolve_batch_date
 from ledger_mart.plans.end_to_end import daily_end_to_end, full_end_to_end
 from ledger_mart.plans.export import export_full, export_partition
 from ledger_mart.plans.load import backfill, daily_job, full_load
-from ledger_mart.plans.report import RunReport, run_report
+from ledger_mart.plans.report import RunReport, report_records
 from ledger_mart.schema import DATE
 from ledger_mart.session import build_session
 from ledger_mart.sources.fact import read_fact
@@ -63,7 +63,13 @@ def _parser() -> argparse.ArgumentParser:
     dates = job("backfill", "load the given dates in one scan")
     dates.add_argument("--dates", required=True, nargs="+", type=_day)
     dated(job("export-date", "export one date of a fact table", load=False))
-    job("export", "export a whole fact table", load=False)
+    whole = job("export", "export a whole fact table", load=False)
+    whole.add_argument(
+        "--columns",
+        choices=["found", "plain", "flagged"],
+        default="found",
+        help="those of all files (reads every footer), or the contract's without or with the flag",
+    )
     audit = jobs.add_parser("audit", help="rows per date of a fact table")
     audit.add_argument("--input", required=True)
     return parser
@@ -95,21 +101,26 @@ def run(spark: SparkSession, args: argparse.Namespace) -> Sequence[RunReport]:
             return backfill(spark, source, target, args.dates, **layout)
         case "export-date":
             return [export_partition(spark, source, target, args.date)]
+        case "export":
+            flagged = {"found": None, "plain": False, "flagged": True}[args.columns]
+            return [export_full(spark, source, target, flagged)]
         case _:
-            return [export_full(spark, source, target)]
+            raise ValueError(f"unknown job {args.job}")
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     args = parse(argv)
     spark = build_session(f"ledger_mart_{args.job}", getattr(args, "date", None))
-    if args.job == "audit":
-        audit = partition_audit(read_fact(spark, args.input, flagged=False))
-        for row in audit.orderBy(DATE).collect():  # one row per date
-            print(json.dumps({"date": row[DATE] and str(row[DATE]), "rows": row["row_count"]}))
-    else:
-        for row in run_report(spark, run(spark, args)).collect():
-            print(json.dumps(row.asDict(), ensure_ascii=False))
-    spark.stop()
+    try:
+        if args.job == "audit":
+            audit = partition_audit(read_fact(spark, args.input, flagged=False))
+            for row in audit.orderBy(DATE).collect():  # one row per date
+                print(json.dumps({"date": row[DATE] and str(row[DATE]), "rows": row["row_count"]}))
+        else:
+            for record in report_records(spark, run(spark, args)):
+                print(json.dumps(record, ensure_ascii=False))
+    finally:
+        spark.stop()
 
 
 if __name__ == "__main__":

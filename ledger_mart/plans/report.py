@@ -5,21 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledger_mart.schema import DATE
 from ledger_mart.sources.fact import file_inventory
 from ledger_mart.storage import partition_count
 
 REPORT_TYPES = {
-    "batch_date": "string",
-    "status": "string",
-    "rows": "long",
-    "input_path": "string",
-    "output_path": "string",
-    "flagged": "long",
+    "batch_date": pa.string(),
+    "status": pa.string(),
+    "rows": pa.int64(),
+    "input_path": pa.string(),
+    "output_path": pa.string(),
+    "flagged": pa.int64(),
 }
+LISTED_TYPES = {**REPORT_TYPES, "partitions": pa.int64(), "files": pa.int64()}
 
 
 @dataclass(frozen=True)
@@ -36,13 +37,9 @@ class RunReport:
     flagged: int | None = None
 
 
-def _frame(spark: SparkSession, records: Sequence[dict], types: dict[str, str]) -> DataFrame:
-    """A few driver-side records as literals: a plan that needs no Python worker."""
-    rows = [
-        F.struct(*[F.lit(record[c]).cast(t).alias(c) for c, t in types.items()])
-        for record in records
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def _frame(spark: SparkSession, records: Sequence[dict], types: dict) -> DataFrame:
+    """Driver-side records, one for each date asked for, as local rows."""
+    return spark.createDataFrame(pa.Table.from_pylist(list(records), pa.schema(types)))
 
 
 def report_frame(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
@@ -53,7 +50,7 @@ def status_frame(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame
     return report_frame(spark, reports).select("batch_date", "status", "rows")
 
 
-def run_report(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
+def report_records(spark: SparkSession, reports: Sequence[RunReport]) -> list[dict]:
     """The reports with the number of date partitions in the output and of Parquet
     files in the run's part of it, both from listings."""
     partitions: dict[str, int] = {}
@@ -72,7 +69,7 @@ def run_report(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
                 files[path, row[DATE].isoformat()] = row["count"]
         if None in with_data:
             files[path, None] = file_inventory(spark, path).count()
-    records = [
+    return [
         {
             **asdict(r),
             "partitions": partitions[r.output_path],
@@ -80,4 +77,7 @@ def run_report(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
         }
         for r in reports
     ]
-    return _frame(spark, records, {**REPORT_TYPES, "partitions": "long", "files": "long"})
+
+
+def run_report(spark: SparkSession, reports: Sequence[RunReport]) -> DataFrame:
+    return _frame(spark, report_records(spark, reports), LISTED_TYPES)

@@ -71,6 +71,9 @@ def test_every_job_has_a_subcommand(spark, tmp_path):
     out = ["--input", fact, "--output", mart]
     assert run_job(spark, "export-date", *out, *day) == [("2024-01-03", "exported", 35)]
     assert run_job(spark, "export", *out) == [(None, "exported", 1000)]
+    assert run_job(spark, "export", *out, "--columns", "plain") == [(None, "exported", 1000)]
+    with pytest.raises(ValueError):
+        cli.run(spark, SimpleNamespace(job="other", input=fact, output=mart))
 
 
 def test_command_line_run(spark, tmp_path):
