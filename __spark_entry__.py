@@ -13,21 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledger_mart import cli
-from ledger_mart.fixtures import events_ledger, staged_ledger, write_raw_csv
+from ledger_mart.fixtures import (
+    events_ledger,
+    staged_bad_text,
+    staged_fact,
+    staged_ledger,
+    staged_swapped_header,
+)
 from ledger_mart.operators import audit, transform
 from ledger_mart.plans.end_to_end import daily_end_to_end, full_end_to_end
 from ledger_mart.plans.export import export_full, export_partition
 from ledger_mart.plans.load import backfill, daily_job, full_load
-from ledger_mart.plans.report import report_frame, status_frame
-from ledger_mart.schema import ACCOUNT, AMOUNT, DATE, FLAG, RAW_COLUMNS, TXN_NO
+from ledger_mart.plans.report import run_report, status_frame
+from ledger_mart.schema import AMOUNT, DATE, FLAG, LABEL, RAW_COLUMNS
 from ledger_mart.sinks.fact import replace_table
 from ledger_mart.sources.fact import file_inventory, read_fact
 from ledger_mart.sources.raw import read_raw
-from ledger_mart.storage import scratch_path
+from ledger_mart.storage import make_folder, partition_path, scratch_path
 
 DAY = "2024-01-03"
 NEXT_DAY = "2024-01-04"
 NO_DAY = "1999-01-01"
+EMPTY_DAY = "1999-01-02"
 RANGE = ["2024-01-05", "2024-01-06", "2024-01-07", "2024-01-08", "2024-01-09"]
 FACT_COLUMNS = RAW_COLUMNS
 FLAGGED_COLUMNS = [*RAW_COLUMNS, FLAG]
@@ -40,40 +47,28 @@ def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_raw(spark, staged_ledger(spark, sf_dir))
 
 
-def _with_bad_text(spark: SparkSession, sf_dir: str, column: str, text: str, every: int) -> str:
-    """The whole ledger as CSV, with ``text`` for the column in some of the rows."""
-    bad = F.col(TXN_NO).cast("long") % every == 0
-    ledger = events_ledger(spark, sf_dir).withColumn(
-        column, F.when(bad, F.lit(text)).otherwise(F.col(column).cast("string"))
-    )
-    return write_raw_csv(ledger, scratch_path(spark, "bad-text"))
-
-
 def permissive_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_raw(spark, _with_bad_text(spark, sf_dir, AMOUNT, "abc", every=19))
+    return read_raw(spark, staged_bad_text(spark, sf_dir, AMOUNT, "abc", every=19))
 
 
 def corrupt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _with_bad_text(spark, sf_dir, AMOUNT, "12.5", every=19)
+    path = staged_bad_text(spark, sf_dir, AMOUNT, "12.5", every=19)
     raw = read_raw(spark, path, corrupt_column="line")
     return raw.select(*RAW_COLUMNS, F.col("line").isNotNull().alias("corrupt"))
 
 
 def positional_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    swapped = {TXN_NO: ACCOUNT, ACCOUNT: TXN_NO}
-    header = [swapped.get(c, c) for c in RAW_COLUMNS]
-    ledger = events_ledger(spark, sf_dir).toDF(*header)
-    return read_raw(spark, write_raw_csv(ledger, scratch_path(spark, "swapped")))
+    return read_raw(spark, staged_swapped_header(spark, sf_dir))
 
 
 def fact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_fact(spark, _loaded(spark, sf_dir)).select(*FACT_COLUMNS)
+    return read_fact(spark, staged_fact(spark, sf_dir)).select(*FACT_COLUMNS)
 
 
 def mixed_fact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _loaded(spark, sf_dir)
     daily_job(spark, staged_ledger(spark, sf_dir), out, DAY)
-    return read_fact(spark, out, merge_schema=True).select(*FLAGGED_COLUMNS)
+    return read_fact(spark, out).select(*FLAGGED_COLUMNS)
 
 
 # Row-wise steps
@@ -121,7 +116,7 @@ def full_load_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unparsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "fact")
-    full_load(spark, _with_bad_text(spark, sf_dir, DATE, "2024/01/03", every=3), out)
+    full_load(spark, staged_bad_text(spark, sf_dir, DATE, "2024/01/03", every=3), out)
     return read_fact(spark, out).select(*FACT_COLUMNS)
 
 
@@ -162,6 +157,14 @@ def backfill_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Counts, gates and reports
 
 
+def flag_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two daily runs into one table, the flag step of one giving longs."""
+    raw, out = staged_ledger(spark, sf_dir), scratch_path(spark, "fact")
+    daily_job(spark, raw, out, DAY)
+    daily_job(spark, raw, out, NEXT_DAY, flag=lambda df: df.withColumn(FLAG, F.col(LABEL) * 3_000_000_000))
+    return read_fact(spark, out).select(*FLAGGED_COLUMNS)
+
+
 def batch_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = read_raw(spark, staged_ledger(spark, sf_dir)).transform(
         transform.filter_batch_date, DAY
@@ -174,22 +177,26 @@ def empty_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status_frame(spark, [daily_job(spark, staged_ledger(spark, sf_dir), out, NO_DAY)])
 
 
-def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "fact")
     report = daily_job(spark, staged_ledger(spark, sf_dir), out, DAY)
-    return report_frame(spark, [report]).select("batch_date", "status", "rows", "flagged")
+    return run_report(spark, [report]).select(
+        "batch_date", "status", "rows", "flagged", "partitions", (F.col("files") > 0).alias("has_files")
+    )
 
 
 def partition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.partition_audit(read_fact(spark, _loaded(spark, sf_dir)))
+    return audit.partition_audit(read_fact(spark, staged_fact(spark, sf_dir), flagged=False))
 
 
 def output_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.output_gate(spark, _loaded(spark, sf_dir))
+    out = scratch_path(spark, "fact")
+    full_load(spark, staged_bad_text(spark, sf_dir, DATE, "2024/01/03", every=3), out)
+    return audit.output_gate(spark, out)
 
 
 def file_inventory_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = file_inventory(spark, _loaded(spark, sf_dir))
+    files = file_inventory(spark, staged_fact(spark, sf_dir))
     return files.groupBy(DATE).agg(
         (F.count(F.lit(1)) > 0).alias("has_files"),
         (F.min("length") > 0).alias("has_bytes"),
@@ -201,20 +208,29 @@ def file_inventory_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_full_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mart = scratch_path(spark, "mart")
-    export_full(spark, _loaded(spark, sf_dir), mart)
+    export_full(spark, staged_fact(spark, sf_dir), mart, flagged=False)
     return read_fact(spark, mart).select(*FACT_COLUMNS)
 
 
-def export_partition_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def export_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact, mart = _loaded(spark, sf_dir), scratch_path(spark, "mart")
+    daily_job(spark, staged_ledger(spark, sf_dir), fact, DAY)
+    export_full(spark, fact, mart)
+    return read_fact(spark, mart).select(*FLAGGED_COLUMNS)
+
+
+def export_partition_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fact, mart = staged_fact(spark, sf_dir), scratch_path(spark, "mart")
     for _ in range(2):
         export_partition(spark, fact, mart, DAY)
     return read_fact(spark, mart).select(*FACT_COLUMNS)
 
 
 def export_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fact, mart = _loaded(spark, sf_dir), scratch_path(spark, "mart")
-    reports = [export_partition(spark, fact, mart, day) for day in (DAY, NO_DAY)]
+    fact, mart = scratch_path(spark, "fact"), scratch_path(spark, "mart")
+    daily_job(spark, staged_ledger(spark, sf_dir), fact, DAY)
+    make_folder(spark, partition_path(fact, EMPTY_DAY))
+    reports = [export_partition(spark, fact, mart, day) for day in (DAY, NO_DAY, EMPTY_DAY)]
     return status_frame(spark, reports)
 
 
@@ -283,13 +299,15 @@ def ledger_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rerun_idempotent": rerun_idempotent,
         "dynamic_overwrite": dynamic_overwrite,
         "backfill": backfill_query,
+        "flag_types": flag_types,
         "batch_row_count": batch_row_count,
         "empty_batch": empty_batch,
-        "run_report": run_report,
+        "run_report": run_report_query,
         "partition_audit": partition_audit,
         "output_gate": output_gate,
         "file_inventory": file_inventory_query,
         "export_full": export_full_query,
+        "export_mixed": export_mixed,
         "export_partition": export_partition_query,
         "export_status": export_status,
         "daily_end_to_end": daily_end_to_end_query,
@@ -363,27 +381,36 @@ def ledger_sql() -> dict[str, str]:
         "rerun_idempotent": day_flagged,
         "dynamic_overwrite": f"select * from {flagged} where {both_days}",
         "backfill": f'select * from {flagged} where "거래일자" in ({days})',
+        "flag_types": f"""
+            select * replace (cast(case when {on_day} or fds_flag = 0 then fds_flag end as integer) as fds_flag)
+            from {flagged} where {both_days}""",
         "batch_row_count": f"select count(*) as row_count from {raw} where {on_day}",
         "empty_batch": status(NO_DAY, "written", "no_data"),
         "run_report": f"""
             select '{DAY}' as batch_date,
                    case when count(*) > 0 then 'written' else 'no_data' end as status,
                    count(*) as "rows",
-                   cast(coalesce(sum(fds_flag), 0) as bigint) as flagged
+                   cast(coalesce(sum(fds_flag), 0) as bigint) as flagged,
+                   count(distinct "거래일자") as partitions, count(*) > 0 as has_files
             from {flagged} where {on_day}""",
         "partition_audit": f"""
             select "거래일자", count(*) as row_count from {clean} group by "거래일자" """,
         "output_gate": f"""
-            select count(distinct "거래일자") as partitions,
-                   count(distinct "거래일자") > 0 as passed
-            from {clean}""",
+            select count(distinct "거래일자") filter (number % 3 <> 0)
+                     + cast(bool_or(number % 3 = 0) as bigint) as partitions,
+                   count(*) > 0 as passed
+            from (select *, cast("거래번호" as bigint) as number from {clean})""",
         "file_inventory": f"""
             select "거래일자", count(*) > 0 as has_files, count(*) > 0 as has_bytes
             from {clean} group by "거래일자" """,
         "export_full": all_clean,
+        "export_mixed": f"""
+            select * replace (case when {on_day} then fds_flag end as fds_flag)
+            from {flagged}""",
         "export_partition": day_clean,
         "export_status": f"""{status(DAY, 'exported', 'skipped')}
-            union all {status(NO_DAY, 'exported', 'skipped')}""",
+            union all {status(NO_DAY, 'exported', 'skipped')}
+            union all {status(EMPTY_DAY, 'exported', 'empty')}""",
         "daily_end_to_end": day_flagged,
         "full_end_to_end": all_clean,
     }
