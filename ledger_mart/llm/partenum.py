@@ -8,8 +8,8 @@ one choice of inner parts, and all choices are enumerated, so like sets share on
 
 Equal sets are one class. In each bucket of a signature every class is held against the
 bucket's centre, by the exact sets; classes that this leaves in different components are
-then held against each other. So a group of near copies costs pairs in proportion to its
-size, and no link is lost.
+then held against each other, in blocks. So a group of near copies costs pairs in
+proportion to its size, and no link is lost.
 
 Defined results: null, empty and blank texts have the empty set and are linked with nothing; with fewer
 words than a shingle has, the whole sequence is one; rows that share an id belong
@@ -20,7 +20,7 @@ an empty table gives no rows; other columns of the input are not read.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -29,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import joined, written
+from ledger_mart.llm.common import joined, kept, written
 
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
-_SALTED = 2000  # members of a centre that one group holds at most, or about so
+_SALTED = 500  # members of a centre that one group holds at most, or about so
 _SEEN = 200_000
+_LOT_BYTES = 1 << 20
+_BLOCK = 512  # members of a centre that are compared with each other at once, or with as many more
+_COLUMNS = 8192
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -44,21 +47,77 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    from xxhash import xxh64_intdigest
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    both = [np.ones(n, np.uint64) for _ in range(2)]
+    for array, x in zip(both, (base, pow(base, -1, 2**64))):
+        array[1:] = np.uint64(x)
+        np.multiply.accumulate(array, out=array)
+    return both[0], both[1]
 
-    # bytes: lower() changes A-Z only, and split() parts at ASCII white space only
-    own = (text or "").encode().lower().split()
-    hashes = np.fromiter(map(xxh64_intdigest, own), np.uint64, len(own))
-    if not len(own):
-        return hashes
-    size = min(words, len(own))
-    n = len(own) - size + 1
-    found = np.full(n, size, np.uint64)
-    for i in range(size):
-        found = mixed(found * _MIX[2] + hashes[i : i + n], i + 1)
-    return np.unique(found)
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words, A-Z as lower case.
+
+    A word's hash is a polynomial in its bytes, each replaced by a random number, taken
+    from running sums over all of them.
+    """
+    byte = np.frombuffer(data, np.uint8)
+    size = 1 << max(16, len(data).bit_length())
+    power, inverse = kept(("powers", size), lambda: _powers(size))
+    spaces, value = kept("bytes", _byte_tables)
+    space = np.r_[True, spaces[byte], True]
+    starts = np.flatnonzero(space[:-2] & ~space[1:-1])
+    ends = np.flatnonzero(~space[1:-1] & space[2:]) + 1
+    sums = np.zeros(len(byte) + 1, np.uint64)
+    np.cumsum(value[byte] * power[: len(byte)], out=sums[1:])
+    return starts, mixed((sums[ends] - sums[starts]) * inverse[starts], 1)
+
+
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    value = mixed(np.arange(256, dtype=np.uint64), 101)
+    value[65:91] = value[97:123]
+    return space, value
+
+
+def shingle_sets(texts: Sequence[str | None], words: int) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its distinct shingles; texts are worked on together."""
+    found: list[np.ndarray] = []
+    lot: list[bytes] = []
+    size = 0
+    for i, text in enumerate(texts):
+        lot.append((text or "").encode())
+        size += len(lot[-1])
+        if size > _LOT_BYTES or i == len(texts) - 1:
+            found += _lot_sets(lot, words)
+            lot, size = [], 0
+    return found
+
+
+def _lot_sets(lot: list[bytes], words: int) -> list[np.ndarray]:
+    starts, hashes = word_hashes(b"\n".join(lot))
+    ends = np.cumsum([len(x) + 1 for x in lot])
+    bounds = np.r_[0, np.searchsorted(starts, ends)]
+
+    def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+        n = max(0, len(hashes) - size + 1)
+        found = np.full(n, size, np.uint64)
+        for i in range(size):
+            found = mixed(found * _MIX[2] + hashes[i : i + n], i + 1)
+        return found
+
+    whole = runs(hashes, words)
+    sets = []
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if z - a >= words:
+            own = np.sort(whole[a : z - words + 1])
+            sets.append(own[np.r_[True, own[1:] != own[:-1]]])
+        else:
+            sets.append(runs(hashes[a:z], z - a) if z > a else hashes[:0])
+    return sets
 
 
 class Bands:
@@ -121,15 +180,21 @@ def set_classes(docs: DataFrame, words: int) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            classes = [class_of(s) if len(s) else None for s in sets]
+            sets = shingle_sets(batch.column("text").to_pylist(), words)
+            classes = [name if len(s) else None for s, name in zip(sets, classes_of(sets))]
             yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(classes, pa.int64())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, n_shingles long, class long")
 
 
-def class_of(found: np.ndarray) -> int:
-    return int(mixed(mixed(found, 3).sum(keepdims=True) + np.uint64(len(found)), 5).view(np.int64)[0])
+def classes_of(sets: list[np.ndarray]) -> list[int]:
+    """A hash of each set; of the empty one too."""
+    length = np.array([len(s) for s in sets], np.uint64)
+    sums = np.zeros(len(sets) + 1, np.uint64)
+    if sets:
+        running = np.cumsum(np.r_[np.zeros(1, np.uint64), mixed(np.concatenate(sets), 3)], dtype=np.uint64)
+        sums = running[np.r_[0, np.cumsum(length.astype(np.int64))]]
+    return mixed(np.diff(sums) + length * _MIX[2], 5).view(np.int64).tolist()
 
 
 def class_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -139,43 +204,41 @@ def class_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in batches:
-            by_band: dict[int, list[np.ndarray]] = {}
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, words)
-                if len(found) and (name := class_of(found)) not in seen:
+            by_band: dict[int, list[tuple[int, np.ndarray]]] = {}
+            sets = shingle_sets(batch.column("text").to_pylist(), words)
+            for name, own in zip(classes_of(sets), sets):
+                if len(own) and name not in seen:
                     seen = {name} if len(seen) > _SEEN else seen
                     seen.add(name)
-                    for band in (bands.of(len(found)), bands.of(len(found)) + 1):
-                        by_band.setdefault(band, []).append(found)
-            for band, sets in by_band.items():
-                found = bands.signatures(sets, band)
+                    for band in (bands.of(len(own)), bands.of(len(own)) + 1):
+                        by_band.setdefault(band, []).append((name, own))
+            for band, named in by_band.items():
+                names, sets = zip(*named)
+                found = bands.signatures(list(sets), band)
                 many = [len(f) for f in found]
                 if sum(many):
                     yield pa.record_batch([
                         pa.array(np.concatenate(found).view(np.int64)),
-                        pa.array(np.repeat([class_of(s) for s in sets], many)),
+                        pa.array(np.repeat(np.array(names, np.int64), many)),
                         pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), many)),
                     ], schema=schema)
 
     return docs.select("text").mapInArrow(signed, "signature long, class long, n int")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose exact sets are like enough.
 
-    Of each class one document's text goes where the pair's b is compared; a class b with
-    many partners is compared in several groups. Groups are read row by row, b first, so
-    that memory holds one set of each side.
+    The classes' texts go where the pair's b is compared; a class b with many partners is
+    compared in several groups. Groups are read row by row, b first, so that memory holds
+    one set of each side.
     """
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / _SALTED).cast("int").alias("salts"))
     salted = joined(pairs, many, ["b"])
     members = salted.select(F.col("a").alias("class"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     centres = many.select(F.col("b").alias("class"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    wanted = joined(members.unionByName(centres), classes.select("class", "first_id"), ["class"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     dealt = (
-        wanted.join(texts, F.col("first_id") == F.col("_id"))
-        .select("b", "salt", "role", "class", "text")
+        joined(members.unionByName(centres), texts, ["class"])
         .repartition("b", "salt")
         .sortWithinPartitions("b", "salt", "role")
     )
@@ -184,8 +247,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         at, centre, centres = None, None, []
         for batch in batches:
             found = []
-            for b, salt, role, a, text in zip(*(batch[c] for c in ("b", "salt", "role", "class", "text"))):
-                own = shingles(text, words)
+            sets = shingle_sets(batch["text"].tolist(), words)
+            for b, salt, role, a, own in zip(*(batch[c] for c in ("b", "salt", "role", "class")), sets):
                 if role == 0:  # rows that share an id may give a class several texts
                     centres = [*centres, own] if at == (b, salt) else [own]
                     at = (b, salt)
@@ -201,6 +264,67 @@ def is_like(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def linked(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets alike enough that have different labels; of those that other pairs link
+    already, not every one.
+
+    Common shingles are counted by products of the sets' presence matrix, a range of
+    shingles at a time.
+    """
+    size = np.array([len(s) for s in sets])
+    item, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(item, kind="stable")
+    item, of = item[order], of[order]
+    first = np.r_[True, item[1:] != item[:-1]]
+    shared = np.repeat(np.diff(np.r_[np.flatnonzero(first), len(item)]) > 1, np.diff(np.r_[np.flatnonzero(first), len(item)]))
+    column = np.cumsum(first & shared) - 1
+    column, of = column[shared], of[shared]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, z = np.searchsorted(column, [start, start + _COLUMNS])
+        held = np.zeros((len(sets), _COLUMNS), np.float32)
+        held[of[a:z], column[a:z] - start] = 1
+        both += held @ held.T
+    alike = (100 * both >= percent * (size[:, None] + size - both)) & (labels[:, None] < labels)
+    root = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    found = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(alike))):
+        a, b = top(i), top(j)
+        if a != b:
+            root[a] = b
+            found.append((i, j))
+    return found
+
+
+def verified_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (centre, class, label) of one centre that differ in label.
+
+    A centre's members are dealt into blocks of about _BLOCK, and each pair of blocks is a group
+    of its own, so that no task holds more than two blocks.
+    """
+    many = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    each = joined(members, many, ["centre"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = joined(each, texts, ["class"]).select(
+        "centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class", "label", "text"
+    )
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        sets = shingle_sets(group["text"].tolist(), words)
+        name = group["class"].to_numpy(np.int64)
+        pairs = linked(sets, group["label"].to_numpy(np.int64), percent) if len(sets) > 1 else []
+        return pd.DataFrame([(name[i], name[j]) for i, j in pairs], columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("centre", "low", "high").applyInPandas(compared, "a long, b long").distinct()
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(class, label): the least label that edges (a, b) reach from each of ``nodes`` (class, label).
 
@@ -240,19 +364,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     to_centre = joined(to_centre, sizes.select(F.col("class").alias("b"), F.col("n").alias("n_b")), ["b"])
     tried = written(to_centre.where(like_size("n", "n_b", percent)).select("a", "b"), "pairs")
     nodes = written(joined(sizes.select("class").distinct(), classes, ["class"]).select("class", F.col("first_id").alias("label")), "nodes")
-    links = written(verified(tried, classes, docs, words, percent), "links")
+    texts = docs.select(F.col("doc_id").cast("long").alias("label"), "text")
+    texts = written(joined(texts, nodes, ["label"]).select("class", "text"), "texts")
+    links = written(verified(tried, texts, words, percent), "links")
     labels = components(nodes, links)
 
-    # classes of one bucket that are still in different components and haven't been compared
-    apart = joined(buckets.where("class <> centre").select("signature", "class", "n").distinct(), labels, ["class"])
+    # classes of one bucket that are still in different components; the centre has met them all
+    apart = joined(buckets.where("class <> centre").select("signature", "centre", "class"), labels, ["class"])
     mixed_up = apart.groupBy("signature").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("signature")
-    apart = written(joined(apart, mixed_up, ["signature"], "left_semi"), "apart")
-    other = apart.select(F.col("signature"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    rest = joined(apart.withColumnRenamed("class", "a"), other, ["signature"]).where((F.col("label") < F.col("label_b")) & like_size("n", "n_b", percent))
-    rest = rest.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-    rest = written(joined(rest, tried, ["a", "b"], "left_anti"), "rest")
+    rest = joined(apart, mixed_up, ["signature"], "left_semi").select("centre", "class", "label").distinct()
+    rest = written(rest, "rest")
     if not rest.isEmpty():
-        more = written(verified(rest, classes, docs, words, percent), "links")
+        more = written(verified_blocks(rest, texts, words, percent), "links")
         if not more.isEmpty():
             labels = components(labels, links.unionByName(more))
 
