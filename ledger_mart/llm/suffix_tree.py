@@ -9,9 +9,9 @@ by the longest state that the words before it end with, so the model's score is
 root's plus a correction from the states.
 
 Counts cover all training documents and are made in Spark: words first, then, level by
-level, runs of two and more words whose shorter runs are frequent. Frequent words and
-runs (at most 1 / LEAST_SHARE a level) are sent to the tasks; the counts of all other
-words stay in Spark and meet the documents in a join.
+level, runs of two and more words whose shorter runs are frequent. The HEAD most counted
+words and the frequent runs (at most 1 / LEAST_SHARE a level) are sent to the tasks; the
+counts of all other words stay in Spark and meet the documents in a join.
 
 Defined results: null and empty texts are the end token alone; without training documents every score
 is 0 and nothing is known; repeated rows get equal results; a row without id is scored
@@ -35,11 +35,13 @@ from ledger_mart.llm.common import extended, joined, schema_of, written
 DEPTH = 3
 LEAST_SHARE = 2e-6
 LEAST_COUNT = 4
+HEAD = 300_000
 DISCOUNT = 0.75
 LOOSE = 4.0  # standard deviations by which a likelihood ratio must exceed its mean
 START, END, RARE = 0, 1, 2
 _FIRST_WORD = 3
-_HELD = 2_000_000  # codes that a task gathers before it passes them on
+_HELD = 4_000_000  # codes, or words, that a task gathers before it passes them on
+_DOCS = 256  # worked on at once
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -80,14 +82,14 @@ class Level:
 
 @dataclass
 class Tree:
-    symbols: int
+    symbols: int  # START, END, RARE and the frequent words; words of the head beyond are as rare
     levels: list[Level]
     log_root: np.ndarray  # by symbol
 
 
 def runs(ids: np.ndarray, symbols: int, levels: list[Level]) -> list[np.ndarray]:
     """For each length, the id of the run that ends at each place of ``ids``, -1 if not frequent."""
-    found = [np.where(ids == RARE, -1, ids)]
+    found = [np.where((ids == RARE) | (ids >= symbols), -1, ids)]
     for level in levels:
         before = np.r_[-1, found[-1][:-1]]
         code = np.where((before >= 0) & (found[0] >= 0), before * symbols + found[0], -1)
@@ -97,6 +99,13 @@ def runs(ids: np.ndarray, symbols: int, levels: list[Level]) -> list[np.ndarray]
     return found
 
 
+def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The ids of a few documents at a time, one after another."""
+    for batch in batches:
+        for at in range(0, len(batch), _DOCS):
+            yield batch.column("ids").slice(at, _DOCS).flatten().to_numpy().astype(np.int64)
+
+
 def run_counts(encoded: DataFrame, symbols: int, levels: list[Level], least: int) -> list[Row]:
     """Codes and counts of the frequent runs one token longer than the last level's."""
     sent = encoded.sparkSession.sparkContext.broadcast([(x.codes, x.counts, x.suffix) for x in levels])
@@ -109,8 +118,7 @@ def run_counts(encoded: DataFrame, symbols: int, levels: list[Level], least: int
             code, count = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             return pa.record_batch([pa.array(code), pa.array(count)], ["code", "count"])
 
-        for batch in batches:
-            ids = batch.column("ids").flatten().to_numpy().astype(np.int64)
+        for ids in ids_of(batches):
             found = runs(ids, symbols, known)
             before, suffix = np.r_[-1, found[-1][:-1]], found[-1]
             ok = (before >= 0) & (suffix >= 0) & (ids != START)
@@ -177,6 +185,25 @@ def corrections(tree: Tree, ids: np.ndarray) -> np.ndarray:
     return np.where(ids == START, 0.0, total)
 
 
+class Ids(dict):
+    """Ids of the head's words; any other word is rare."""
+
+    def __missing__(self, word: bytes) -> int:
+        return RARE
+
+
+def head_threshold(counts: DataFrame) -> int:
+    """The least count that at most HEAD words reach, from how many words have each count."""
+    by_count = {r["count"]: r["words"] for r in counts.groupBy("count").agg(F.count(F.lit(1)).alias("words")).collect()}
+    reached, least = 0, max(by_count, default=0) + 1
+    for n in sorted(by_count, reverse=True):
+        reached += by_count[n]
+        if reached > HEAD:
+            break
+        least = n
+    return least
+
+
 def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (doc_id unless given), n_tokens, n_known, train_tokens, base_score and score.
 
@@ -189,24 +216,26 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     total, kinds, single = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("count") == 1)).first()
     total, kinds, single = total + ends, kinds + (ends > 0), single + (ends == 1)
     least = max(LEAST_COUNT, math.ceil(LEAST_SHARE * total))
-    frequent = sorted((bytes(r["word"]), r["count"]) for r in counts.where(F.col("count") >= least).collect())
-    symbols = _FIRST_WORD + len(frequent)
-    by_id = np.array([ends, ends, 0, *[n for _, n in frequent]], float)
+    head_least = head_threshold(counts)
+    head = [(bytes(r["word"]), r["count"]) for r in counts.where(F.col("count") >= head_least).collect()]
+    head.sort(key=lambda x: (-x[1], x[0]))
+    symbols = _FIRST_WORD + sum(n >= least for _, n in head)
+    by_id = np.array([ends, ends, 0, *[n for _, n in head]], float)
     spared = min(0.95, max(0.05, single / kinds)) if kinds else 0.5
     base = lambda c: np.log10((c + 1) / (total + kinds + 1))
     root = lambda c: np.log10(np.where(c > 0, np.maximum(c - spared, 1e-9), spared * max(kinds, 1)) / max(total, 1))
-    ids_sent = docs.sparkSession.sparkContext.broadcast({w: _FIRST_WORD + i for i, (w, _) in enumerate(frequent)})
+    ids_sent = docs.sparkSession.sparkContext.broadcast({w: _FIRST_WORD + i for i, (w, _) in enumerate(head)})
     base_by_id, root_by_id = base(by_id), root(by_id)
     base_by_id[[START, RARE]] = root_by_id[[START, RARE]] = 0.0
     known_by_id = by_id > 0
     known_by_id[[START, RARE]] = False
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = ids_sent.value.get
+        known = Ids(ids_sent.value)
         for batch in batches:
             out = []
             for text in batch.column("text"):
                 words = tokens(text.as_py())
-                ids = np.fromiter((ids_of(w, RARE) for w in words), np.int32, len(words))
+                ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                 ids = np.concatenate([[START], ids, [END]]).astype(np.int32)
                 rare = [words[i] for i in np.flatnonzero(ids == RARE) - 1]
                 out.append((len(words) + 1, int(known_by_id[ids].sum()), float(base_by_id[ids].sum()), float(root_by_id[ids].sum()), ids, rare))
@@ -218,10 +247,10 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
 
     schema = schema_of(named, [*keep, "taught"], "n_tokens long, n_known long, base double, root double, ids array<int>, rare array<binary>")
     encoded = written(named.mapInArrow(encode, schema).withColumn("_row", F.monotonically_increasing_id()), "encoded")
-    tree = Tree(symbols, [], root_by_id * math.log(10))
+    tree = Tree(symbols, [], root_by_id[:symbols] * math.log(10))
     for _ in range(DEPTH):
         tree.levels.append(grown(run_counts(encoded, symbols, tree.levels, least), symbols, tree.levels))
-    set_states(tree, by_id)
+    set_states(tree, by_id[:symbols])
     tree_sent = docs.sparkSession.sparkContext.broadcast((symbols, tree.log_root, tree.word_rest, [(x.codes, x.counts, x.suffix, x.log_p, x.log_rest) for x in tree.levels]))
 
     def correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,21 +258,17 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
         own = Tree(n, [Level(*x) for x in levels], log_root)
         own.word_rest = word_rest
         for batch in batches:
-            column = batch.column("ids")
-            ids = column.flatten().to_numpy().astype(np.int64)
-            starts = np.flatnonzero(ids == START)
-            sums = np.add.reduceat(corrections(own, ids), starts) / math.log(10) if len(ids) else np.zeros(0)
-            yield pa.record_batch([batch.column("_row"), pa.array(sums)], ["_row", "more"])
+            sums = [np.add.reduceat(corrections(own, ids), np.flatnonzero(ids == START)) for ids in ids_of([batch])]
+            yield pa.record_batch([batch.column("_row"), pa.array(np.concatenate([np.zeros(0), *sums]) / math.log(10))], ["_row", "more"])
 
     more = encoded.select("_row", "ids").mapInArrow(correct, "_row long, more double")
-    rare = encoded.select("_row", F.explode("rare").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("times"))
-    found = joined(rare, counts.where(F.col("count") < least), ["word"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    rare = encoded.select("_row", F.explode("rare").alias("word"))
+    tail = counts.where(F.col("count") < head_least)
+    found = joined(rare, tail, ["word"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     log_base = F.log10((F.col("count") + 1) / float(total + kinds + 1))
     log_root = F.log10(F.when(F.col("count") > 0, F.greatest(F.col("count") - spared, F.lit(1e-9))).otherwise(spared * max(kinds, 1)) / max(total, 1))
     sums = found.groupBy("_row").agg(
-        F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("r_known"),
-        F.sum(F.col("times") * log_base).alias("r_base"),
-        F.sum(F.col("times") * log_root).alias("r_root"),
+        F.count_if(F.col("count") > 0).alias("r_known"), F.sum(log_base).alias("r_base"), F.sum(log_root).alias("r_root")
     )
     both = joined(joined(encoded.drop("ids", "rare"), more, ["_row"]), sums, ["_row"], "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))

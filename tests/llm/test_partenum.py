@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledger_mart.llm import partenum
+from ledger_mart.llm import common, partenum
 
 
 def sets_of(texts, words):
@@ -57,8 +57,10 @@ def corpus(seed, groups=12):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("words", "percent", "seed"), [(3, 90, 1), (5, 80, 2), (2, 60, 3)])
-def test_equals_brute_force(documents, words, percent, seed):
+@pytest.mark.parametrize(("words", "percent", "seed", "rows"), [(3, 90, 1, 10**6), (5, 80, 2, 10**6), (2, 60, 3, 0)])
+def test_equals_brute_force(documents, monkeypatch, words, percent, seed, rows):
+    monkeypatch.setattr(partenum, "SMALL_ROWS", rows)  # of components in one task
+    monkeypatch.setattr(common, "SMALL_ROWS", rows)  # of what is broadcast
     texts = corpus(seed)
     assert found(documents([(i, t, "en", "s") for i, t in texts]).repartition(4), words, percent) == brute(texts, words, percent)
 

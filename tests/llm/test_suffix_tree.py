@@ -32,7 +32,11 @@ def corpus(n=150):
     return rows
 
 
-def test_base_score_by_hand(documents):
+@pytest.mark.parametrize("head", [7, 300_000])
+def test_base_score_by_hand(documents, monkeypatch, head):
+    monkeypatch.setattr(st, "HEAD", head)  # all other words' counts come by the join
+    monkeypatch.setattr(st, "_HELD", 50)
+    monkeypatch.setattr(st, "_DOCS", 9)
     texts = corpus()
     got = score(documents(texts), ~held_out("doc_id", 7))
     counts = Counter()
