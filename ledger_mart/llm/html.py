@@ -108,6 +108,7 @@ class Page:
         self.removable: list[bool] = []
         self.text: list[str] = []
         self.stack = [Element("", False, 0, ())]
+        self.opened = {"a": 0, "p": 0}
         at = 0
         while at < len(html):
             token = _TOKEN.search(html, at)
@@ -140,7 +141,7 @@ class Page:
         if small := " ".join(text.split()):
             top.parts.append(small)
             top.length += len(small)
-            if any(e.tag == "a" for e in self.stack):
+            if self.opened["a"]:
                 top.linked += len(small)
 
     def end_block(self) -> None:
@@ -153,7 +154,7 @@ class Page:
     def open(self, tag: str, rest: str) -> None:
         if tag in BLOCK:
             self.end_block()
-            if any(e.tag == "p" for e in self.stack):
+            if self.opened["p"]:
                 self.close_open(("p",), ("td", "th", "div", "button", "object", "article", "section", "blockquote", "li"))
         if tag in CLOSES:
             ended, fence = CLOSES[tag]
@@ -169,6 +170,8 @@ class Page:
         dropped = top.dropped or is_no_text(tag, rest, top.article > 0)
         article = top.article + (not dropped and is_article(tag, rest))
         self.stack.append(Element(tag, dropped, article, (*top.above, number)))
+        if tag in self.opened:
+            self.opened[tag] += 1
 
     def close_open(self, tags: list[str] | tuple[str, ...], fence: list[str] | tuple[str, ...]) -> bool:
         for depth in range(len(self.stack) - 1, 0, -1):
@@ -200,6 +203,8 @@ class Page:
         if self.stack[-1].tag in BLOCK:
             self.end_block()
         own = self.stack.pop()
+        if own.tag in self.opened:
+            self.opened[own.tag] -= 1
         value = xxh64_intdigest(own.tag + "\0" + "\0".join(own.parts)) - 2**63
         number = own.above[-1]
         self.hashes[number] = value
