@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 #: Lower case for A-Z only, other letters as they are.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+SMALL_ROWS = 1_000_000
+_local_folders: dict[str, str] = {}
 _ROW_BITS = 33  # of monotonically_increasing_id
 
 
@@ -37,8 +39,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        own = spark.sparkContext.applicationId
+        root = _local_folders.get(own) or _local_folders.setdefault(own, tempfile.mkdtemp(prefix="llm-"))
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
@@ -69,6 +71,12 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has at most SMALL_ROWS rows, of a few numbers each; as it is
+    beyond that, and joins shuffle."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on columns of both, null equal to null, with the left side's keys.
     Apart from the keys the two have no column name in common."""

@@ -40,7 +40,8 @@ DISCOUNT = 0.75
 LOOSE = 4.0  # standard deviations by which a likelihood ratio must exceed its mean
 START, END, RARE = 0, 1, 2
 _FIRST_WORD = 3
-_HELD = 4_000_000  # codes, or words, that a task gathers before it passes them on
+_HELD = 4_000_000  # codes that a task gathers before it passes them on
+_HELD_WORDS = 800_000
 _DOCS = 256  # worked on at once
 
 
@@ -60,7 +61,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 counts.update(tokens(text))
-            if len(counts) > _HELD:
+            if len(counts) > _HELD_WORDS:
                 yield out()
                 counts.clear()
         yield out()

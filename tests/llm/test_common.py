@@ -1,0 +1,74 @@
+from __future__ import annotations
+
+from pathlib import Path
+from types import SimpleNamespace
+
+import duckdb
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from ledger_mart.llm import common
+
+
+def session(master, **conf):
+    """As much of a session as the choice of the folder looks at."""
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: conf.get(key.replace(".", "_"), default)),
+        sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"),
+    )
+
+
+def test_tables_go_to_the_shared_folder():
+    cluster = session("yarn", spark_checkpoint_dir="hdfs://shared/checkpoints/")
+    first, second = (common.shared_path(cluster, "x") for _ in range(2))
+    assert first != second and first.startswith("hdfs://shared/checkpoints/llm/x-")
+
+
+def test_a_folder_of_this_machine_only_in_local_mode():
+    one, two = (Path(common.shared_path(session("local[2]"), "x")) for _ in range(2))
+    assert one.parent == two.parent and one.parent.parent.is_dir()
+    with pytest.raises(ValueError):
+        common.shared_path(session("yarn"), "x")
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, "a", "b", "c"]), st.integers(-3, 3) | st.none()), max_size=60))
+def test_ranks(spark, rows):
+    rows = [(g, v, i) for i, (g, v) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "g string, v int, i int").repartition(3)
+    got = {r["i"]: r["rank"] for r in common.ranked(frame, ["g"], ["v", "i"]).collect()}
+    want = {}
+    for group in {g for g, *_ in rows}:
+        own = sorted((r for r in rows if r[0] == group), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r[2]: n for n, r in enumerate(own)}
+    assert got == want
+
+
+def test_ranks_of_a_hot_group_of_equal_rows(spark):
+    frame = spark.range(5000).select((F.col("id") % 1000 == 0).alias("g"), F.lit(1).alias("v"), F.col("id").alias("i"))
+    rows = common.ranked(frame.repartition(8), ["g"], ["v"]).collect()
+    for g, n in ((True, 5), (False, 4995)):
+        assert sorted(r["rank"] for r in rows if r["g"] == g) == list(range(n))
+
+
+def test_joins_take_null_for_equal(spark):
+    left = spark.createDataFrame([(None, 1), (2, 2)], "k int, x int")
+    right = spark.createDataFrame([(None, 3), (5, 4)], "k int, y int")
+    assert [tuple(r) for r in common.joined(left, right, ["k"]).collect()] == [(None, 1, 3)]
+
+
+def test_hashes_are_those_of_sql(spark):
+    texts = ["", "a", "src1", "é\U0001f600"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(common.unit_hash(F.col("t"))).collect()]
+    sql = "select cast('0x' || substr(md5(t), 1, 8) as bigint) / 4294967296.0::double from (select unnest(?::varchar[]) as t)"
+    assert got == [r[0] for r in duckdb.execute(sql, [texts]).fetchall()]
+
+
+def test_small_tables_are_marked(spark, monkeypatch):
+    frame = spark.range(10)
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.small(frame))
+    monkeypatch.setattr(common, "SMALL_ROWS", 9)
+    assert not hinted(common.small(frame))

@@ -36,6 +36,7 @@ def corpus(n=150):
 def test_base_score_by_hand(documents, monkeypatch, head):
     monkeypatch.setattr(st, "HEAD", head)  # all other words' counts come by the join
     monkeypatch.setattr(st, "_HELD", 50)
+    monkeypatch.setattr(st, "_HELD_WORDS", 20)
     monkeypatch.setattr(st, "_DOCS", 9)
     texts = corpus()
     got = score(documents(texts), ~held_out("doc_id", 7))
