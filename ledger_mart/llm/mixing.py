@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import joined, ranked, unit_hash, written
+from ledger_mart.llm.common import joined, ranked, small, unit_hash, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -87,7 +87,12 @@ def emit(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The documents, each as often as the mix has copies of it. Rows alike in doc_id,
     source and text are one document with the copies of all of them."""
     keys = ["doc_id", "source", "text_hash"]
-    often = mix.groupBy(*keys).agg(F.sum("copies").alias("copies")).where("copies > 0")
-    once = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", F.xxhash64("text").alias("text_hash")).dropDuplicates(keys)
+    often = written(mix.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("_rows")), "copies")
+    rows = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", F.xxhash64("text").alias("text_hash"))
+    again = often.where("_rows > 1").select(*keys)
+    if not again.isEmpty():  # only these rows are sorted to keep one of each
+        again = small(written(again, "again"))
+        once = joined(rows, again, keys, "left_semi").dropDuplicates(keys)
+        rows = joined(rows, again, keys, "left_anti").unionByName(once)
     times = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
-    return joined(once, often, keys).select("_doc", times.alias("_copy")).select("_doc.*")
+    return joined(rows, often.where("copies > 0"), keys).select("_doc", times.alias("_copy")).select("_doc.*")
