@@ -71,10 +71,14 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a written table has at most SMALL_ROWS rows, of a few numbers each."""
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has at most SMALL_ROWS rows, of a few numbers each; as it is
-    beyond that, and joins shuffle."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """Marked for broadcast if it is small; as it is beyond that, and joins shuffle."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

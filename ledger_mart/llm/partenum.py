@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import joined, kept, written
+from ledger_mart.llm.common import SMALL_ROWS, joined, kept, small, written
 
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 _SALTED = 500  # members of a centre that one group holds at most, or about so
@@ -325,12 +325,36 @@ def verified_blocks(members: DataFrame, texts: DataFrame, words: int, percent: i
     return dealt.groupBy("centre", "low", "high").applyInPandas(compared, "a long, b long").distinct()
 
 
+def _joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = pd.concat([pd.DataFrame({"kind": [], "x": [], "y": []}, dtype="int64"), *batches])
+    nodes, edges = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+    root = {x: x for x in nodes["x"].tolist()}
+    label = dict(zip(nodes["x"].tolist(), nodes["y"].tolist()))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(edges["x"].tolist(), edges["y"].tolist()):
+        a, b = top(a), top(b)
+        root[a] = b
+        label[b] = min(label[a], label[b])
+    found = [(x, label[top(x)]) for x in root]
+    yield pd.DataFrame(found, columns=["class", "label"], dtype="int64")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(class, label): the least label that edges (a, b) reach from each of ``nodes`` (class, label).
 
-    Rounds of taking the neighbours' least label, then the label of that label's own node,
-    until none changes; each round is written, so lost executors cost one round at most.
+    Both are written tables. Up to SMALL_ROWS rows one task joins them up; beyond, it takes rounds
+    of the neighbours' least label, then the label of that label's own node, until none
+    changes. Each round is written, so lost executors cost one round at most.
     """
+    if nodes.count() + edges.count() <= SMALL_ROWS:
+        rows = nodes.selectExpr("0 as kind", "class as x", "label as y").unionByName(edges.selectExpr("1 as kind", "a as x", "b as y"))
+        return written(rows.coalesce(1).mapInPandas(_joined_up, "class long, label long"), "labels")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     own = nodes.groupBy(F.col("label").alias("of")).agg(F.min("class").alias("class"))
     labels = nodes
@@ -365,7 +389,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     tried = written(to_centre.where(like_size("n", "n_b", percent)).select("a", "b"), "pairs")
     nodes = written(joined(sizes.select("class").distinct(), classes, ["class"]).select("class", F.col("first_id").alias("label")), "nodes")
     texts = docs.select(F.col("doc_id").cast("long").alias("label"), "text")
-    texts = written(joined(texts, nodes, ["label"]).select("class", "text"), "texts")
+    texts = written(joined(texts, small(nodes), ["label"]).select("class", "text"), "texts")
     links = written(verified(tried, texts, words, percent), "links")
     labels = components(nodes, links)
 
@@ -386,6 +410,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents whose id is their component's; one row of each id. Rows without id stay."""
-    keep = near_duplicates(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return joined(first, keep, ["doc_id"], "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = written(near_duplicates(docs, words, percent), "components")
+    others = small(written(found.where("doc_id <> component_id").select("doc_id").distinct(), "others"))
+    kept_docs = joined(docs, others, ["doc_id"], "left_anti")
+    again = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept_docs
+    first = joined(kept_docs, small(again), ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return joined(kept_docs, small(again), ["doc_id"], "left_anti").unionByName(first)
