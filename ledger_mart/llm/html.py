@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import extended, joined, schema_of, written
+from ledger_mart.llm.common import extended, is_small, joined, schema_of, written
 
 LEAST_PAGES = 4
 LEAST_SHARE = 0.3  # of the host's pages
@@ -259,14 +259,21 @@ def templates(subtrees: DataFrame, least_pages: int = LEAST_PAGES, least_share:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    Pages of a large host are salted where they meet its templates, of which there are few.
+    A host has no more templates than its pages have elements, over LEAST_SHARE. If all hosts'
+    together are few, each page gets its host's; else the pages' subtrees meet them under a
+    salt, so that a large host spreads.
     """
     found = written(parsed(pages).withColumn("_row", F.monotonically_increasing_id()), "pages")
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    often = written(templates(found.select("host", "subtrees")), "templates").select("host", "subtree", salt)
-    own = found.where("host is not null").select("_row", "host", F.explode("subtrees").alias("subtree"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int").alias("_salt"))
-    gone = joined(own, often, ["host", "subtree", "_salt"], "left_semi").groupBy("_row").agg(F.collect_set("subtree").alias("gone"))
-    both = joined(found, gone, ["_row"], "left")
+    often = written(templates(found.select("host", "subtrees")), "templates")
+    if is_small(often):
+        gone = F.broadcast(often.groupBy("host").agg(F.collect_set("subtree").alias("gone")))
+        both = joined(found, gone, ["host"], "left")
+    else:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        of_page = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int").alias("_salt")
+        own = found.where("host is not null").select("_row", "host", F.explode("subtrees").alias("subtree"), of_page)
+        met = joined(own, often.select("host", "subtree", salt), ["host", "subtree", "_salt"], "left_semi")
+        both = joined(found, met.groupBy("_row").agg(F.collect_set("subtree").alias("gone")), ["_row"], "left")
     stays = F.filter(F.arrays_zip("texts", "within"), lambda b: F.coalesce(~F.arrays_overlap(b["within"], F.col("gone")), F.lit(True)))
     text = F.array_join(F.transform(stays, lambda b: b["texts"]), "\n")
     return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

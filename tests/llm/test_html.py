@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledger_mart.llm import html
+from ledger_mart.llm import common, html
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -41,7 +41,9 @@ def test_blocks(markup, want):
     assert blocks(markup) == want
 
 
-def test_templates_go_and_repeated_articles_stay(spark):
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_templates_go_and_repeated_articles_stay(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "SMALL_ROWS", rows)  # of templates that go to all tasks
     rng = random.Random(1)
     body = lambda i: f"<p>{' '.join(rng.choices('some words of page number that differ'.split(), k=30))} {i}</p>"
     rows, want = [], {}
