@@ -20,7 +20,7 @@ an empty table gives no rows; other columns of the input are not read.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import SMALL_ROWS, joined, kept, small, written
+from ledger_mart.llm.common import SMALL_ROWS, extended, joined, kept, small, written
 
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 _SALTED = 500  # members of a centre that one group holds at most, or about so
@@ -226,39 +226,77 @@ def class_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(signed, "signature long, class long, n int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose exact sets are like enough.
+def sketch(found: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of its cells, two to four on average; empty if
+    a count is beyond a byte."""
+    bits = max(4, (len(found) // 4).bit_length())
+    counts = np.bincount((mixed(found, 17) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
-    The classes' texts go where the pair's b is compared; a class b with many partners is
-    compared in several groups. Groups are read row by row, b first, so that memory holds
-    one set of each side.
+
+def folded(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.int32)
+
+
+def may_be_like(x: tuple[int, bytes], y: tuple[int, bytes], percent: int) -> bool:
+    """Whether the sizes and sketches allow for it: sets share no more than the lesser count of each cell."""
+    (n, a), (m, b) = x, y
+    if not a or not b:
+        return True
+    size = min(len(a), len(b))
+    both = min(int(np.minimum(folded(a, size), folded(b, size)).sum()), n, m)
+    return 100 * both >= percent * (n + m - both)
+
+
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(class, n, sketch) of rows (class, text)."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column("text").to_pylist(), words)
+            yield extended(batch, ["class"], n=pa.array(map(len, sets), pa.int64()), sketch=pa.array(map(sketch, sets), pa.binary()))
+
+    return texts.mapInArrow(made, "class long, n long, sketch binary")
+
+
+def _held_against(pairs: DataFrame, kept_of: DataFrame, read: Callable, alike: Callable) -> DataFrame:
+    """The pairs (a, b) that are alike by what ``kept_of`` has of their classes.
+
+    That goes where the pair's b is compared; a class b with many partners is compared in
+    several groups. Groups are read row by row, b first, so that memory holds one of each side.
     """
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / _SALTED).cast("int").alias("salts"))
     salted = joined(pairs, many, ["b"])
     members = salted.select(F.col("a").alias("class"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     centres = many.select(F.col("b").alias("class"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     dealt = (
-        joined(members.unionByName(centres), texts, ["class"])
+        joined(members.unionByName(centres), kept_of, ["class"])
         .repartition("b", "salt")
         .sortWithinPartitions("b", "salt", "role")
     )
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, centre, centres = None, None, []
+        at, centres = None, []
         for batch in batches:
             found = []
-            sets = shingle_sets(batch["text"].tolist(), words)
-            for b, salt, role, a, own in zip(*(batch[c] for c in ("b", "salt", "role", "class")), sets):
+            for b, salt, role, a, own in zip(*(batch[c] for c in ("b", "salt", "role", "class")), read(batch)):
                 if role == 0:  # rows that share an id may give a class several texts
                     centres = [*centres, own] if at == (b, salt) else [own]
                     at = (b, salt)
-                elif any(is_like(own, centre, percent) for centre in centres):
+                elif any(alike(own, centre) for centre in centres):
                     found.append((a, b))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.mapInPandas(compared, "a long, b long").distinct()
 
 
+def verified(pairs: DataFrame, texts: DataFrame, sketched: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose exact sets are like enough; texts go only where sketches allow for it."""
+    possible = _held_against(pairs, sketched, lambda rows: zip(rows["n"], rows["sketch"]), lambda x, y: may_be_like(x, y, percent))
+    return _held_against(
+        written(possible, "possible"), texts, lambda rows: shingle_sets(rows["text"].tolist(), words), lambda x, y: is_like(x, y, percent)
+    )
+
+
 def is_like(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -303,26 +341,46 @@ def linked(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tup
     return found
 
 
-def verified_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def verified_blocks(members: DataFrame, texts: DataFrame, sketched: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between members (centre, class, label) of one centre that differ in label.
 
     A centre's members are dealt into blocks of about _BLOCK, and each pair of blocks is a group
-    of its own, so that no task holds more than two blocks.
+    of its own, so that no task holds more than two blocks. Sketches go first; texts follow for
+    those members that may be like another.
     """
     many = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     each = joined(members, many, ["centre"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = joined(each, texts, ["class"]).select(
-        "centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class", "label", "text"
-    )
-
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
-        sets = shingle_sets(group["text"].tolist(), words)
-        name = group["class"].to_numpy(np.int64)
-        pairs = linked(sets, group["label"].to_numpy(np.int64), percent) if len(sets) > 1 else []
+    group = ["centre", "low", "high"]
+    dealt = each.select("centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class", "label")
+
+    def promising(rows: pd.DataFrame) -> pd.DataFrame:
+        kept_rows = np.zeros(len(rows), bool)
+        n, label = rows["n"].to_numpy(), rows["label"].to_numpy()
+        data = rows["sketch"].tolist()
+        if not all(data):
+            kept_rows[:] = True
+        else:
+            size = min(map(len, data))
+            cells = np.stack([folded(x, size) for x in data])
+            for i in range(len(rows) - 1):
+                later = np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))) + i + 1
+                both = np.minimum(cells[i], cells[later]).sum(axis=1)
+                found = later[100 * both >= percent * (n[i] + n[later] - both)]
+                kept_rows[found] = True
+                kept_rows[i] |= len(found) > 0
+        return rows.loc[kept_rows, [*group, "class", "label"]]
+
+    schema = "centre long, low int, high int, class long, label long"
+    left = written(joined(dealt, sketched, ["class"]).groupBy(*group).applyInPandas(promising, schema).distinct(), "promising")
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = shingle_sets(rows["text"].tolist(), words)
+        name = rows["class"].to_numpy(np.int64)
+        pairs = linked(sets, rows["label"].to_numpy(np.int64), percent) if len(sets) > 1 else []
         return pd.DataFrame([(name[i], name[j]) for i, j in pairs], columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("centre", "low", "high").applyInPandas(compared, "a long, b long").distinct()
+    return joined(left, texts, ["class"]).groupBy(*group).applyInPandas(compared, "a long, b long").distinct()
 
 
 def _joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -390,7 +448,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = written(joined(sizes.select("class").distinct(), classes, ["class"]).select("class", F.col("first_id").alias("label")), "nodes")
     texts = docs.select(F.col("doc_id").cast("long").alias("label"), "text")
     texts = written(joined(texts, small(nodes), ["label"]).select("class", "text"), "texts")
-    links = written(verified(tried, texts, words, percent), "links")
+    sketched = written(sketches(texts, words), "sketches")
+    links = written(verified(tried, texts, sketched, words, percent), "links")
     labels = components(nodes, links)
 
     # classes of one bucket that are still in different components; the centre has met them all
@@ -399,7 +458,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rest = joined(apart, mixed_up, ["signature"], "left_semi").select("centre", "class", "label").distinct()
     rest = written(rest, "rest")
     if not rest.isEmpty():
-        more = written(verified_blocks(rest, texts, words, percent), "links")
+        more = written(verified_blocks(rest, texts, sketched, words, percent), "links")
         if not more.isEmpty():
             labels = components(labels, links.unionByName(more))
 

@@ -111,3 +111,14 @@ def test_one_of_each(documents):
     assert kept.columns == docs.columns
     want = {c for _, c in brute(texts, 5, 80).values()} | {None}
     assert sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in kept.collect())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 10**6))
+def test_sketches_rule_out_no_like_sets(both, left, right, seed):
+    x = np.random.default_rng(seed).integers(0, 2**63, both + left + right, dtype=np.uint64)
+    a, b = np.unique(x[: both + left]), np.unique(np.r_[x[:both], x[both + left :]])
+    percent = 100 * both // (both + left + right)
+    if percent:
+        assert partenum.may_be_like((len(a), partenum.sketch(a)), (len(b), partenum.sketch(b)), percent)
+    assert partenum.may_be_like((len(a), b""), (len(b), partenum.sketch(b)), 99)
