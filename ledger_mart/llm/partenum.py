@@ -35,7 +35,8 @@ _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B
 _SALTED = 500  # members of a centre that one group holds at most, or about so
 _SEEN = 200_000
 _LOT_BYTES = 1 << 20
-_BLOCK = 512  # members of a centre that are compared with each other at once, or with as many more
+_BLOCK = 512  # members of a centre whose texts are compared with each other at once, or with as many more
+_SKETCH_BLOCK = 4096  # the same for sketches, which are a tenth of the size or less
 _COLUMNS = 8192
 
 
@@ -235,7 +236,7 @@ def sketch(found: np.ndarray) -> bytes:
 
 
 def folded(data: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.int32)
+    return np.frombuffer(data, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.uint16)
 
 
 def may_be_like(x: tuple[int, bytes], y: tuple[int, bytes], percent: int) -> bool:
@@ -341,38 +342,43 @@ def linked(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tup
     return found
 
 
+def dealt_in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Members (centre, class, label) with the pairs (low, high) of their centre's blocks that they are in."""
+    many = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    each = joined(members, many, ["centre"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.select("centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class", "label")
+
+
 def verified_blocks(members: DataFrame, texts: DataFrame, sketched: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between members (centre, class, label) of one centre that differ in label.
 
-    A centre's members are dealt into blocks of about _BLOCK, and each pair of blocks is a group
-    of its own, so that no task holds more than two blocks. Sketches go first; texts follow for
-    those members that may be like another.
+    A centre's members are dealt into blocks, and each pair of blocks is a group of its own, so
+    that no task holds more than two blocks. Sketches go first; texts follow for those members
+    that may be like another.
     """
-    many = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    each = joined(members, many, ["centre"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = ["centre", "low", "high"]
-    dealt = each.select("centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class", "label")
 
     def promising(rows: pd.DataFrame) -> pd.DataFrame:
-        kept_rows = np.zeros(len(rows), bool)
-        n, label = rows["n"].to_numpy(), rows["label"].to_numpy()
-        data = rows["sketch"].tolist()
+        rows = rows.sort_values("n", ignore_index=True)
+        found = np.zeros(len(rows), bool)
+        n, label, data = rows["n"].to_numpy(), rows["label"].to_numpy(), rows["sketch"].tolist()
         if not all(data):
-            kept_rows[:] = True
+            found[:] = True
         else:
             size = min(map(len, data))
             cells = np.stack([folded(x, size) for x in data])
-            for i in range(len(rows) - 1):
-                later = np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))) + i + 1
-                both = np.minimum(cells[i], cells[later]).sum(axis=1)
-                found = later[100 * both >= percent * (n[i] + n[later] - both)]
-                kept_rows[found] = True
-                kept_rows[i] |= len(found) > 0
-        return rows.loc[kept_rows, [*group, "class", "label"]]
-
-    schema = "centre long, low int, high int, class long, label long"
-    left = written(joined(dealt, sketched, ["class"]).groupBy(*group).applyInPandas(promising, schema).distinct(), "promising")
+            ends = np.searchsorted(n * percent, n * 100, side="right")  # the largest that may be like each
+            for i, end in enumerate(ends.tolist()):
+                both = np.minimum(cells[i], cells[i + 1 : end]).sum(axis=1)
+                alike = (100 * both >= percent * (n[i] + n[i + 1 : end] - both)) & (label[i + 1 : end] != label[i])
+                found[i + 1 : end] |= alike
+                found[i] |= alike.any()
+        return rows.loc[found, ["centre", "class", "label"]]
+
+    of_sketches = joined(dealt_in_blocks(members, _SKETCH_BLOCK), sketched, ["class"])
+    left = of_sketches.groupBy(*group).applyInPandas(promising, "centre long, class long, label long").distinct()
+    left = dealt_in_blocks(written(left, "promising"), _BLOCK)
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
         sets = shingle_sets(rows["text"].tolist(), words)

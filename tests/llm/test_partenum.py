@@ -93,6 +93,8 @@ def test_no_rows_repeated_ids_and_null_ids(documents):
 
 def test_large_group_of_copies_is_salted(documents, monkeypatch):
     monkeypatch.setattr(partenum, "_SALTED", 5)
+    monkeypatch.setattr(partenum, "_BLOCK", 7)
+    monkeypatch.setattr(partenum, "_SKETCH_BLOCK", 11)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(200)]
     texts = []
