@@ -1,21 +1,25 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-States are contexts of up to DEPTH words, among those of relative frequency at least
-LEAST_SHARE, so their number is bounded whatever the corpus. A context is a state if the
-words after it differ from what the longest state that is its suffix predicts, by a likelihood-ratio test.
+States are contexts of up to DEPTH words, among those that occur LEAST_COUNT times or more, whatever
+the corpus. A context is a state if the words after it differ from what the longest state that is
+its suffix predicts, by a likelihood-ratio test.
 A state's distribution discounts its counts and gives the rest to that shorter state's; the
 root discounts the words' counts and gives the rest to unknown words. A token is scored
 by the longest state that the words before it end with, so the model's score is the
 root's plus a correction from the states.
 
-Counts cover all training documents and are made in Spark: words first, then, level by
-level, runs of two and more words whose shorter runs are frequent. The HEAD most counted
-words and the frequent runs (at most 1 / LEAST_SHARE a level) are sent to the tasks; the
-counts of all other words stay in Spark and meet the documents in a join.
+Counts cover all training documents. Runs, states and distributions are Spark tables, one level after
+another: counts are grouped, a run meets its suffix for the test. The correction of a text is
+a sum over the runs in it: each run has one weight, log P of its last token less what
+its suffix and its context give already, and the mass that it leaves as a context itself.
+The FAST most counted runs' weights are sent to the tasks, those of all others meet the documents' runs
+in a join; so do the counts of words beyond the HEAD most counted ones. A sieve of fixed size keeps
+from the shuffles what cannot be frequent; it may let more through and never loses a run.
 
 Defined results: null and empty texts are the end token alone; without training documents every score
 is 0 and nothing is known; repeated rows get equal results; a row without id is scored
 like any other; an empty table gives no rows; other columns of the input are not read.
+Runs are joined by hashes of 64 bits, and words beyond the head are counted in runs by theirs.
 """
 
 from __future__ import annotations
@@ -23,26 +27,30 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import extended, joined, schema_of, written
+from ledger_mart.llm.common import extended, joined, schema_of, small, written
 
 DEPTH = 3
-LEAST_SHARE = 2e-6
+LEAST_SHARE = 0.0  # of the corpus: none, LEAST_COUNT decides at every size
 LEAST_COUNT = 4
 HEAD = 300_000
+FAST = 500_000
 DISCOUNT = 0.75
 LOOSE = 4.0  # standard deviations by which a likelihood ratio must exceed its mean
 START, END, RARE = 0, 1, 2
 _FIRST_WORD = 3
-_HELD = 4_000_000  # codes that a task gathers before it passes them on
+_HELD = 500_000  # runs that a task gathers before it passes them on
 _HELD_WORDS = 800_000
 _DOCS = 256  # worked on at once
+_SIEVE_BITS = 27
+_TAIL = 1 << 62  # ids of words beyond the head begin here
+_ODD, _ODDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -69,121 +77,154 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(counted, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-@dataclass
-class Level:
-    """Frequent runs of ``n`` tokens: the code is the id of the run without its last token
-    times the number of symbols, plus that token."""
+def _step(before: np.ndarray | None, ids: np.ndarray, length: int) -> np.ndarray:
+    """Keys of runs, from the keys of the runs without their last tokens."""
+    x = ids.astype(np.uint64) * _ODD + np.uint64(length)
+    x = x if before is None else x + before.view(np.uint64) * _ODDER
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
-    codes: np.ndarray
-    counts: np.ndarray
-    suffix: np.ndarray  # id, a level lower, of the run without its first token
-    log_p: np.ndarray = field(default=None)  # of the last token after the longest state that ends the rest
-    log_rest: np.ndarray = field(default=None)  # of what the run as a state leaves to shorter ones; 0 if it is none
 
+def key_of(columns: list[np.ndarray]) -> np.ndarray:
+    """Keys of runs whose tokens are given one column each."""
+    key = None
+    for n, ids in enumerate(columns, 1):
+        key = _step(key, ids, n)
+    return key
 
-@dataclass
-class Tree:
-    symbols: int  # START, END, RARE and the frequent words; words of the head beyond are as rare
-    levels: list[Level]
-    log_root: np.ndarray  # by symbol
 
-
-def runs(ids: np.ndarray, symbols: int, levels: list[Level]) -> list[np.ndarray]:
-    """For each length, the id of the run that ends at each place of ``ids``, -1 if not frequent."""
-    found = [np.where((ids == RARE) | (ids >= symbols), -1, ids)]
-    for level in levels:
-        before = np.r_[-1, found[-1][:-1]]
-        code = np.where((before >= 0) & (found[0] >= 0), before * symbols + found[0], -1)
-        at = np.minimum(np.searchsorted(level.codes, code), max(len(level.codes) - 1, 0))
-        ok = (code >= 0) & (level.codes[at] == code) if len(level.codes) else np.zeros(len(ids), bool)
-        found.append(np.where(ok, at, -1))
-    return found
+def runs(ids: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the key of the run that ends at each place of ``ids``, and whether it lies in one document."""
+    key, ok = _step(None, ids, 1), np.ones(len(ids), bool)
+    yield key, ok
+    for n in range(2, most + 1):
+        key = _step(np.concatenate([key[:1], key[:-1]]), ids, n)
+        ok = np.concatenate([[False], ok[:-1]])[: len(ids)] & (ids != START)
+        yield key, ok
 
 
 def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """The ids of a few documents at a time, one after another."""
     for batch in batches:
         for at in range(0, len(batch), _DOCS):
-            yield batch.column("ids").slice(at, _DOCS).flatten().to_numpy().astype(np.int64)
+            yield batch.column("ids").slice(at, _DOCS).flatten().to_numpy()
+
+
+def sieve_of(keys: DataFrame) -> np.ndarray:
+    """Bits by the leading bits of the keys: 0 where there is none."""
+    slot = F.expr(f"shiftrightunsigned(key, {64 - _SIEVE_BITS + 6})").alias("slot")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - _SIEVE_BITS}) & 63 as int))").alias("bit")
+    found = keys.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    sieve = np.zeros(1 << (_SIEVE_BITS - 6), np.uint64)
+    sieve[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return sieve
 
 
-def run_counts(encoded: DataFrame, symbols: int, levels: list[Level], least: int) -> list[Row]:
-    """Codes and counts of the frequent runs one token longer than the last level's."""
-    sent = encoded.sparkSession.sparkContext.broadcast([(x.codes, x.counts, x.suffix) for x in levels])
+def passes(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key.view(np.uint64) >> np.uint64(64 - _SIEVE_BITS)
+    return (sieve[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def run_counts(encoded: DataFrame, n: int, least: int, sieve: np.ndarray | None) -> DataFrame:
+    """(key, prefix, suffix, count) of the frequent runs of ``n`` tokens; the sieve is of those one token shorter."""
+    sent = encoded.sparkSession.sparkContext.broadcast(sieve)
+    names = [f"w{i}" for i in range(n)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Level(*x) for x in sent.value]
-        held, size = [], 0
+        sieve, held, size = sent.value, [], 0
 
         def out() -> pa.RecordBatch:
-            code, count = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            return pa.record_batch([pa.array(code), pa.array(count)], ["code", "count"])
+            found = np.concatenate([np.zeros((0, n + 1), np.int64), *held])
+            _, first, count = np.unique(found[:, n], return_index=True, return_counts=True)
+            return pa.record_batch([*(pa.array(found[first, i]) for i in range(n)), pa.array(count)], [*names, "count"])
 
         for ids in ids_of(batches):
-            found = runs(ids, symbols, known)
-            before, suffix = np.r_[-1, found[-1][:-1]], found[-1]
-            ok = (before >= 0) & (suffix >= 0) & (ids != START)
-            held.append(before[ok] * symbols + ids[ok])
-            size += ok.sum()
+            *_, shorter, (key, ok) = [None, *runs(ids, n)]
+            if n > 1:
+                known = shorter[1] & passes(sieve, shorter[0])
+                ok = ok & known & np.concatenate([[False], known[:-1]])[: len(ids)]
+            at = np.flatnonzero(ok)
+            held.append(np.stack([*(ids[at - n + 1 + i] for i in range(n)), key[at]], axis=1))
+            size += len(at)
             if size > _HELD:
                 yield out()
                 held, size = [], 0
         yield out()
 
-    rows = encoded.where("taught").select("ids").mapInArrow(counted, "code long, count long")
-    return rows.groupBy("code").agg(F.sum("count").alias("count")).where(F.col("count") >= least).collect()
-
-
-def grown(rows: list[Row], symbols: int, levels: list[Level]) -> Level:
-    """The level of these runs, with the ids of their suffixes."""
-    codes = np.array([r["code"] for r in rows], np.int64)
-    order = np.argsort(codes)
-    codes, counts = codes[order], np.array([r["count"] for r in rows], np.int64)[order]
-    last = codes % symbols
-    if not levels:
-        return Level(codes, counts, last)
-    inner = levels[-1].suffix[codes // symbols]  # the run between first and last token
-    return Level(codes, counts, np.searchsorted(levels[-1].codes, inner * symbols + last))
-
-
-def set_states(tree: Tree, word_counts_by_id: np.ndarray) -> None:
-    """Decides which runs are states and works out distributions, shorter contexts first."""
-    context_counts, shorter = word_counts_by_id, tree.log_root
-    tree_rest = [np.zeros(tree.symbols)]
-    for level in tree.levels:
-        context, last = level.codes // tree.symbols, level.codes % tree.symbols
-        expected = shorter[level.suffix] if len(level.codes) else np.zeros(0)
-        n = context_counts.astype(float)
-        seen = np.bincount(context, level.counts, len(n)) if len(context) else np.zeros(len(n))
-        kinds = np.bincount(context, minlength=len(n)).astype(float) if len(context) else np.zeros(len(n))
-        named = np.bincount(context, np.exp(expected), len(n)) if len(context) else np.zeros(len(n))
-        ratio = 2 * np.bincount(context, level.counts * (np.log(level.counts / np.maximum(n[context], 1)) - expected), len(n)) if len(context) else np.zeros(len(n))
-        rest, rest_expected = np.maximum(n - seen, 0), np.maximum(1 - named, 1e-9)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio += 2 * np.where(rest > 0, rest * np.log(rest / n / rest_expected), 0)
-        state = (kinds > 0) & (ratio > kinds + LOOSE * np.sqrt(2 * kinds) + LOOSE)
-        left = np.where(state, (rest + DISCOUNT * kinds) / np.maximum(n, 1), 1.0)
-        tree_rest.append(np.log(np.maximum(left, 1e-12)))
-        own = state[context]
-        mixed = np.maximum(level.counts - DISCOUNT, 0) / np.maximum(n[context], 1) + left[context] * np.exp(expected)
-        level.log_p = np.where(own, np.log(np.maximum(mixed, 1e-300)), expected)
-        context_counts, shorter = level.counts, level.log_p
-    for i, level in enumerate(tree.levels):
-        level.log_rest = tree_rest[i + 2] if i + 2 < len(tree_rest) else np.zeros(len(level.codes))
-    tree.word_rest = tree_rest[1] if len(tree_rest) > 1 else np.zeros(tree.symbols)
-
-
-def corrections(tree: Tree, ids: np.ndarray) -> np.ndarray:
-    """For each token, log P after its longest state minus log P of the root; 0 at starts."""
-    found = runs(ids, tree.symbols, tree.levels)
-    rests = [tree.word_rest, *[x.log_rest for x in tree.levels]]
-    total = np.zeros(len(ids))
-    for n, level in enumerate(tree.levels):
-        before = np.r_[-1, found[n][:-1]]
-        left = np.where(before >= 0, rests[n][before] if len(rests[n]) else 0.0, 0.0)
-        run = found[n + 1]
-        total = np.where(run >= 0, level.log_p[run] - tree.log_root[np.where(run >= 0, ids, 0)] if len(level.codes) else 0.0, total + left)
-    return np.where(ids == START, 0.0, total)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [batch.column(c).to_numpy() for c in names]
+            key = key_of(ids)
+            ends = (key_of(ids[:-1]), key_of(ids[1:])) if n > 1 else (key, key)
+            yield pa.record_batch([pa.array(key), *map(pa.array, ends), batch.column("count")], ["key", "prefix", "suffix", "count"])
+
+    rows = encoded.where("taught").select("ids").mapInArrow(counted, ", ".join(f"{c} long" for c in [*names, "count"]))
+    often = rows.groupBy(*names).agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    return written(often.mapInArrow(keyed, "key long, prefix long, suffix long, count long"), f"runs{n}")
+
+
+def weights_of(encoded: DataFrame, least: int, spared: float, total: int) -> DataFrame:
+    """(key, count, value): what each occurrence of a run adds to a text's natural log probability by the root."""
+    shorter = run_counts(encoded, 1, least, None)
+    log_root = F.log(F.greatest(F.col("count") - spared, F.lit(1e-9)) / max(total, 1))
+    below = shorter.select("key", "count", log_root.alias("log_p"))
+    found = []
+    for n in range(2, DEPTH + 2):
+        shorter = run_counts(encoded, n, least, sieve_of(shorter))
+        own = joined(shorter, small(below.select(F.col("key").alias("suffix"), F.col("log_p").alias("expected"))), ["suffix"])
+        sums = own.groupBy("prefix").agg(
+            F.sum("count").alias("seen"), F.count(F.lit(1)).alias("kinds"), F.sum(F.exp("expected")).alias("named"),
+            F.sum(F.col("count") * (F.log("count") - F.col("expected"))).alias("gain"),
+        )
+        sums = joined(sums, below.select(F.col("key").alias("prefix"), F.col("count").alias("n")), ["prefix"])
+        rest, rest_expected = F.greatest(F.col("n") - F.col("seen"), F.lit(0)), F.greatest(1 - F.col("named"), F.lit(1e-9))
+        ratio = 2 * (F.col("gain") - F.col("seen") * F.log("n") + F.when(rest > 0, rest * F.log(rest / F.col("n") / rest_expected)).otherwise(0.0))
+        states = sums.where(ratio > F.col("kinds") + LOOSE * F.sqrt(2 * F.col("kinds")) + LOOSE)
+        left = F.greatest((rest + DISCOUNT * F.col("kinds")) / F.col("n"), F.lit(1e-12))
+        states = written(states.select("prefix", "n", left.alias("left")), "states")
+        mixed = F.greatest(F.col("count") - DISCOUNT, F.lit(0.0)) / F.col("n") + F.col("left") * F.exp("expected")
+        log_p = F.when(F.col("left").isNotNull(), F.log(F.greatest(mixed, F.lit(1e-300)))).otherwise(F.col("expected"))
+        value = F.when(F.col("left").isNotNull(), log_p - F.col("expected") - F.log("left"))
+        below = written(joined(own, small(states), ["prefix"], "left").select("key", "count", log_p.alias("log_p"), value.alias("value")), "level")
+        found += [states.select(F.col("prefix").alias("key"), F.col("n").alias("count"), F.log("left").alias("value")), below.where("value is not null").select("key", "count", "value")]
+    both = reduce(DataFrame.union, found).groupBy("key").agg(F.max("count").alias("count"), F.sum("value").alias("value"))
+    return written(both, "weights")
+
+
+def corrections(encoded: DataFrame, weights: DataFrame) -> DataFrame:
+    """(_row, more): the sum of the weights of the runs in each text."""
+    fast_least = head_threshold(weights, FAST)
+    fast = weights.where(F.col("count") >= fast_least).select("key", "value").toArrow()
+    key, value = fast["key"].to_numpy(), fast["value"].to_numpy()
+    order = np.argsort(key)
+    sent = encoded.sparkSession.sparkContext.broadcast((sieve_of(weights), key[order], value[order]))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, fast, value = sent.value
+        for batch in batches:
+            for at in range(0, len(batch), _DOCS):
+                lot = batch.slice(at, _DOCS)
+                ids = lot.column("ids").flatten().to_numpy()
+                row = np.repeat(lot.column("_row").to_numpy(), np.diff(lot.column("ids").offsets.to_numpy()))
+                more, slow = np.zeros(len(ids)), []
+                for key, ok in runs(ids, DEPTH + 1):
+                    some = np.flatnonzero(ok & passes(sieve, key))
+                    own = key[some]
+                    place = np.minimum(np.searchsorted(fast, own), max(len(fast) - 1, 0))
+                    known = fast[place] == own if len(fast) else np.zeros(len(own), bool)
+                    more[some[known]] += value[place[known]]
+                    slow.append((row[some[~known]], own[~known]))
+                starts = np.flatnonzero(ids == START)
+                rows = [row[starts], *(r for r, _ in slow)]
+                keys = [_step(None, row[starts], 0), *(k for _, k in slow)]
+                values = [np.add.reduceat(more, starts) if len(starts) else more, *(np.full(len(r), np.nan) for r, _ in slow)]
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (rows, keys, values)], ["_row", "key", "more"])
+
+    met = encoded.select("_row", "ids").mapInArrow(summed, "_row long, key long, more double")
+    both = joined(met, weights.where(F.col("count") < fast_least).select("key", "value"), ["key"], "left")
+    more = F.when(F.isnan("more"), F.coalesce("value", F.lit(0.0))).otherwise(F.col("more"))
+    return both.groupBy("_row").agg((F.sum(more) / math.log(10)).alias("more"))
 
 
 class Ids(dict):
@@ -193,13 +234,13 @@ class Ids(dict):
         return RARE
 
 
-def head_threshold(counts: DataFrame) -> int:
-    """The least count that at most HEAD words reach, from how many words have each count."""
-    by_count = {r["count"]: r["words"] for r in counts.groupBy("count").agg(F.count(F.lit(1)).alias("words")).collect()}
+def head_threshold(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` rows reach, from how many have each count."""
+    by_count = {r["count"]: r["rows"] for r in counts.groupBy("count").agg(F.count(F.lit(1)).alias("rows")).collect()}
     reached, least = 0, max(by_count, default=0) + 1
     for n in sorted(by_count, reverse=True):
         reached += by_count[n]
-        if reached > HEAD:
+        if reached > most:
             break
         least = n
     return least
@@ -217,10 +258,9 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     total, kinds, single = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("count") == 1)).first()
     total, kinds, single = total + ends, kinds + (ends > 0), single + (ends == 1)
     least = max(LEAST_COUNT, math.ceil(LEAST_SHARE * total))
-    head_least = head_threshold(counts)
+    head_least = head_threshold(counts, HEAD)
     head = [(bytes(r["word"]), r["count"]) for r in counts.where(F.col("count") >= head_least).collect()]
     head.sort(key=lambda x: (-x[1], x[0]))
-    symbols = _FIRST_WORD + sum(n >= least for _, n in head)
     by_id = np.array([ends, ends, 0, *[n for _, n in head]], float)
     spared = min(0.95, max(0.05, single / kinds)) if kinds else 0.5
     base = lambda c: np.log10((c + 1) / (total + kinds + 1))
@@ -230,7 +270,10 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     base_by_id[[START, RARE]] = root_by_id[[START, RARE]] = 0.0
     known_by_id = by_id > 0
     known_by_id[[START, RARE]] = False
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         known = Ids(ids_sent.value)
         for batch in batches:
             out = []
@@ -238,31 +281,20 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
                 words = tokens(text.as_py())
                 ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                 ids = np.concatenate([[START], ids, [END]]).astype(np.int32)
-                rare = [words[i] for i in np.flatnonzero(ids == RARE) - 1]
-                out.append((len(words) + 1, int(known_by_id[ids].sum()), float(base_by_id[ids].sum()), float(root_by_id[ids].sum()), ids, rare))
+                at = np.flatnonzero(ids == RARE)
+                rare = [words[i] for i in at - 1]
+                named = ids.astype(np.int64)
+                named[at] = [_TAIL + (xxh64_intdigest(w) >> 2) for w in rare]
+                out.append((len(words) + 1, int(known_by_id[ids].sum()), float(base_by_id[ids].sum()), float(root_by_id[ids].sum()), named, rare))
             n, known, base, root, ids, rare = zip(*out) if out else [()] * 6
             yield extended(
                 batch, [*keep, "taught"], n_tokens=pa.array(n, pa.int64()), n_known=pa.array(known, pa.int64()), base=pa.array(base, pa.float64()),
-                root=pa.array(root, pa.float64()), ids=pa.array(ids, pa.list_(pa.int32())), rare=pa.array(rare, pa.list_(pa.binary())),
+                root=pa.array(root, pa.float64()), ids=pa.array(ids, pa.list_(pa.int64())), rare=pa.array(rare, pa.list_(pa.binary())),
             )
 
-    schema = schema_of(named, [*keep, "taught"], "n_tokens long, n_known long, base double, root double, ids array<int>, rare array<binary>")
+    schema = schema_of(named, [*keep, "taught"], "n_tokens long, n_known long, base double, root double, ids array<bigint>, rare array<binary>")
     encoded = written(named.mapInArrow(encode, schema).withColumn("_row", F.monotonically_increasing_id()), "encoded")
-    tree = Tree(symbols, [], root_by_id[:symbols] * math.log(10))
-    for _ in range(DEPTH):
-        tree.levels.append(grown(run_counts(encoded, symbols, tree.levels, least), symbols, tree.levels))
-    set_states(tree, by_id[:symbols])
-    tree_sent = docs.sparkSession.sparkContext.broadcast((symbols, tree.log_root, tree.word_rest, [(x.codes, x.counts, x.suffix, x.log_p, x.log_rest) for x in tree.levels]))
-
-    def correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, log_root, word_rest, levels = tree_sent.value
-        own = Tree(n, [Level(*x) for x in levels], log_root)
-        own.word_rest = word_rest
-        for batch in batches:
-            sums = [np.add.reduceat(corrections(own, ids), np.flatnonzero(ids == START)) for ids in ids_of([batch])]
-            yield pa.record_batch([batch.column("_row"), pa.array(np.concatenate([np.zeros(0), *sums]) / math.log(10))], ["_row", "more"])
-
-    more = encoded.select("_row", "ids").mapInArrow(correct, "_row long, more double")
+    more = corrections(encoded, weights_of(encoded, least, spared, total))
     rare = encoded.select("_row", F.explode("rare").alias("word"))
     tail = counts.where(F.col("count") < head_least)
     found = joined(rare, tail, ["word"], "left").withColumn("count", F.coalesce("count", F.lit(0)))

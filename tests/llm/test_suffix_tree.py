@@ -126,3 +126,21 @@ def test_nothing_taught_no_rows_and_null_ids(documents):
     assert score(documents([]), F.lit(True)) == {}
     rows = st.scored(documents([(None, "a b", "en", "s"), (1, "a b", "en", "s"), (1, "a b", "en", "s")]), F.lit(True)).collect()
     assert len(rows) == 3 and len({r["score"] for r in rows}) == 1
+
+
+@pytest.mark.parametrize(("head", "fast"), [(7, 300_000), (300_000, 5), (7, 0)])
+def test_runs_of_all_words_score_by_hand(documents, monkeypatch, head, fast):
+    """Words beyond the head are in contexts, and runs that are not sent to the tasks count as well."""
+    monkeypatch.setattr(st, "HEAD", head)
+    monkeypatch.setattr(st, "FAST", fast, raising=False)
+    texts = corpus()
+    taught = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = by_hand(texts, taught)[0]
+    got = score(documents(texts), ~held_out("doc_id", 7))
+    assert {i: got[i]["score"] for i in want} == pytest.approx(want, rel=1e-9)
+
+
+def test_the_threshold_does_not_rise_with_the_corpus(documents):
+    rows = ["x " * 10_000] * 300 + ["p q"] * 4 + ["p", "q", "p q", "q p"]
+    got = score(documents(rows, clash=False), F.col("doc_id") < 304)
+    assert got[306]["score"] > got[307]["score"] + 5
