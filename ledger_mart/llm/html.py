@@ -1,8 +1,8 @@
 """Main text of web pages by removal of site templates.
 
 Each page is parsed once into blocks of text, and each element's subtree gets a hash of
-its tags and texts. Spark counts on how many pages of a host each subtree occurs; those
-that recur on many are the site's template, and their blocks go. What markup itself
+its tags and texts. Spark counts on how many pages of a host, different in what may be their main
+text, each subtree occurs; copies of a page count once. Those that recur on many are the site's template, and their blocks go. What markup itself
 names as no content (menus, forms, scripts, adverts, comments, ...) goes as well. If a
 page marks its article, only blocks in it stay, and a recurring subtree in it goes only
 if it is mostly links: a host may print one text on many pages.
@@ -232,8 +232,10 @@ def host_of(url: str | None) -> str | None:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, texts, within, subtrees) for each page."""
+    """(page_id, url, host, texts, within, subtrees, version) for each page; equal texts are one version."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
             found = [Page(h.as_py() or "").found() for h in batch.column("html")]
             yield extended(
@@ -242,16 +244,18 @@ def parsed(pages: DataFrame) -> DataFrame:
                 texts=pa.array([f[0] for f in found], pa.list_(pa.string())),
                 within=pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int64()))),
                 subtrees=pa.array([f[2] for f in found], pa.list_(pa.int64())),
+                version=pa.array([xxh64_intdigest("\n".join(f[0]).encode("utf-8", "surrogatepass")) - 2**63 for f in found], pa.int64()),
             )
 
-    added = "host string, texts array<string>, within array<array<bigint>>, subtrees array<bigint>"
+    added = "host string, texts array<string>, within array<array<bigint>>, subtrees array<bigint>, version bigint"
     return pages.select("page_id", "url", "html").mapInArrow(parse, schema_of(pages, ["page_id", "url"], added))
 
 
 def templates(subtrees: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, subtree) that occur on many pages of the host, from rows (host, subtrees) of pages."""
-    pages = subtrees.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
-    counts = subtrees.where("host is not null").select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("_on"))
+    """(host, subtree) that occur on many different pages of the host, from rows (host, subtrees, version) of pages."""
+    own = subtrees.where("host is not null")
+    pages = own.select("host", "version").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
+    counts = own.select("host", "version", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("_on"))
     often = joined(counts.where(F.col("_on") >= least_pages), pages, ["host"])
     return often.where(F.col("_on") >= F.col("_pages") * least_share).select("host", "subtree")
 
@@ -264,7 +268,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     salt, so that a large host spreads.
     """
     found = written(parsed(pages).withColumn("_row", F.monotonically_increasing_id()), "pages")
-    often = written(templates(found.select("host", "subtrees")), "templates")
+    often = written(templates(found.select("host", "subtrees", "version")), "templates")
     if is_small(often):
         gone = F.broadcast(often.groupBy("host").agg(F.collect_set("subtree").alias("gone")))
         both = joined(found, gone, ["host"], "left")

@@ -85,3 +85,11 @@ def test_very_long_page(spark):
     many = "".join(f"<p>{i} word</p>" for i in range(20_000))
     got = texts(spark, [(1, "http://x.example", f"<article>{many}</article>")])
     assert got[1] == "\n".join(f"{i} word" for i in range(20_000))
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    """Crawled again or mirrored, without an article: the main text stays, the template goes."""
+    page = lambda text: f"<body><div><span>Our site</span></div><div><p>{text}</p></div></body>"
+    rows = [(i, f"http://e.example.org/{i}", page("Equal text of some length")) for i in range(6)]
+    rows += [(i, "http://e.example.org/", page(f"Own text {i}")) for i in range(10, 18)]
+    assert texts(spark, rows) == {i: "Equal text of some length" if i < 10 else f"Own text {i}" for i, *_ in rows}
