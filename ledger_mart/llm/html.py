@@ -2,10 +2,10 @@
 
 Each page is parsed once into blocks of text, and each element's subtree gets a hash of
 its tags and texts. Spark counts on how many pages of a host, different in what may be their main
-text, each subtree occurs; copies of a page count once. Those that recur on many are the site's template, and their blocks go. What markup itself
+text, each subtree occurs; copies of a page count once. Those that recur on LEAST_PAGES or more, however large the host, are the site's
+template, and their blocks go, in an article or not. What markup itself
 names as no content (menus, forms, scripts, adverts, comments, ...) goes as well. If a
-page marks its article, only blocks in it stay, and a recurring subtree in it goes only
-if it is mostly links: a host may print one text on many pages.
+page marks its article, only blocks in it stay.
 
 Defined results: null and empty html give empty text; pages without url or host have no site to share a
 template with; broken and cut-off markup is read as far as it goes; repeated rows give
@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from ledger_mart.llm.common import extended, is_small, joined, schema_of, written
 
 LEAST_PAGES = 4
-LEAST_SHARE = 0.3  # of the host's pages
-LINKED = 0.5  # share of an element's text in links from which it is a menu
 SALTS = 16
+FEW = 2000  # templates of a host up to which they go to its pages
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,7 +74,6 @@ class Element:
     above: tuple[int, ...]  # numbers of the elements it lies in, and its own
     parts: list[str] = field(default_factory=list)
     length: int = 0
-    linked: int = 0
     holds_article: bool = False
 
 
@@ -108,7 +106,7 @@ class Page:
         self.removable: list[bool] = []
         self.text: list[str] = []
         self.stack = [Element("", False, 0, ())]
-        self.opened = {"a": 0, "p": 0}
+        self.opened = {"p": 0}
         at = 0
         while at < len(html):
             token = _TOKEN.search(html, at)
@@ -141,8 +139,6 @@ class Page:
         if small := " ".join(text.split()):
             top.parts.append(small)
             top.length += len(small)
-            if self.opened["a"]:
-                top.linked += len(small)
 
     def end_block(self) -> None:
         if self.text:
@@ -209,12 +205,11 @@ class Page:
         number = own.above[-1]
         self.hashes[number] = value
         template = not own.holds_article and own.tag not in ("html", "body")
-        self.removable[number] = template and own.length > 0 and (own.article == 0 or own.linked > LINKED * own.length)
+        self.removable[number] = template and own.length > 0
         top = self.stack[-1]
         top.holds_article |= own.holds_article or own.article > top.article
         top.parts.append(f"{value:x}")
         top.length += own.length
-        top.linked += own.linked
 
     def found(self) -> tuple[list[str], list[list[int]], list[int]]:
         """Texts of the blocks that may be main text, for each the hashes of the elements whose
@@ -251,25 +246,22 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(parse, schema_of(pages, ["page_id", "url"], added))
 
 
-def templates(subtrees: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def templates(subtrees: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, subtree) that occur on many different pages of the host, from rows (host, subtrees, version) of pages."""
-    own = subtrees.where("host is not null")
-    pages = own.select("host", "version").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
-    counts = own.select("host", "version", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("_on"))
-    often = joined(counts.where(F.col("_on") >= least_pages), pages, ["host"])
-    return often.where(F.col("_on") >= F.col("_pages") * least_share).select("host", "subtree")
+    own = subtrees.where("host is not null").select("host", "version", F.explode("subtrees").alias("subtree")).distinct()
+    return own.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("_on")).where(F.col("_on") >= least_pages).select("host", "subtree")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    A host has no more templates than its pages have elements, over LEAST_SHARE. If all hosts'
-    together are few, each page gets its host's; else the pages' subtrees meet them under a
-    salt, so that a large host spreads.
+    If no host has more than FEW templates and all hosts' together are few, each page gets its
+    host's; else the pages' subtrees meet them under a salt, so that a large host spreads.
     """
     found = written(parsed(pages).withColumn("_row", F.monotonically_increasing_id()), "pages")
     often = written(templates(found.select("host", "subtrees", "version")), "templates")
-    if is_small(often):
+    most = often.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    if most <= FEW and is_small(often):
         gone = F.broadcast(often.groupBy("host").agg(F.collect_set("subtree").alias("gone")))
         both = joined(found, gone, ["host"], "left")
     else:

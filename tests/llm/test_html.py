@@ -93,3 +93,15 @@ def test_copies_of_a_page_are_one_page(spark):
     rows = [(i, f"http://e.example.org/{i}", page("Equal text of some length")) for i in range(6)]
     rows += [(i, "http://e.example.org/", page(f"Own text {i}")) for i in range(10, 18)]
     assert texts(spark, rows) == {i: "Equal text of some length" if i < 10 else f"Own text {i}" for i, *_ in rows}
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+@pytest.mark.parametrize("element", ["div", "article"])
+def test_templates_of_some_pages_of_a_large_host_go(spark, monkeypatch, few, element):
+    monkeypatch.setattr(html, "FEW", few, raising=False)
+    rows, want = [], {}
+    for i in range(100):
+        more = "<p>Buy our yearly box now</p>" * (i % 20 == 1) + "<div><i>Seen in the paper</i></div>" * (i % 5 == 2)
+        rows.append((i, "http://f.example.org/", f"<body><{element}><p>Text {i}</p>{more}<p>End {i}</p></{element}></body>"))
+        want[i] = f"Text {i}\nEnd {i}"
+    assert texts(spark, rows) == want
