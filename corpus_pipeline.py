@@ -15,6 +15,9 @@ from ledger_mart.llm.queries import tokenizer
 
 #: A prediction below this is no better than a guess against the language.
 LEAST_LANGUAGE = 0.3
+#: Deviations by which a text may be less familiar than texts of the learned languages; the least predictions
+#: are 1 / languages, whatever the text, so that LEAST_LANGUAGE alone rejects next to nothing.
+LEAST_FAMILIAR = -5.0
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -31,7 +34,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents in which no known language is recognised."""
-    found = language.predict(_whole(docs), language.learn(docs), keep=["_doc"])
+    known = language.familiarity(_whole(docs), language.learn_familiar(docs), keep=["_doc"]).where(F.col("familiarity") >= LEAST_FAMILIAR)
+    found = language.predict(known.select("_doc", "_doc.text"), language.learn(docs), keep=["_doc"])
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select("_doc.*")
 
 

@@ -7,6 +7,10 @@ kernel is an inner product, landmarks and coefficients fold into one weight for
 n-gram and language, and a batch of texts is scored by the product of its sparse
 presence matrix with those weights.
 
+The machine tells learned languages apart and says little of other texts: its best output
+is never far below the others' mean. Whether a text is in a learned language at all is judged by
+``Familiar``: the mean log probability of its trigrams, against that of labelled texts held back.
+
 Defined results: ``und`` and score 0 for null texts, texts without a letter, and if there is nothing to
 learn from; one language learned is predicted for every text with a letter; rows without
 lang teach nothing; repeated rows get equal results; an empty table gives no rows; other
@@ -151,6 +155,80 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scored, schema)
 
 
+def trigrams(text: str | None) -> np.ndarray:
+    """Codes of the trigrams in a text, words' edges among them, each as often as it occurs."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbol = np.concatenate([[0], kept("letter symbols", _symbol_table)[points], [0]]).astype(np.int32)
+    symbol = symbol[np.r_[True, (symbol[1:] > 0) | (symbol[:-1] > 0)]]
+    return (symbol[:-2] * SYMBOLS + symbol[1:-1]) * SYMBOLS + symbol[2:]
+
+
+@dataclass
+class Familiar:
+    """Deviations of a text's mean log probability from the held-back texts' middle, by its length."""
+
+    log_p: np.ndarray  # by trigram, of the learned languages together
+    middle: float
+    spread: float  # of long texts
+    noise: float  # of a single trigram
+
+    def deviations(self, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (mean - self.middle) / np.sqrt(self.spread**2 + self.noise**2 / np.maximum(n, 1))
+
+
+def fit_familiar(taught: list[tuple[np.ndarray, np.ndarray, str]], back: list[tuple[np.ndarray, np.ndarray, str]]) -> Familiar | None:
+    """From (codes, counts, language) of texts; spreads are by quartiles, so that odd texts among them don't widen the bounds."""
+    back = [b for b in back or taught if len(b[0])]
+    by_language: dict[str, np.ndarray] = {}
+    for codes, counts, lang in taught:
+        np.add.at(by_language.setdefault(lang, np.zeros(SYMBOLS**3)), codes, counts)
+    sums = [c for c in by_language.values() if c.sum()]
+    if not sums or not back:
+        return None
+    # a trigram that was never seen counts half
+    log_p = np.log(np.mean([(c + 0.5) / (c.sum() + 0.5 * (c > 0).sum() + 0.5) for c in sums], axis=0)).astype(np.float32)
+    n = np.array([c.sum() for _, c, _ in back], float)
+    mean = np.array([log_p[k] @ c / c.sum() for k, c, _ in back])
+    every = np.concatenate([(log_p[k] - m) ** 2 * c for (k, c, _), m in zip(back, mean)]).sum() / n.sum()
+    noise = 2 * np.sqrt(every)  # neighbours share two symbols
+    off = lambda x, middle: 1.4826 * float(np.median(np.abs(x - middle)))
+    long = mean[n >= np.median(n)]
+    middle = float(np.median(long))
+    return Familiar(log_p, middle, max(off(long, middle), 0.05), float(noise))
+
+
+def learn_familiar(docs: DataFrame, most: int = SAMPLE) -> Familiar | None:
+    """From the rows that ``learn`` learns from; every fourth is held back."""
+    rows, _ = sample_by_class(docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang"), "lang", "doc_id", most)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(trigrams(t.as_py()), return_counts=True) for t in batch.column("text")]
+            codes, counts = [f[0].astype(np.int32).tobytes() for f in found], [f[1].astype(np.int32).tobytes() for f in found]
+            yield extended(batch, ["doc_id", "lang"], codes=pa.array(codes, pa.binary()), counts=pa.array(counts, pa.binary()))
+
+    got = by_chance(rows.mapInArrow(counted, schema_of(rows, ["doc_id", "lang"], "codes binary, counts binary")).collect(), "doc_id")
+    texts = [(np.frombuffer(r["codes"], np.int32), np.frombuffer(r["counts"], np.int32), r["lang"]) for r in got]
+    return fit_familiar([t for i, t in enumerate(texts) if i % 4 != 3], texts[3::4])
+
+
+def familiarity(docs: DataFrame, model: Familiar | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with ``familiarity``: the deviations by which a text's trigrams are likelier than held-back
+    texts' are; null for texts without a letter and if there was nothing to learn from."""
+    sent = docs.sparkSession.sparkContext.broadcast(model and vars(model))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value and Familiar(**sent.value)
+        for batch in batches:
+            codes = [trigrams(t.as_py()) if model else () for t in batch.column("_text")]
+            mean = [float(model.log_p[c].mean()) if len(c) else 0.0 for c in codes]
+            n = np.array([len(np.unique(c)) for c in codes])  # repeats tell nothing more
+            found = model.deviations(np.array(mean), n) if model else np.zeros(len(n))
+            yield extended(batch, keep, familiarity=pa.array(found, pa.float64(), mask=n == 0))
+
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scored, schema_of(docs, keep, "familiarity double"))
+
+
 def identified(docs: DataFrame, taught: Column) -> DataFrame:
     """doc_id, lang_pred and score of every document, learned from those ``taught``."""
     return predict(docs, learn(docs.where(taught)))

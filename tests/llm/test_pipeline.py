@@ -90,3 +90,17 @@ def test_empty_tables(spark, tables, tmp_path):
     for name in ("documents", "labels"):
         table(spark, folder, name).where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("langs", [["en"], ["en", "de"]])
+def test_language_stage_drops_letter_junk_and_languages_not_learned(documents, langs):
+    rng = random.Random(11)
+    text = lambda parts: " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(8, 150)))
+    rows = [(i, text(SYLLABLES[langs[i % len(langs)]]), langs[i % len(langs)], "a") for i in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows += [(1000 + i, text(list(letters)), None, "a") for i in range(20)]
+    rows += [(1100 + i, text("при ст ов ени на ло ть".split()), None, "a") for i in range(20)]
+    rows += [(1200 + i, "".join(rng.choices(letters.upper() + letters + "0123456789+/", k=800)), None, "a") for i in range(20)]
+    docs = documents(rows, clash=False)
+    ids = {r["doc_id"] for r in corpus_pipeline.drop_unknown_language(docs.sparkSession, docs, "").collect()}
+    assert max(ids) < 300 and len(ids) >= 294
