@@ -1,6 +1,8 @@
 """Licence scan: a trained paragraph classifier whose finds a template confirms.
 
-Paragraphs are lines; longer ones are read in overlapping windows. Features are single words and
+Lines are read one by one, longer ones in overlapping windows; so are paragraphs, lines up to one
+without words, across the ends of their lines, for notices that are wrapped. A notice is known by the
+line on which it, or the window that it was found in, begins. Features are single words and
 pairs of neighbours that occur in the templates below; a multinomial logistic regression tells
 the licence families and an unknown class apart. It learns from templates as they are, cut,
 mangled and wrapped in other words, against paragraphs of the corpus that share little with any
@@ -19,6 +21,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,13 +158,33 @@ class Model:
 
 
 def segments_of(text: str | None) -> Iterator[tuple[int, list[str]]]:
-    """(paragraph, words): lines, and windows of long ones."""
+    """(line, words): lines, and windows of long ones."""
     for number, line in enumerate((text or "").split("\n")):
         words = words_of(line)
-        for at in range(0, max(1, len(words) - WINDOW + STEP), STEP) if len(words) > WINDOW else (0,) * bool(words):
+        for at in _window_starts(len(words)):
             yield number, words[at : at + WINDOW]
 
 
+def _window_starts(n: int) -> range:
+    return range(0, max(1, n - WINDOW + STEP), STEP) if n > WINDOW else range(min(n, 1))
+
+
+def wrapped_segments_of(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
+    """(first line, last line, words): windows of paragraphs that lie on several lines."""
+    words: list[str] = []
+    numbers: list[int] = []
+    for number, line in enumerate([*(text or "").split("\n"), ""]):
+        if own := words_of(line):
+            words += own
+            numbers += [number] * len(own)
+            continue
+        for at in _window_starts(len(words)):
+            first, last = numbers[at], numbers[min(at + WINDOW, len(numbers)) - 1]
+            if first < last:
+                yield first, last, words[at : at + WINDOW]
+        words, numbers = [], []
+
+
 def _variants(words: list[str], filler: list[str], rng: random.Random) -> Iterator[list[str]]:
     """The template itself, lightly mangled, and amid other words."""
     some = lambda n: [rng.choice(filler) for _ in range(rng.randint(0, n))]
@@ -257,20 +280,26 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             out = []
             for at in range(0, len(batch), 128):
                 texts = batch.column("text")[at : at + 128].to_pylist()
-                owner, number, segments = [], [], []
+                owner, number, until, segments = [], [], [], []
                 for i, text in enumerate(texts):
-                    for n, words in segments_of(text):
+                    for n, m, words in chain(((n, n, w) for n, w in segments_of(text)), wrapped_segments_of(text)):
                         owner.append(i)
                         number.append(n)
+                        until.append(m)
                         segments.append(words)
                 best: list[dict[str, tuple[float, int]]] = [{} for _ in texts]
                 many: list[set[int]] = [set() for _ in texts]
+                spans: list[dict[str, list[tuple[int, int]]]] = [{} for _ in texts]
                 if segments:
                     chance, held = model.scores(segments)
                     top = chance[:, :-1].argmax(axis=1)
                     sure = (chance[np.arange(len(top)), top] >= LIKELY) & (held[np.arange(len(top)), top] >= CONFIRMED)
                     for j in np.flatnonzero(sure):
                         family, p = model.families[top[j]], float(chance[j, top[j]])
+                        seen = spans[owner[j]].setdefault(family, [])
+                        if number[j] < until[j] and any(a <= until[j] and number[j] <= z for a, z in seen):
+                            continue  # a line in the window, or the window before it, holds the notice
+                        seen.append((number[j], until[j]))
                         many[owner[j]].add(number[j])
                         if p > best[owner[j]].get(family, (0.0, 0))[0]:
                             best[owner[j]][family] = (p, number[j])

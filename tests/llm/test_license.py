@@ -70,3 +70,35 @@ def test_probabilities_are_calibrated(model):
     chance, _ = model.scores([w for _, w in cases])
     right = sum(c[:].argmax() == i for c, (i, _) in zip(chance, cases)) / len(cases)
     assert abs(chance.max(axis=1).mean() - right) < 0.12 and right > 0.8
+
+
+MIT = """Copyright (c) 2019 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#"""
+
+
+@pytest.mark.parametrize(("text", "want"), [(MIT, ["mit"]), (BSD, ["bsd"]), (GPL, ["gpl-3.0"])])
+def test_wrapped_notices(documents, model, text, want):
+    before = "\n".join(" ".join(x.split()[:9]) for x in corpus(random.Random(4), 3))
+    for whole, first in ((text, 0), (f"{before}\n\n{text}\n\n{before}", len(before.split("\n")) + 1)):
+        row = scan(documents, [whole], model)[0]
+        assert row["families"] == want and row["found"] == 1
+        assert row["paragraph"] == first + (2 if text is MIT else 0)
+
+
+def test_a_blank_line_ends_a_paragraph(documents, model):
+    row = scan(documents, ["Redistribution and use in source\n\nand binary forms, with or without\n \nmodification, are permitted"], model)[0]
+    assert row["families"] == []
