@@ -4,7 +4,8 @@ Of each k symbols in a row, those count as an anchor whose smallest inner run of
 symbols lies at the first or last place. That depends on the k symbols alone, so equal
 passages have equal anchors wherever they stand, and of any k - s + 1 neighbours one is
 an anchor. Symbols are words; a text of at most SHORT code points has anchors of code
-points as well, as it has too few words.
+points as well, as it has too few words. Words of more than LONG_WORD code points, as texts
+without spaces have, have anchors of longer runs of code points among those of words, in a text of any length.
 
 Defined results: null text is empty; empty texts have no anchor and are alike to each
 other only; fewer than k symbols are one anchor; repeated rows have equal fingerprints;
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 WORDS_K, WORDS_S = 8, 2
 CHARS_K, CHARS_S = 4, 2
+LONG_K, LONG_S, LONG_WORD = 12, 4, 24
 SHORT = 400
 BUCKET_ROWS, MOST_BUCKETS, STRIDE = 1024, 4096, 64
 
@@ -62,9 +64,15 @@ def chars(text: Column) -> Column:
     return F.filter(F.split(F.when(F.length(text) <= SHORT, text).otherwise(""), ""), lambda x: x != "")
 
 
+def long_words(text: Column) -> Column:
+    """Code points of the long words, a space after each."""
+    long = F.filter(words(text), lambda w: F.length(w) > LONG_WORD)
+    return F.filter(F.split(F.array_join(long, " "), ""), lambda x: x != "")
+
+
 def with_anchors(df: DataFrame, text: str, prefix: str) -> DataFrame:
     return df.withColumns({
-        f"{prefix}_words": anchors(words(F.col(text)), WORDS_K, WORDS_S),
+        f"{prefix}_words": F.concat(anchors(words(F.col(text)), WORDS_K, WORDS_S), anchors(long_words(F.col(text)), LONG_K, LONG_S)),
         f"{prefix}_chars": anchors(chars(F.col(text)), CHARS_K, CHARS_S),
     })
 

@@ -75,3 +75,15 @@ def test_no_rows_one_row_null_and_repeated_ids(documents):
 def test_no_python_in_the_plan(documents):
     plan = syncmers.fingerprints(documents(["a b c"] * 3))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x4E00, 0x5200))), "abcdefghijklmnopqrstuvwxyz0123456789", "acgt"])
+def test_long_texts_without_spaces(documents, letters):
+    rng = random.Random(8)
+    own = "".join(rng.choices(letters, k=3000))
+    near = own[:1000] + "x" + own[1000:] + "yz" * 10
+    other = "".join(rng.choices(letters, k=3000))
+    found = prints(documents([own, near, other, own + " a word" * 40]))
+    assert found[0]["near_next"] > 0.6 and found[0]["fingerprint"] != found[1]["fingerprint"]
+    assert found[2]["near_edited"] == pytest.approx(1 / 3, abs=0.15)
+    assert found[1]["near_next"] < 0.05 and found[3]["near_next"] > 0.6
