@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pytest
 
-from conftest import HEADER, write_csv
+from ledger_csv import HEADER, write_csv
 from ledger_mart.operators.audit import partition_audit
 from ledger_mart.operators.transform import add_flag, cast_txn_date, clean, fill_nulls
 from ledger_mart.plans.load import backfill, daily_job, full_load
