@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_mart.llm import html, language, license, mixing, packing, partenum, suffix_tree, syncmers, topk, toxicity
-from ledger_mart.llm.common import held_out, table
+from ledger_mart.llm import html, language, license, mixing, packing, partenum, runs, suffix_tree, syncmers, topk, toxicity
+from ledger_mart.llm.common import WORD, held_out, table
 
 
 def tokenizer() -> str:
@@ -136,6 +136,33 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in documents whose crc32(doc_id) ends in 0, a part repeats from some word on to the end."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    chosen = docs.select("doc_id", "text", crc.alias("_h")).withColumn("_g", F.floor(F.col("_h") / 10))
+    words = F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    parted = chosen.withColumn("_words", words).withColumn("_n", F.when(F.size("_words") > 0, F.size("_words")))
+    first = F.col("_g") % F.col("_n")
+    period = 1 + F.floor((F.col("_n") - F.col("_first")) / (3 + F.col("_g") % 8))
+    parted = parted.withColumn("_first", first.cast("int")).withColumn("_period", period.cast("int"))
+    rest = F.col("_n") - F.col("_first")
+    part = F.slice("_words", F.col("_first") + 1, F.col("_period"))
+    tail = F.slice(F.flatten(F.array_repeat(part, F.ceil(rest / F.col("_period")).cast("int"))), F.lit(1), rest)
+    edited = F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_first")), tail), " ")
+    return parted.select("doc_id", F.when(F.col("_n") > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(periodic_tails(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.floor(1000 * F.col("strongest.length") / F.col("strongest.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license": op1_license,
@@ -148,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,
         "op10_html": op10_html,
+        "op11_runs": op11_runs,
     }
 
 

@@ -1,0 +1,119 @@
+"""Runs against a brute-force search of every period, and the query's digests by hand."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ledger_mart.llm import queries, runs
+
+
+def brute(words, least=24, times=3):
+    """Every stretch by every period, the smallest period of each stretch kept."""
+    found = {}
+    for p in range(1, len(words) // times + 1):
+        start = None
+        for i in range(len(words) - p + 1):
+            if i < len(words) - p and words[i] == words[i + p]:
+                start = i if start is None else start
+            elif start is not None:
+                if i + p - start >= max(least, times * p):
+                    found.setdefault((start, i + p), p)
+                start = None
+    return sorted((a, e - a, p) for (a, e), p in found.items())
+
+
+def made(rng, n):
+    """Words with periodic parts of many kinds, some of them nested, cut or with a fault."""
+    words = []
+    while len(words) < n:
+        kind = rng.random()
+        if kind < 0.3:
+            words += [rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(1, 60))]
+        else:
+            unit = [rng.choice("ab" if kind < 0.6 else "abcdefgh") for _ in range(rng.choice([1, 2, 3, 5, 6, 8, 9, 13, 30, 64, 90]))]
+            if kind > 0.8:
+                unit = unit * rng.randint(2, 5) + [rng.choice("xyz")]
+            part = unit * rng.randint(2, 7)
+            if rng.random() < 0.3:
+                part[rng.randrange(len(part))] = "q"
+            words += part[rng.randrange(3) : len(part) - rng.randrange(3)]
+    return words[:n]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_runs_equal_brute_force(seed):
+    rng = random.Random(seed)
+    texts = [made(rng, rng.choice([0, 5, 23, 24, 25, 100, 400, 900])) for _ in range(4)]
+    got = runs.runs_of_texts([[w.encode() for w in t] for t in texts])
+    assert got == [brute(t) for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=90), st.integers(1, 4), st.integers(6, 30))
+def test_small_alphabets_equal_brute_force(words, copies, least):
+    words = words * copies
+    x = np.array([ord(w) for w in words], np.int64)
+    assert runs.runs_of_symbols(x, len(x), least) == brute(words, least)
+
+
+def test_fewer_than_three_periods_are_refused():
+    with pytest.raises(ValueError):
+        runs.runs_of_symbols(np.zeros(9, np.int64), 9, times=2)
+
+
+def test_long_periods_and_chosen_positions_stay_few():
+    rng = random.Random(1)
+    unit = [str(rng.random()) for _ in range(5000)]
+    words = [w.encode() for w in ["x"] * 40 + unit * 4 + ["y"]]
+    assert runs.runs_of_texts([words]) == [[(0, 40, 1), (40, 20000, 5000)]]
+    x = np.array([hash(w) % 7 for w in unit], np.int64)
+    hashes = runs._mixed(x.astype(np.uint64))
+    for width in (1, 2, 4, 8):
+        hashes = runs._mixed(hashes[:-width] * runs._MIX[2] + hashes[width:])
+    assert len(runs._chosen(hashes, 16, [])) < len(x) / 3
+
+
+def rows_by_hand(doc_id, text):
+    words = [w for w in (text or "").encode().split()]
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 0
+    g = h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    found = brute(words)
+    best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    keep = [w for i, w in enumerate(words) if not any(s + p <= i < s + m for s, m, p in found)]
+    lines = "".join(f"{s},{m},{p}\n" for s, m, p in found)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    report = (best[0], best[1], best[2], 1000 * best[1] // best[2]) if best else (None,) * 4
+    return (doc_id, len(found), *report, sha(lines.encode()), sha(b" ".join(keep)))
+
+
+def test_query_equals_brute_force(spark, documents, folder):
+    rng = random.Random(5)
+    texts = [" ".join(made(rng, rng.choice([30, 100, 300]))) for _ in range(60)]
+    texts += [None, "", " \n ", "one", "Aa aA\x0b" * 30, "wörter fest " * 24, " ".join("abc") + " ab" * 50]
+    texts += [" ".join(str(i) for i in range(200))] * 3 + [texts[0]]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(3, texts[3], "en", "a"), (None, "ab " * 30, None, None)]
+    frame = documents(rows)
+    path = folder(documents=frame)
+    got = queries.op11_runs(spark, path)
+    columns = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    got = [tuple(r) for r in got.select(columns).collect()]
+    want = [rows_by_hand(r[0], r[1]) for r in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))) > 3
+
+
+def test_empty_table(spark, documents):
+    assert runs.periodic_runs(documents([])).collect() == []
