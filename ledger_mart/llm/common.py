@@ -7,7 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -62,6 +62,18 @@ def extended(batch: pa.RecordBatch, keep: Sequence[str], **added: pa.Array) -> p
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added.values()], names=[*keep, *added])
 
 
+def in_slices(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes, or of one longer row, however long the texts of one batch are."""
+    for batch in batches:
+        low = 0
+        while low < batch.num_rows:
+            rows = batch.num_rows - low
+            while rows > 1 and batch.slice(low, rows).nbytes > most:
+                rows = max(1, min(rows - 1, rows * most // batch.slice(low, rows).nbytes))
+            yield batch.slice(low, rows)
+            low += rows
+
+
 def kept(key: Any, make: Callable[[], Any]) -> Any:
     """What ``make`` returned for the key, kept by this process for later tasks. Functions
     travel by value, so their module's globals would last for one task only."""

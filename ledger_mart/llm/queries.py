@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_mart.llm import html, language, license, mixing, packing, partenum, runs, suffix_tree, syncmers, topk, toxicity
+from ledger_mart.llm import html, language, license, mixing, packing, partenum, positional, runs, suffix_tree, syncmers, topk, toxicity, variants
 from ledger_mart.llm.common import WORD, held_out, table
 
 
@@ -163,6 +165,58 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def letter_words(docs: DataFrame) -> DataFrame:
+    """(word, n) of the words of letters with 5 code points or more that occur at least 3 times, one run in 97 without one
+    of its code points."""
+    lower = F.translate("text", ascii_uppercase, ascii_lowercase)
+    runs_of = F.regexp_extract_all(lower, F.lit("[a-z\\u00C0-\\u00FF]+"), F.lit(0))
+    each = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.explode(runs_of).alias("_run"))
+    hashed = each.withColumn("_h", F.crc32(F.concat("_id", F.lit(":"), "_run")))
+    at = (F.col("_h") % F.length("_run")).cast("int")
+    less = F.concat(F.substr("_run", F.lit(1), at), F.substr("_run", at + 2))
+    words = hashed.select(F.when(F.col("_h") % 97 == 0, less).otherwise(F.col("_run")).alias("word")).where(F.length("word") >= 5)
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(letter_words(table(spark, sf_dir, "documents")))
+
+
+def op13_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP13_SQL = """
+    with docs as (
+        select row_number() over () as r, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+        from documents),
+    items as (
+        select item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+        from benchmark),
+    windows as (
+        select distinct item_id, least(len(w), 10) as size, unnest(case when len(w) = 0 then [] when len(w) < 10 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) end) as p
+        from items),
+    lists as (
+        select r, size, list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' ')) as ps
+        from docs, (select distinct size from windows) where len(w) >= size),
+    placed as (select r, size, unnest(ps) as p, generate_subscripts(ps, 1) as i from lists),
+    met as (select r, placed.size, i, item_id from placed join windows using (size, p)),
+    hit as (select r, count(*) as n_hit from (select distinct r, unnest(range(i, i + size)) as pos from met) group by r),
+    named as (
+        select r, count(*) as n_items, string_agg(item, ',' order by item) as ids
+        from (select distinct r, cast(item_id as varchar) as item from met) group by r)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+    from docs left join hit using (r) left join named using (r)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license": op1_license,
@@ -176,6 +230,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_html": op10_html,
         "op11_runs": op11_runs,
+        "op12_variants": op12_variants,
+        "op13_positional": op13_positional,
     }
 
 
@@ -184,4 +240,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_partenum": OP4_SQL,
         "op6_topk": OP6_SQL,
         "op9_mixing": OP9_SQL,
+        "op13_positional": OP13_SQL,
     }

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import extended, schema_of
+from ledger_mart.llm.common import extended, in_slices, schema_of
 
 LEAST_WORDS, LEAST_PERIODS = 24, 3
 _SHIFTS = 5  # periods found by shifting; the first scale's pairs begin at 6
@@ -199,7 +199,7 @@ def periodic_runs(docs: DataFrame, keep: Sequence[str] = ("doc_id",), least: int
         return run and {"start": run[0], "length": run[1], "period": run[2]}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             # bytes.split parts at 9 to 13 and 32, no other white space
             texts = [(t or b"").split() for t in batch.column(batch.num_columns - 1).to_pylist()]
             runs = runs_of_texts(texts, least, times)

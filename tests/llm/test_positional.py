@@ -1,0 +1,114 @@
+"""The index against plain searches of word lists."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledger_mart.llm import positional, queries
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UPPER))
+
+
+def brute(docs, items, size):
+    held = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - size + 1)) if w else []:
+            held.setdefault(tuple(w[i : i + size]), set()).add(item)
+    found = []
+    for doc_id, text in docs:
+        w, hit, named = words(text), set(), set()
+        for n in {len(p) for p in held}:
+            for i in range(len(w) - n + 1):
+                owners = held.get(tuple(w[i : i + n]))
+                if owners:
+                    hit |= set(range(i, i + n))
+                    named |= owners
+        found.append((doc_id, len(w), len(hit), sorted(str(x) for x in named if x is not None)))
+    return found
+
+
+def tables(spark, rng, clash=True):
+    vocabulary = [f"w{i}" for i in range(12)] + ["Ünder", "ß", "日本", "é", "it", "don't"]
+    pick = lambda n: " ".join(rng.choices(vocabulary, [rng.random() ** 3 for _ in vocabulary], k=n))
+    items = [(i, pick(rng.choice([1, 2, 3, 4, 5, 9, 14, 30]))) for i in range(14)]
+    items += [(2, pick(6)), (None, pick(7)), (90, None), (91, " -- "), (92, items[3][1]), (93, "UNSEEN word here at all")]
+    docs = []
+    for i in range(60):
+        parts = [pick(rng.randint(0, 25)) for _ in range(rng.randint(0, 4))]
+        if rng.random() < 0.6:
+            parts.insert(rng.randint(0, len(parts)), (rng.choice(items)[1] or "").upper() + ",")
+        docs.append((i, rng.choice([" ", "\n", "--"]).join(parts)))
+    docs += [(7, docs[7][1]), (None, items[0][1]), (100, None), (101, ""), (102, " ".join([items[6][1]] * 40)), (103, "word " * 30000 + items[7][1])]
+    extra = [F.lit("x").alias(c) for c in ("row", "pos", "word", "term", "phrase", "size", "n_words")] if clash else []
+    frame = spark.createDataFrame(docs, "doc_id long, text string").select("*", *extra).repartition(5)
+    return docs, items, frame, spark.createDataFrame(items, "item_id long, text string").select("*", *extra)
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("size", [3, 10])
+def test_contamination_equals_brute_force(spark, seed, size):
+    docs, items, frame, item_frame = tables(spark, random.Random(seed))
+    got = [tuple(r) for r in positional.contamination(frame, item_frame, size).collect()]
+    want = brute(docs, items, size)
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert any(r[2] for r in want) and not all(r[2] for r in want)
+
+
+def test_joins_without_broadcast_give_the_same(spark, monkeypatch):
+    docs, items, frame, item_frame = tables(spark, random.Random(9))
+    monkeypatch.setattr(positional, "small", lambda df: df)
+    monkeypatch.setattr(positional, "_SMALL_LETTERS", 0)
+    got = [tuple(r) for r in positional.contamination(frame, item_frame, 4).collect()]
+    assert sorted(got, key=str) == sorted(brute(docs, items, 4), key=str)
+
+
+def test_phrases_and_neighbourhoods(spark):
+    texts = ["a b c a b", "c b a", "b x y a", "", "a a a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    index = positional.index_of(docs, spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "word string"))
+    rows = {r["row"]: r["doc_id"] for r in index.documents.collect()}
+    phrases = spark.createDataFrame([(0, ["a", "b"]), (1, ["a"]), (2, ["b", "c", "a"]), (3, ["a", "z"]), (4, ["a", "a"]), (5, [])], "phrase long, words array<string>")
+    got = {(rows[r["row"]], r["phrase"], r["start"]) for r in positional.phrase_matches(index, phrases).collect()}
+    ones = {(d, 1, i) for d, t in enumerate(texts) for i, w in enumerate(t.split()) if w == "a"}
+    assert got == {(0, 0, 0), (0, 0, 3), (0, 2, 1), (4, 4, 0), (4, 4, 1)} | ones
+    pairs = spark.createDataFrame([(0, "a", "b"), (1, "a", "a"), (2, "a", "z")], "query long, left string, right string")
+    for within in (1, 2, 3):
+        found = [(rows[r["row"]], r["query"], r["left_pos"], r["right_pos"]) for r in positional.near_matches(index, pairs, within).collect()]
+        want = [
+            (d, q, i, j) for d, t in enumerate(texts) for q, (left, right) in enumerate([("a", "b"), ("a", "a")])
+            for i, x in enumerate(t.split()) for j, y in enumerate(t.split())
+            if (x, y) == (left, right) and 0 < abs(i - j) <= within
+        ]
+        assert sorted(found) == sorted(want)
+
+
+def test_query_digests(spark, folder):
+    docs, items, frame, item_frame = tables(spark, random.Random(4), clash=False)
+    got = queries.op13_positional(spark, folder(documents=frame, benchmark=item_frame))
+    rows = [tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
+    want = [(d, n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0) for d, n, hit, ids in brute(docs, items, 10)]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert positional.contamination(docs.where("false"), items).collect() == []
+    assert [tuple(r) for r in positional.contamination(docs, items.where("false")).collect()] == [(1, 2, 0, [])]
+
+
+def test_no_python_in_the_plan(spark):
+    from pathlib import Path
+
+    code = Path(positional.__file__).read_text()
+    assert not any(x in code for x in ("udf", "mapIn", "applyIn", ".rdd", "pandas"))
