@@ -7,6 +7,8 @@ read back.
 
 from __future__ import annotations
 
+import contextlib
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +18,19 @@ from ledger_mart import cli
 from ledger_mart.fixtures import (
     events_ledger,
     staged_bad_text,
+    staged_dated_ledger,
     staged_fact,
     staged_ledger,
     staged_swapped_header,
 )
 from ledger_mart.operators import audit, transform
 from ledger_mart.plans.end_to_end import daily_end_to_end, full_end_to_end
-from ledger_mart.plans.export import export_full, export_partition
+from ledger_mart.plans.export import export_audit, export_full, export_partition
 from ledger_mart.plans.load import backfill, daily_job, full_load
-from ledger_mart.plans.report import run_report, status_frame
-from ledger_mart.schema import AMOUNT, DATE, FLAG, LABEL, RAW_COLUMNS
+from ledger_mart.plans.report import reject_frame, run_report, status_frame
+from ledger_mart.schema import AMOUNT, DATE, FLAG, LABEL, RAW_COLUMNS, TXN_NO
 from ledger_mart.sinks.fact import replace_table
+from ledger_mart.sinks.publish import publish
 from ledger_mart.sources.fact import file_inventory, read_fact
 from ledger_mart.sources.raw import read_raw
 from ledger_mart.storage import make_folder, partition_path, scratch_path
@@ -36,6 +40,7 @@ NEXT_DAY = "2024-01-04"
 NO_DAY = "1999-01-01"
 EMPTY_DAY = "1999-01-02"
 RANGE = ["2024-01-05", "2024-01-06", "2024-01-07", "2024-01-08", "2024-01-09"]
+MISSING_DAY = "2024-01-06"
 FACT_COLUMNS = RAW_COLUMNS
 FLAGGED_COLUMNS = [*RAW_COLUMNS, FLAG]
 
@@ -129,6 +134,47 @@ def static_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_fact(spark, out).select(*FACT_COLUMNS)
 
 
+class Interrupted(RuntimeError):
+    """The end of a run that doesn't reach its own."""
+
+
+def full_load_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replacement that ends after it wrote a part of the new table."""
+    out = _loaded(spark, sf_dir)
+    part = events_ledger(spark, sf_dir).where(F.col(DATE) == DAY).transform(transform.clean)
+
+    def dies(folder: str) -> None:
+        part.write.partitionBy(DATE).parquet(folder)
+        raise Interrupted
+
+    with contextlib.suppress(Interrupted):
+        publish(spark, out, dies)
+    return read_fact(spark, out).select(*FACT_COLUMNS)
+
+
+def daily_job_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days, of which the second finds the map that the first made."""
+    raw, out, date_map = staged_dated_ledger(spark, sf_dir), scratch_path(spark, "fact"), scratch_path(spark, "date-map")
+    for day in (DAY, NEXT_DAY):
+        daily_job(spark, raw, out, day, date_map=date_map)
+    return read_fact(spark, out).select(*FLAGGED_COLUMNS)
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, rejected = scratch_path(spark, "fact"), scratch_path(spark, "rejected")
+    full_load(spark, staged_bad_text(spark, sf_dir, AMOUNT, "abc", every=19), out, quarantine=rejected)
+    lines = spark.read.parquet(rejected)
+    return lines.select(TXN_NO, "reason", "column", F.col("line").isNotNull().alias("has_line"), DATE)
+
+
+def quarantine_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = staged_bad_text(spark, sf_dir, AMOUNT, "abc", every=19)
+    out, rejected = scratch_path(spark, "fact"), scratch_path(spark, "rejected")
+    reports = [daily_job(spark, raw, out, day, quarantine=rejected) for day in (DAY, NO_DAY)]
+    whole = staged_bad_text(spark, sf_dir, DATE, "2024/01/03", every=3)
+    return reject_frame(spark, [*reports, full_load(spark, whole, scratch_path(spark, "fact"), quarantine=rejected)])
+
+
 def daily_job_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir, DAY)
 
@@ -234,6 +280,22 @@ def export_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status_frame(spark, reports)
 
 
+def export_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mart that lost a row of one date, has one of another twice, one changed, and lacks a date."""
+    fact, mart = staged_fact(spark, sf_dir), scratch_path(spark, "mart")
+    rows = read_fact(spark, fact, flagged=False)
+    first = rows.groupBy(DATE).agg(F.min(F.col(TXN_NO).cast("long")).alias("first"))
+    rows = rows.join(first, DATE)
+    of_first = lambda day: (F.col(DATE) == F.lit(day).cast("date")) & (F.col(TXN_NO).cast("long") == F.col("first"))
+    damaged = (
+        rows.where(~of_first(DAY)).where(F.col(DATE) != F.lit(MISSING_DAY).cast("date"))
+        .unionByName(rows.where(of_first(NEXT_DAY)))
+        .withColumn(AMOUNT, F.when(of_first(RANGE[0]), F.col(AMOUNT) + 1).otherwise(F.col(AMOUNT)))
+    )
+    replace_table(damaged.drop("first"), mart)
+    return export_audit(spark, fact, mart, flagged=False)
+
+
 def daily_end_to_end_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact, mart = scratch_path(spark, "fact"), scratch_path(spark, "mart")
     daily_end_to_end(spark, staged_ledger(spark, sf_dir), fact, mart, DAY)
@@ -251,9 +313,9 @@ def full_end_to_end_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 try:
     import corpus_pipeline
     from ledger_mart.llm import queries as llm_queries
-except ModuleNotFoundError as missing:
+except ModuleNotFoundError as missing:  # the subpackage itself, or something that it needs
     if missing.name not in ("ledger_mart.llm", "corpus_pipeline"):
-        raise
+        warnings.warn(f"only ledger queries are registered: {missing}", stacklevel=2)
     llm_queries = corpus_pipeline = None
 
 
@@ -312,6 +374,11 @@ def ledger_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "export_status": export_status,
         "daily_end_to_end": daily_end_to_end_query,
         "full_end_to_end": full_end_to_end_query,
+        "daily_job_mapped": daily_job_mapped,
+        "full_load_interrupted": full_load_interrupted,
+        "export_audit": export_audit_query,
+        "quarantine": quarantine,
+        "quarantine_report": quarantine_report,
     }
 
 
@@ -413,4 +480,24 @@ def ledger_sql() -> dict[str, str]:
             union all {status(EMPTY_DAY, 'exported', 'empty')}""",
         "daily_end_to_end": day_flagged,
         "full_end_to_end": all_clean,
+        "daily_job_mapped": f"select * from {flagged} where {both_days}",
+        "full_load_interrupted": all_clean,
+        "export_audit": f"""
+            select "거래일자", status, fact_rows, fact_rows + more as mart_rows, status = 'same' as passed
+            from (select "거래일자", count(*) as fact_rows,
+                         case cast("거래일자" as varchar) when '{DAY}' then 'lost' when '{NEXT_DAY}' then 'doubled'
+                              when '{RANGE[0]}' then 'changed' when '{MISSING_DAY}' then 'missing' else 'same' end as status,
+                         case status when 'lost' then -1 when 'doubled' then 1 when 'missing' then -count(*) else 0 end as more
+                  from {clean} group by "거래일자")""",
+        "quarantine": f"""
+            select "거래번호", 'number' as reason, '금액' as "column", true as has_line, "거래일자"
+            from {clean} where cast("거래번호" as bigint) % 19 = 0""",
+        "quarantine_report": f"""
+            with lines as (select "거래일자" as day, cast("거래번호" as bigint) as number from {raw})
+            select '{DAY}' as batch_date, case when count(*) > 0 then 'written' else 'no_data' end as status,
+                   count(*) filter (number % 19 = 0) as rejected, cast(0 as bigint) as bad_fields,
+                   count(*) filter (number % 19 = 0) as bad_amounts, cast(0 as bigint) as bad_labels, cast(0 as bigint) as bad_dates
+            from lines where day = '{DAY}'
+            union all select '{NO_DAY}', 'no_data', 0, 0, 0, 0, 0
+            union all select null, 'written', count(*), 0, 0, 0, count(*) from lines where number % 3 = 0""",
     }

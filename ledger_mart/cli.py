@@ -56,14 +56,33 @@ def _parser() -> argparse.ArgumentParser:
             help="leave the table alone when the raw ledger is empty",
         )
 
-    dated(job("daily", "load one date"))
+    def rejecting(sub: argparse.ArgumentParser) -> None:
+        sub.add_argument("--quarantine", help="table for lines that cannot be taken as they are")
+
+    def mapped(sub: argparse.ArgumentParser) -> None:
+        sub.add_argument("--date-map", help="table that tells which raw files may hold a date")
+
+    def verified(sub: argparse.ArgumentParser) -> None:
+        sub.add_argument("--verify", action="store_true", help="compare the mart with the rows that were exported")
+
+    daily = job("daily", "load one date")
+    dated(daily)
+    mapped(daily)
+    rejecting(daily)
     dated(job("daily-export", "load one date, check, export it", export=True))
-    refreshing(job("full", "replace the fact table by all dates"))
+    full = job("full", "replace the fact table by all dates")
+    refreshing(full)
+    rejecting(full)
     refreshing(job("full-export", "replace the fact table and the mart", export=True))
     dates = job("backfill", "load the given dates in one scan")
     dates.add_argument("--dates", required=True, nargs="+", type=_day)
-    dated(job("export-date", "export one date of a fact table", load=False))
+    mapped(dates)
+    rejecting(dates)
+    one = job("export-date", "export one date of a fact table", load=False)
+    dated(one)
+    verified(one)
     whole = job("export", "export a whole fact table", load=False)
+    verified(whole)
     whole.add_argument(
         "--columns",
         choices=["found", "plain", "flagged"],
@@ -90,20 +109,20 @@ def run(spark: SparkSession, args: argparse.Namespace) -> Sequence[RunReport]:
     refresh = {"allow_empty": not getattr(args, "keep_if_empty", False)}
     match args.job:
         case "daily":
-            return [daily_job(spark, source, target, args.date, **layout)]
+            return [daily_job(spark, source, target, args.date, **layout, date_map=args.date_map, quarantine=args.quarantine)]
         case "daily-export":
             return daily_end_to_end(spark, source, target, args.export, args.date, **layout)
         case "full":
-            return [full_load(spark, source, target, **refresh, **layout)]
+            return [full_load(spark, source, target, **refresh, **layout, quarantine=args.quarantine)]
         case "full-export":
             return full_end_to_end(spark, source, target, args.export, **refresh, **layout)
         case "backfill":
-            return backfill(spark, source, target, args.dates, **layout)
+            return backfill(spark, source, target, args.dates, **layout, date_map=args.date_map, quarantine=args.quarantine)
         case "export-date":
-            return [export_partition(spark, source, target, args.date)]
+            return [export_partition(spark, source, target, args.date, args.verify)]
         case "export":
             flagged = {"found": None, "plain": False, "flagged": True}[args.columns]
-            return [export_full(spark, source, target, flagged)]
+            return [export_full(spark, source, target, flagged, args.verify)]
         case _:
             raise ValueError(f"unknown job {args.job}")
 

@@ -66,6 +66,12 @@ def staged_ledger(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, ("raw", sf_dir), ledger)
 
 
+def staged_dated_ledger(spark: SparkSession, sf_dir: str) -> str:
+    """The ledger as CSV files that hold few dates each, as they land day by day."""
+    ledger = lambda: events_ledger(spark, sf_dir).repartitionByRange(16, DATE)
+    return _once(spark, ("dated", sf_dir), lambda: write_raw_csv(ledger(), scratch_path(spark, "dated")))
+
+
 def staged_bad_text(spark: SparkSession, sf_dir: str, column: str, text: str, every: int) -> str:
     """The whole ledger as CSV, with ``text`` for the column in some of the rows."""
     bad = F.col(TXN_NO).cast("long") % every == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledger_mart.functions.columns import row_total
 from ledger_mart.schema import DATE
+from ledger_mart.sinks.publish import current
 from ledger_mart.sources.fact import file_inventory
 from ledger_mart.storage import partition_count, partition_path, path_exists
 
@@ -27,7 +28,7 @@ def partition_audit(fact: DataFrame) -> DataFrame:
 
 def output_gate(spark: SparkSession, path: str) -> DataFrame:
     """One row with the number of date partitions; raises when there are none."""
-    partitions = partition_count(spark, path)
+    partitions = partition_count(spark, current(spark, path))
     if partitions == 0:
         raise NoOutputError(f"no output partitions under {path}")
     return spark.range(1).select(
@@ -39,7 +40,7 @@ def output_gate(spark: SparkSession, path: str) -> DataFrame:
 def export_status(spark: SparkSession, path: str, batch_date: str) -> str:
     """What an export of ``batch_date`` will meet: no partition at all, a partition
     without Parquet files, or data."""
-    if not path_exists(spark, partition_path(path, batch_date)):
+    if not path_exists(spark, partition_path(current(spark, path), batch_date)):
         return "skipped"
     if file_inventory(spark, path, [batch_date]).isEmpty():
         return "empty"

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ledger_mart.schema import DATE
+from ledger_mart.sinks.publish import current, publish, settle
 from ledger_mart.storage import require_shared
 
 
@@ -24,9 +25,11 @@ def _overwrite(df: DataFrame, path: str, radius: str) -> None:
 
 def replace_dates(df: DataFrame, path: str) -> None:
     """Replace the dates that occur in ``df``; every other date stays."""
-    _overwrite(df, path, "dynamic")
+    settle(df.sparkSession, path)
+    _overwrite(df, current(df.sparkSession, path), "dynamic")
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replace the whole table, also by nothing if ``df`` is empty."""
-    _overwrite(df, path, "static")
+    """Replace the whole table, also by nothing if ``df`` is empty. Readers have the old
+    table until the new one is whole; if the write fails they keep it."""
+    publish(df.sparkSession, path, lambda folder: _overwrite(df, folder, "static"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledger_mart.schema import DATE, fact_schema
+from ledger_mart.sinks.publish import current, reading
 from ledger_mart.storage import partition_path
 
 
@@ -30,7 +31,7 @@ def read_fact(
         merge_schema = flagged is None
     if flagged is not None:
         reader = reader.schema(fact_schema(flagged))
-    fact = reader.option("mergeSchema", merge_schema).parquet(path)
+    fact = reading(spark, path, reader.option("mergeSchema", merge_schema).parquet)
     if dates is not None:
         fact = fact.where(F.col(DATE).isin([F.lit(d).cast("date") for d in dates]))
     return fact
@@ -45,6 +46,7 @@ def read_fact_partitions(
     come from loads with and without the flag. Dates of one and the same write need
     no ``merge_schema``.
     """
+    path = current(spark, path)
     return (
         spark.read.option("basePath", path)
         .option("mergeSchema", merge_schema)
@@ -59,6 +61,7 @@ def file_inventory(
 
     All three come from the listing; no file is opened.
     """
+    path = current(spark, path)
     targets = [path] if dates is None else [partition_path(path, d) for d in dates]
     files = (
         spark.read.format("binaryFile")

@@ -8,7 +8,9 @@ reach the driver's Python.
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
+import time
 import uuid
 
 from itertools import combinations
@@ -82,6 +84,114 @@ def require_shared(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is a local disk, a different one for each executor")
 
 
+def has_atomic_rename(spark: SparkSession, path: str) -> bool:
+    """Whether a folder of this store changes its name in one step; object stores copy file by file."""
+    fs, hadoop_path = _resolve(spark, path)
+    return fs.makeQualified(hadoop_path).toUri().getScheme() in ("file", "hdfs", "viewfs")
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder to a name that nothing has yet."""
+    fs, old = _resolve(spark, source)
+    _, new = _resolve(spark, target)
+    if fs.exists(new) or not fs.rename(old, new):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def siblings(spark: SparkSession, path: str, mark: str) -> list[str]:
+    """Paths beside ``path`` that have its name and then ``mark``."""
+    fs, hadoop_path = _resolve(spark, path.rstrip("/"))
+    folder = hadoop_path.getParent()
+    if not fs.exists(folder):
+        return []
+    name = hadoop_path.getName() + mark
+    return [f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith(name)]
+
+
+def remove_sibling(spark: SparkSession, path: str, mark: str, sibling: str) -> None:
+    """Delete something beside ``path`` that has its name and then ``mark``; nothing else."""
+    fs, hadoop_path = _resolve(spark, sibling)
+    if not hadoop_path.getName().startswith(path.rstrip("/").rsplit("/", 1)[-1] + mark):
+        raise ValueError(f"{sibling} is nothing of {path}")
+    fs.delete(hadoop_path, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The first line of a small file, None if there is none."""
+    fs, hadoop_path = _resolve(spark, path)
+    if not fs.exists(hadoop_path):
+        return None
+    java = spark.sparkContext._jvm.java.io
+    with contextlib.closing(java.BufferedReader(java.InputStreamReader(fs.open(hadoop_path), "UTF-8"))) as reader:
+        return reader.readLine() or ""
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that other readers see whole or not at all."""
+    fs, hadoop_path = _resolve(spark, path)
+    draft = hadoop_path.suffix(f"-{uuid.uuid4().hex}")
+    with contextlib.closing(fs.create(draft, False)) as out:
+        out.write(bytearray(text, "utf-8"))
+    if fs.exists(hadoop_path):
+        fs.delete(hadoop_path, False)
+    if not fs.rename(draft, hadoop_path):
+        raise OSError(f"{path} could not be written")
+
+
+def make_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file in one step, unless something of its name is there: then False."""
+    fs, hadoop_path = _resolve(spark, path)
+    uri = fs.makeQualified(hadoop_path).toUri()
+    if uri.getScheme() == "file":  # Hadoop's local file system looks first and writes then
+        while True:
+            fs.mkdirs(hadoop_path.getParent())
+            try:
+                handle = os.open(uri.getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+            except FileExistsError:
+                return False
+            except FileNotFoundError:  # the empty folder was removed meanwhile
+                continue
+            with os.fdopen(handle, "w") as out:
+                out.write(text)
+            return True
+    try:
+        with contextlib.closing(fs.create(hadoop_path, False)) as out:
+            out.write(bytearray(text, "utf-8"))
+    except Py4JJavaError:
+        if fs.exists(hadoop_path):
+            return False
+        raise
+    return True
+
+
+def remove_file(spark: SparkSession, path: str) -> None:
+    """Delete a file; a folder that holds anything is refused by the store."""
+    fs, hadoop_path = _resolve(spark, path)
+    fs.delete(hadoop_path, False)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _resolve(spark, path)
+    fs.setTimes(hadoop_path, int(time.time() * 1000), -1)
+
+
+def touched(spark: SparkSession, path: str) -> float | None:
+    """When the file was last written or touched, in seconds; None if there is none."""
+    fs, hadoop_path = _resolve(spark, path)
+    return fs.getFileStatus(hadoop_path).getModificationTime() / 1000 if fs.exists(hadoop_path) else None
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    fs, hadoop_path = _resolve(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
+
+
+def remove_partition(spark: SparkSession, table: str, batch_date: str) -> None:
+    """Delete one date of a table."""
+    fs, hadoop_path = _resolve(spark, partition_path(table, batch_date))
+    fs.delete(hadoop_path, True)
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _resolve(spark, path)
     fs.mkdirs(hadoop_path)

@@ -1,0 +1,123 @@
+"""The map of raw files against full scans of the folder, as files come, change and go."""
+
+from __future__ import annotations
+
+import os
+from collections import Counter
+from pathlib import Path
+
+import pytest
+from ledger_csv import HEADER, write_csv
+from pyspark.sql import functions as F
+
+from ledger_mart.plans.load import backfill, daily_job
+from ledger_mart.schema import DATE, RAW_COLUMNS
+from ledger_mart.sources import date_map
+from ledger_mart.sources.date_map import read_date_map, read_raw_mapped, refresh_date_map
+from ledger_mart.sources.fact import read_fact
+from ledger_mart.sources.raw import read_raw
+
+D = [f"2024-01-0{i}" for i in range(1, 8)]
+
+
+def line(number, day):
+    return f"T{number},{day},acc,C,{number},memo,p1,a1,0,"
+
+
+@pytest.fixture
+def raw(tmp_path):
+    folder = tmp_path / "raw"
+    write_csv(folder / "a.csv", HEADER, line(1, D[0]), line(2, D[1]))
+    write_csv(folder / "b b%.csv", HEADER, line(3, D[1]), line(4, D[3]))
+    write_csv(folder / "c.csv", HEADER, line(5, D[5]))
+    write_csv(folder / "odd.csv", HEADER, line(6, ""), line(7, "x"))
+    write_csv(folder / "none.csv", HEADER)
+    (folder / "empty.csv").write_text("")
+    return folder
+
+
+def rows(df):
+    return Counter(tuple(r) for r in df.select(RAW_COLUMNS).collect())
+
+
+def of(spark, raw, *days):
+    return rows(read_raw(spark, str(raw)).where(F.col(DATE).isin(list(days))))
+
+
+def mapped(spark, raw, *days):
+    df = read_raw_mapped(spark, str(raw), f"{raw}-map", days)
+    return df, rows(df.where(F.col(DATE).isin(list(days))))
+
+
+def opened(df):
+    """Files that the scan of a frame opened, by Spark's own count."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    scans = [p for p in _nodes(plan) if "Scan csv" in p.nodeName()]
+    return sum(p.metrics().apply("numFiles").value() for p in scans)
+
+
+def _nodes(plan):
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def test_only_files_that_may_hold_the_date_are_opened(spark, raw):
+    for days, files in (([D[1]], 2), ([D[5]], 1), ([D[0], D[5]], 2), ([D[2]], 0), (["x"], 1), (["1999-01-01"], 0)):
+        df, got = mapped(spark, raw, *days)
+        assert got == of(spark, raw, *days)
+        assert opened(df) == files
+    assert refresh_date_map(spark, str(raw), f"{raw}-map") == 0
+
+
+def test_a_file_that_is_not_in_question_is_not_read(spark, raw):
+    mapped(spark, raw, D[0])
+    file = raw / "c.csv"
+    stat = file.stat()
+    file.write_text(file.read_text().replace(D[5], D[0]))  # as long and as old as before: only reading it would show
+    os.utime(file, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    for crc in raw.glob(".*.crc"):
+        crc.unlink()
+    assert sum(mapped(spark, raw, D[0])[1].values()) == 1
+
+
+def test_added_rewritten_and_removed_files(spark, raw):
+    mapped(spark, raw, D[0])
+    write_csv(raw / "d.csv", HEADER, line(8, D[0]))
+    write_csv(raw / "c.csv", HEADER, line(9, D[0]), line(10, D[6]))
+    (raw / "a.csv").unlink()
+    assert refresh_date_map(spark, str(raw), f"{raw}-map") == 2
+    for day in D:
+        assert mapped(spark, raw, day)[1] == of(spark, raw, day)
+    held = {r["file"].rsplit("/", 1)[-1]: r for r in read_date_map(spark, f"{raw}-map").collect()}
+    assert "a.csv" not in held and (held["c.csv"]["least"], held["c.csv"]["greatest"]) == (D[0], D[6])
+    assert held["none.csv"]["least"] is None
+    (raw / "d.csv").unlink()
+    assert refresh_date_map(spark, str(raw), f"{raw}-map") == 0
+    assert read_date_map(spark, f"{raw}-map").where("file like '%/d.csv'").isEmpty()
+
+
+def test_many_dates_and_many_files_are_still_right(spark, raw, monkeypatch):
+    monkeypatch.setattr(date_map, "MOST_DATES", 1)
+    df, got = mapped(spark, raw, D[2])  # between the least and greatest of a file, so that one is opened
+    assert not got and opened(df) == 1
+    monkeypatch.setattr(date_map, "MOST_FILES", 1)
+    write_csv(raw / "e.csv", HEADER, line(11, D[1]))
+    write_csv(raw / "f.csv", HEADER, line(12, D[1]))
+    for day in D:
+        assert mapped(spark, raw, day)[1] == of(spark, raw, day)
+
+
+def test_jobs_give_the_same_table(spark, raw, tmp_path):
+    plain, fast, both = (str(tmp_path / n) for n in ("plain", "fast", "both"))
+    for day in D[:4]:
+        want = daily_job(spark, str(raw), plain, day)
+        got = daily_job(spark, str(raw), fast, day, date_map=f"{raw}-map")
+        assert (got.status, got.rows) == (want.status, want.rows)
+    backfill(spark, str(raw), both, D[:4], date_map=f"{raw}-map")
+    assert rows(read_fact(spark, fast)) == rows(read_fact(spark, both)) == rows(read_fact(spark, plain))
+    assert Path(f"{raw}-map").is_dir()

@@ -1,0 +1,132 @@
+"""A whole-table replacement that dies somewhere, and what readers then have."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledger_mart.fixtures import events_ledger, staged_ledger
+from ledger_mart.operators.transform import clean
+from ledger_mart.plans.export import export_full
+from ledger_mart.plans.load import daily_job, full_load
+from ledger_mart.schema import AMOUNT, DATE, RAW_COLUMNS, TXN_NO
+from ledger_mart.sinks import publish
+from ledger_mart.sinks.fact import replace_table
+from ledger_mart.sources.fact import file_inventory, read_fact
+
+SF_DIR = "/root/testdata/sf0.001"
+DAY = "2024-01-03"
+
+
+@pytest.fixture
+def fact(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    full_load(spark, staged_ledger(spark, SF_DIR), path)
+    return path
+
+
+def total(spark, path):
+    return read_fact(spark, path, flagged=False).count()
+
+
+def names(path):
+    return sorted(p.name for p in Path(path).parent.iterdir() if not p.name.startswith("."))
+
+
+def day_rows(spark):
+    return events_ledger(spark, SF_DIR).where(F.col(DATE) == DAY).transform(clean)
+
+
+def dying(df):
+    """Rows of which the last one met fails its task, when others are written."""
+    late = F.when(F.col(TXN_NO).cast("long") > 900, F.raise_error(F.lit("the task dies"))).otherwise(F.col(AMOUNT))
+    return df.withColumn(AMOUNT, late.cast("long"))
+
+
+def test_a_write_that_dies_leaves_the_old_table(spark, fact):
+    with pytest.raises(Exception, match="the task dies"):
+        replace_table(dying(events_ledger(spark, SF_DIR).transform(clean)), fact)
+    assert total(spark, fact) == 1000
+    assert spark.read.parquet(fact).count() == 1000  # also for readers that know nothing of markers
+    assert any(n.startswith("fact__next-") for n in names(fact))
+    full_load(spark, staged_ledger(spark, SF_DIR), fact)
+    assert names(fact) == ["fact"] and total(spark, fact) == 1000
+
+
+@pytest.mark.parametrize("step", range(3))
+def test_a_run_that_dies_between_the_steps_is_finished_by_the_next(spark, fact, monkeypatch, step):
+    """Before the marker, between marker and renaming, and between the two renamings."""
+    class Dead(RuntimeError):
+        pass
+
+    calls, real = [], publish.rename
+
+    def rename(*args):
+        calls.append(args)
+        if len(calls) == step:
+            raise Dead
+        real(*args)
+
+    def no_marker(*args):
+        raise Dead
+
+    with monkeypatch.context() as m:
+        if step == 0:
+            m.setattr(publish, "write_text", no_marker)
+        else:
+            m.setattr(publish, "rename", rename)
+        with pytest.raises(Dead):
+            replace_table(day_rows(spark), fact)
+    want = 35 if step else 1000
+    assert total(spark, fact) == want
+    assert file_inventory(spark, fact).count() == read_fact(spark, fact).select(F.input_file_name()).distinct().count()
+    daily_job(spark, staged_ledger(spark, SF_DIR), fact, DAY)
+    assert total(spark, fact) == want
+    export_full(spark, fact, fact + "-mart")
+    assert total(spark, fact + "-mart") == want
+    publish.recover(spark, fact)
+    assert [n for n in names(fact) if n.startswith("fact") and "mart" not in n] == ["fact"]
+    assert spark.read.parquet(fact).count() == want
+
+
+def test_readers_before_and_after_see_whole_tables(spark, fact, monkeypatch):
+    seen = []
+    real = publish.write_text
+
+    def watched(*args):
+        seen.append(total(spark, fact))
+        real(*args)
+        seen.append(total(spark, fact))
+
+    monkeypatch.setattr(publish, "write_text", watched)
+    replace_table(day_rows(spark), fact)
+    assert seen == [1000, 35] and total(spark, fact) == 35 and names(fact) == ["fact"]
+
+
+def test_stores_without_renaming_keep_the_marker(spark, fact, monkeypatch):
+    monkeypatch.setattr(publish, "has_atomic_rename", lambda *_: False)
+    replace_table(day_rows(spark), fact)
+    assert total(spark, fact) == 35 and "fact__current" in names(fact)
+    daily_job(spark, staged_ledger(spark, SF_DIR), fact, "2024-01-04")
+    more = total(spark, fact)
+    assert more > 35
+    replace_table(day_rows(spark), fact)
+    assert total(spark, fact) == 35
+    publish.recover(spark, fact)
+    assert sum(n.startswith("fact__next-") for n in names(fact)) == 1 and total(spark, fact) == 35
+
+
+def test_an_empty_table_and_a_first_one(spark, tmp_path):
+    path = str(tmp_path / "first")
+    replace_table(day_rows(spark), path)
+    assert names(path) == ["first"] and total(spark, path) == 35
+    replace_table(day_rows(spark).where("false"), path)
+    assert total(spark, path) == 0 and names(path) == ["first"]
+    with pytest.raises(ValueError):
+        publish.remove_sibling(spark, path, publish.NEXT, str(tmp_path / "other"))
+
+
+def test_columns_are_those_of_the_contract(spark, fact):
+    assert sorted(read_fact(spark, fact).columns) == sorted(RAW_COLUMNS)
