@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import SMALL_ROWS, extended, joined, kept, small, written
+from ledger_mart.llm.common import SMALL_ROWS, extended, in_slices, joined, kept, small, written
 
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 _SALTED = 500  # members of a centre that one group holds at most, or about so
@@ -180,7 +180,7 @@ def set_classes(docs: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             classes = [name if len(s) else None for s, name in zip(sets, classes_of(sets))]
             yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(classes, pa.int64())], schema=schema)
@@ -204,7 +204,7 @@ def class_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
-        for batch in batches:
+        for batch in in_slices(batches, _LOT_BYTES):
             by_band: dict[int, list[tuple[int, np.ndarray]]] = {}
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             for name, own in zip(classes_of(sets), sets):
@@ -252,7 +252,7 @@ def may_be_like(x: tuple[int, bytes], y: tuple[int, bytes], percent: int) -> boo
 def sketches(texts: DataFrame, words: int) -> DataFrame:
     """(class, n, sketch) of rows (class, text)."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             yield extended(batch, ["class"], n=pa.array(map(len, sets), pa.int64()), sketch=pa.array(map(sketch, sets), pa.binary()))
 
@@ -275,26 +275,26 @@ def _held_against(pairs: DataFrame, kept_of: DataFrame, read: Callable, alike: C
         .sortWithinPartitions("b", "salt", "role")
     )
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centres = None, []
-        for batch in batches:
+        for batch in in_slices(batches, _LOT_BYTES):
             found = []
-            for b, salt, role, a, own in zip(*(batch[c] for c in ("b", "salt", "role", "class")), read(batch)):
+            for b, salt, role, a, own in zip(*(batch.column(c).to_pylist() for c in ("b", "salt", "role", "class")), read(batch)):
                 if role == 0:  # rows that share an id may give a class several texts
                     centres = [*centres, own] if at == (b, salt) else [own]
                     at = (b, salt)
                 elif any(alike(own, centre) for centre in centres):
                     found.append((a, b))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            yield pa.record_batch([pa.array([pair[side] for pair in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInPandas(compared, "a long, b long").distinct()
+    return dealt.mapInArrow(compared, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sketched: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose exact sets are like enough; texts go only where sketches allow for it."""
-    possible = _held_against(pairs, sketched, lambda rows: zip(rows["n"], rows["sketch"]), lambda x, y: may_be_like(x, y, percent))
+    possible = _held_against(pairs, sketched, lambda rows: zip(rows.column("n").to_pylist(), rows.column("sketch").to_pylist()), lambda x, y: may_be_like(x, y, percent))
     return _held_against(
-        written(possible, "possible"), texts, lambda rows: shingle_sets(rows["text"].tolist(), words), lambda x, y: is_like(x, y, percent)
+        written(possible, "possible"), texts, lambda rows: shingle_sets(rows.column("text").to_pylist(), words), lambda x, y: is_like(x, y, percent)
     )
 
 
