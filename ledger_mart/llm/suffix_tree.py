@@ -13,8 +13,9 @@ another: counts are grouped, a run meets its suffix for the test. The correction
 a sum over the runs in it: each run has one weight, log P of its last token less what
 its suffix and its context give already, and the mass that it leaves as a context itself.
 The FAST most counted runs' weights are sent to the tasks, those of all others meet the documents' runs
-in a join; so do the counts of words beyond the HEAD most counted ones. A sieve of fixed size keeps
-from the shuffles what cannot be frequent; it may let more through and never loses a run.
+in a join; so do the counts of words beyond the HEAD most counted ones. Two sieves keep from the shuffles
+what cannot be frequent: one of the frequent runs a token shorter, and one that counts each run up to
+three, in cells that several runs may share. They may let more through and never lose a run.
 
 Defined results: null and empty texts are the end token alone; without training documents every score
 is 0 and nothing is known; repeated rows get equal results; a row without id is scored
@@ -25,6 +26,7 @@ Runs are joined by hashes of 64 bits, and words beyond the head are counted in r
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import extended, joined, schema_of, small, written
+from ledger_mart.llm.common import extended, in_slices, joined, schema_of, small, written
 
 DEPTH = 3
 LEAST_SHARE = 0.0  # of the corpus: none, LEAST_COUNT decides at every size
@@ -46,9 +48,11 @@ LOOSE = 4.0  # standard deviations by which a likelihood ratio must exceed its m
 START, END, RARE = 0, 1, 2
 _FIRST_WORD = 3
 _HELD = 500_000  # runs that a task gathers before it passes them on
-_HELD_WORDS = 800_000
+_HELD_WORDS = 200_000
 _DOCS = 256  # worked on at once
 _SIEVE_BITS = 27
+_CELL_BITS = (16, 28)  # the least and the most of the sieve that counts, along with the corpus
+_CHUNK = 1 << 20
 _TAIL = 1 << 62  # ids of words beyond the head begin here
 _ODD, _ODDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -66,7 +70,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "count"])
 
-        for batch in batches:
+        for batch in in_slices(batches, 1 << 20):
             for text in batch.column("text").to_pylist():
                 counts.update(tokens(text))
             if len(counts) > _HELD_WORDS:
@@ -122,17 +126,99 @@ def sieve_of(keys: DataFrame) -> np.ndarray:
 
 
 def passes(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key.view(np.uint64) >> np.uint64(64 - _SIEVE_BITS)
+    """Whether the sieve, whose length is a power of two, has the bit of the key's leading bits."""
+    at = key.view(np.uint64) >> np.uint64(64 - 6 - (len(sieve) - 1).bit_length())
     return (sieve[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def run_counts(encoded: DataFrame, n: int, least: int, sieve: np.ndarray | None) -> DataFrame:
-    """(key, prefix, suffix, count) of the frequent runs of ``n`` tokens; the sieve is of those one token shorter."""
+def add_counts(cells: np.ndarray, cell: np.ndarray, count: np.ndarray) -> None:
+    """Add counts to different cells of two bits each, four to a byte, up to three."""
+    for place in range(4):
+        own = (cell & 3) == place
+        at, shift = cell[own] >> 2, np.uint8(2 * place)
+        now = np.minimum(3, ((cells[at] >> shift) & 3) + np.minimum(count[own], 3)).astype(np.uint8)
+        cells[at] = (cells[at] & np.uint8(255 - (3 << 2 * place))) | (now << shift)
+
+
+def places(ids: np.ndarray, n: int, sieve: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and keys of the runs of ``n`` tokens whose two shorter runs pass the sieve."""
+    *_, shorter, (key, ok) = [None, *runs(ids, n)]
+    if n > 1:
+        known = shorter[1] & passes(sieve, shorter[0])
+        ok = ok & known & np.concatenate([[False], known[:-1]])[: len(ids)]
+    at = np.flatnonzero(ok)
+    return at, key[at]
+
+
+def counting_sieve(encoded: DataFrame, n: int, sieve: np.ndarray, total: int) -> np.ndarray:
+    """Bits by the leading bits of the keys: 0 where all runs of ``n`` tokens together occur less than three times.
+
+    Each task counts in cells of two bits; they travel as compressed chunks and Spark adds them up,
+    chunk by chunk, a row at a time.
+    """
+    bits = min(max(total.bit_length() + 1, _CELL_BITS[0]), _CELL_BITS[1])
     sent = encoded.sparkSession.sparkContext.broadcast(sieve)
-    names = [f"w{i}" for i in range(n)]
+    names = ["chunk", "cells"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, held, size = sent.value, [], 0
+        cells = np.zeros(1 << (bits - 2), np.uint8)
+
+        def add() -> None:
+            cell = np.concatenate([np.zeros(0, np.int64), *held])
+            add_counts(cells, *np.unique(cell, return_counts=True))
+
+        for ids in ids_of(batches):
+            held.append((places(ids, n, sieve)[1].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64))
+            size += len(held[-1])
+            if size > _HELD:
+                add()
+                held, size = [], 0
+        add()
+        for at in range(0, len(cells), _CHUNK):
+            part = cells[at : at + _CHUNK]
+            if part.any():
+                yield pa.record_batch([pa.array([at // _CHUNK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, np.zeros(0, np.uint8)
+
+        def out() -> pa.RecordBatch:
+            full = np.stack([(held >> np.uint8(2 * place)) & 3 for place in range(4)], axis=1).ravel() == 3
+            return pa.record_batch([pa.array([chunk], pa.int32()), pa.array([np.packbits(full, bitorder="little").tobytes()], pa.binary())], names)
+
+        for batch in batches:
+            for own, data in zip(batch.column("chunk").to_pylist(), batch.column("cells")):
+                part = np.frombuffer(zlib.decompress(data.as_py()), np.uint8)
+                if own != chunk:
+                    if chunk is not None:
+                        yield out()
+                    chunk, held = own, part.copy()
+                    continue
+                for place in range(4):
+                    shift = np.uint8(2 * place)
+                    both = np.minimum(3, ((held >> shift) & 3) + ((part >> shift) & 3))
+                    held = (held & np.uint8(255 - (3 << 2 * place))) | (both << shift)
+        if chunk is not None:
+            yield out()
+
+    rows = encoded.where("taught").select("ids").mapInArrow(counted, "chunk int, cells binary")
+    merged = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, "chunk int, cells binary").toArrow()
+    found = np.zeros(1 << (bits - 3), np.uint8)
+    size = min(_CHUNK // 2, len(found))
+    for chunk, data in zip(merged["chunk"].to_pylist(), merged["cells"]):
+        found[chunk * size : (chunk + 1) * size] = np.frombuffer(data.as_buffer(), np.uint8)
+    return found.view(np.uint64)
+
+
+def run_counts(encoded: DataFrame, n: int, least: int, sieve: np.ndarray | None, total: int) -> DataFrame:
+    """(key, prefix, suffix, count) of the frequent runs of ``n`` tokens; the sieve is of those one token shorter."""
+    often_enough = counting_sieve(encoded, n, sieve, total) if n > 1 and least >= 3 else None
+    sent = encoded.sparkSession.sparkContext.broadcast((sieve, often_enough))
+    names = [f"w{i}" for i in range(n)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (sieve, often_enough), held, size = sent.value, [], 0
 
         def out() -> pa.RecordBatch:
             found = np.concatenate([np.zeros((0, n + 1), np.int64), *held])
@@ -140,12 +226,11 @@ def run_counts(encoded: DataFrame, n: int, least: int, sieve: np.ndarray | None)
             return pa.record_batch([*(pa.array(found[first, i]) for i in range(n)), pa.array(count)], [*names, "count"])
 
         for ids in ids_of(batches):
-            *_, shorter, (key, ok) = [None, *runs(ids, n)]
-            if n > 1:
-                known = shorter[1] & passes(sieve, shorter[0])
-                ok = ok & known & np.concatenate([[False], known[:-1]])[: len(ids)]
-            at = np.flatnonzero(ok)
-            held.append(np.stack([*(ids[at - n + 1 + i] for i in range(n)), key[at]], axis=1))
+            at, key = places(ids, n, sieve)
+            if often_enough is not None:
+                often = passes(often_enough, key)
+                at, key = at[often], key[often]
+            held.append(np.stack([*(ids[at - n + 1 + i] for i in range(n)), key], axis=1))
             size += len(at)
             if size > _HELD:
                 yield out()
@@ -166,12 +251,12 @@ def run_counts(encoded: DataFrame, n: int, least: int, sieve: np.ndarray | None)
 
 def weights_of(encoded: DataFrame, least: int, spared: float, total: int) -> DataFrame:
     """(key, count, value): what each occurrence of a run adds to a text's natural log probability by the root."""
-    shorter = run_counts(encoded, 1, least, None)
+    shorter = run_counts(encoded, 1, least, None, total)
     log_root = F.log(F.greatest(F.col("count") - spared, F.lit(1e-9)) / max(total, 1))
     below = shorter.select("key", "count", log_root.alias("log_p"))
     found = []
     for n in range(2, DEPTH + 2):
-        shorter = run_counts(encoded, n, least, sieve_of(shorter))
+        shorter = run_counts(encoded, n, least, sieve_of(shorter), total)
         own = joined(shorter, small(below.select(F.col("key").alias("suffix"), F.col("log_p").alias("expected"))), ["suffix"])
         sums = own.groupBy("prefix").agg(
             F.sum("count").alias("seen"), F.count(F.lit(1)).alias("kinds"), F.sum(F.exp("expected")).alias("named"),
@@ -227,13 +312,6 @@ def corrections(encoded: DataFrame, weights: DataFrame) -> DataFrame:
     return both.groupBy("_row").agg((F.sum(more) / math.log(10)).alias("more"))
 
 
-class Ids(dict):
-    """Ids of the head's words; any other word is rare."""
-
-    def __missing__(self, word: bytes) -> int:
-        return RARE
-
-
 def head_threshold(counts: DataFrame, most: int) -> int:
     """The least count that at most ``most`` rows reach, from how many have each count."""
     by_count = {r["count"]: r["rows"] for r in counts.groupBy("count").agg(F.count(F.lit(1)).alias("rows")).collect()}
@@ -259,13 +337,12 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     total, kinds, single = total + ends, kinds + (ends > 0), single + (ends == 1)
     least = max(LEAST_COUNT, math.ceil(LEAST_SHARE * total))
     head_least = head_threshold(counts, HEAD)
-    head = [(bytes(r["word"]), r["count"]) for r in counts.where(F.col("count") >= head_least).collect()]
-    head.sort(key=lambda x: (-x[1], x[0]))
-    by_id = np.array([ends, ends, 0, *[n for _, n in head]], float)
+    head = counts.where(F.col("count") >= head_least).toArrow().sort_by([("count", "descending"), ("word", "ascending")])
+    by_id = np.concatenate([[ends, ends, 0], head["count"].to_numpy()]).astype(float)
     spared = min(0.95, max(0.05, single / kinds)) if kinds else 0.5
     base = lambda c: np.log10((c + 1) / (total + kinds + 1))
     root = lambda c: np.log10(np.where(c > 0, np.maximum(c - spared, 1e-9), spared * max(kinds, 1)) / max(total, 1))
-    ids_sent = docs.sparkSession.sparkContext.broadcast({w: _FIRST_WORD + i for i, (w, _) in enumerate(head)})
+    ids_sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head["word"].to_pylist(), _FIRST_WORD)})
     base_by_id, root_by_id = base(by_id), root(by_id)
     base_by_id[[START, RARE]] = root_by_id[[START, RARE]] = 0.0
     known_by_id = by_id > 0
@@ -274,12 +351,12 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        known = Ids(ids_sent.value)
-        for batch in batches:
+        known = ids_sent.value
+        for batch in in_slices(batches, 2 << 20):
             out = []
             for text in batch.column("text"):
                 words = tokens(text.as_py())
-                ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+                ids = np.fromiter((known.get(w, RARE) for w in words), np.int32, len(words))
                 ids = np.concatenate([[START], ids, [END]]).astype(np.int32)
                 at = np.flatnonzero(ids == RARE)
                 rare = [words[i] for i in at - 1]
