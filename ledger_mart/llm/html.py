@@ -3,18 +3,23 @@
 Each page is parsed once into blocks of text, and each element's subtree gets a hash of
 its tags and texts. Spark counts on how many pages of a host, different in what may be their main
 text, each subtree occurs; copies of a page count once. Those that recur on LEAST_PAGES or more, however large the host, are the site's
-template, and their blocks go, in an article or not. What markup itself
-names as no content (menus, forms, scripts, adverts, comments, ...) goes as well. If a
-page marks its article, only blocks in it stay.
+template, and their blocks go. What markup itself names as no content (menus, forms, scripts, adverts,
+comments, ...) goes as well.
+
+If a page marks its article, only blocks in it stay, and what recurs there is mostly content: headings, cells of tables,
+short sentences. So in an article a subtree is template only if it is a list of links, or if it stands in the same place, under
+the same tags from the root on, on most of the host's different pages.
 
 Defined results: null and empty html give empty text; pages without url or host have no site to share a
-template with; broken and cut-off markup is read as far as it goes; repeated rows give
-equal texts; an empty table gives no rows; other columns of the input are not read.
+template with; broken and cut-off markup is read as far as it goes; time and memory grow in proportion to a page's
+length, however deep it nests; repeated rows give equal texts; an empty table gives no rows; other columns of the input
+are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -24,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import extended, is_small, joined, schema_of, written
+from ledger_mart.llm.common import extended, in_slices, is_small, joined, schema_of, small, written
 
 LEAST_PAGES = 4
-SALTS = 16
+LINKED = 0.7  # of a subtree's text, from which on it is a list of links; it has two at least
 FEW = 2000  # templates of a host up to which they go to its pages
+HEAVY = 20_000  # pages with one template from which on it goes to the pages
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,9 +77,12 @@ class Element:
     tag: str
     dropped: bool  # by its own markup
     article: int  # how deep in article elements
-    above: tuple[int, ...]  # numbers of the elements it lies in, and its own
+    number: int
+    path: int  # a hash of the tags from the root on
     parts: list[str] = field(default_factory=list)
     length: int = 0
+    linked: int = 0  # of its length, in links
+    links: int = 0
     holds_article: bool = False
 
 
@@ -97,16 +106,25 @@ def is_article(tag: str, rest: str) -> bool:
     return tag == "article" or tag == "main" or "main" in rest and attributes(rest).get("role", "").lower() == "main" or "articleBody" in rest
 
 
+def _hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+
+
 class Page:
-    """Blocks (text, numbers of the elements they lie in, in the article) and the elements' hashes."""
+    """Blocks (text, number of the element they lie in, whether in the article); of each element the number of
+    the one that it lies in, and the key by whose recurrence it is removed (None: never), by content or by place."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, tuple[int, ...], bool]] = []
-        self.hashes: list[int] = []
-        self.removable: list[bool] = []
+        self.blocks: list[tuple[str, int, bool]] = []
+        self.up: list[int] = []
+        self.keys: list[int | None] = []
+        self.by_place: list[bool] = []
         self.text: list[str] = []
-        self.stack = [Element("", False, 0, ())]
-        self.opened = {"p": 0}
+        self.stack = [Element("", False, 0, -1, 0)]
+        self.depths: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag
+        self.block_depths = [0]
         at = 0
         while at < len(html):
             token = _TOKEN.search(html, at)
@@ -127,8 +145,7 @@ class Page:
                         self.close(tag)
             elif token[0].startswith("<![CDATA["):
                 self.add(token[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-        while len(self.stack) > 1:
-            self.pop()
+        self.pop_to(1)
         self.end_block()
 
     def add(self, text: str) -> None:
@@ -139,18 +156,19 @@ class Page:
         if small := " ".join(text.split()):
             top.parts.append(small)
             top.length += len(small)
+            top.linked += len(small) if self.depths["a"] else 0
 
     def end_block(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
                 top = self.stack[-1]
-                self.blocks.append((text, top.above, top.article > 0))
+                self.blocks.append((text, top.number, top.article > 0))
             self.text = []
 
     def open(self, tag: str, rest: str) -> None:
         if tag in BLOCK:
             self.end_block()
-            if self.opened["p"]:
+            if self.depths["p"]:
                 self.close_open(("p",), ("td", "th", "div", "button", "object", "article", "section", "blockquote", "li"))
         if tag in CLOSES:
             ended, fence = CLOSES[tag]
@@ -160,63 +178,87 @@ class Page:
             self.text.append(" ")
             return
         top = self.stack[-1]
-        number = len(self.hashes)
-        self.hashes.append(0)
-        self.removable.append(False)
+        number = len(self.up)
+        self.up.append(top.number)
+        self.keys.append(None)
+        self.by_place.append(False)
         dropped = top.dropped or is_no_text(tag, rest, top.article > 0)
         article = top.article + (not dropped and is_article(tag, rest))
-        self.stack.append(Element(tag, dropped, article, (*top.above, number)))
-        if tag in self.opened:
-            self.opened[tag] += 1
+        self.depths[tag].append(len(self.stack))
+        if tag in BLOCK:
+            self.block_depths.append(len(self.stack))
+        self.stack.append(Element(tag, dropped, article, number, _hash(f"{top.path:x} {tag}")))
 
     def close_open(self, tags: list[str] | tuple[str, ...], fence: list[str] | tuple[str, ...]) -> bool:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag in tags:
-                while len(self.stack) > depth:
-                    self.pop()
-                return True
-            if self.stack[depth].tag in fence:
-                return False
-        return False
+        deepest = lambda names: max((self.depths[t][-1] for t in names if self.depths[t]), default=0)
+        depth = deepest(tags)
+        if depth == 0 or depth < deepest(fence):
+            return False
+        self.pop_to(depth)
+        return True
 
     def close(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_block()
-        if tag in ("br", "p") and not any(e.tag == tag for e in self.stack):
-            self.text.append(" ")
-            return
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag == tag:
-                while len(self.stack) > depth:
-                    self.pop()
-                return
-            if tag not in BLOCK and self.stack[depth].tag in BLOCK:
-                return  # an inline end tag doesn't end blocks
+        depths = self.depths[tag]
+        if not depths:
+            if tag in ("br", "p"):
+                self.text.append(" ")
+        elif tag in BLOCK or self.block_depths[-1] <= depths[-1]:  # an inline end tag doesn't end blocks
+            self.pop_to(depths[-1])
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.pop()
 
     def pop(self) -> None:
-        from xxhash import xxh64_intdigest
-
         if self.stack[-1].tag in BLOCK:
             self.end_block()
+            self.block_depths.pop()
         own = self.stack.pop()
-        if own.tag in self.opened:
-            self.opened[own.tag] -= 1
-        value = xxh64_intdigest(own.tag + "\0" + "\0".join(own.parts)) - 2**63
-        number = own.above[-1]
-        self.hashes[number] = value
-        template = not own.holds_article and own.tag not in ("html", "body")
-        self.removable[number] = template and own.length > 0
+        self.depths[own.tag].pop()
+        value = _hash(own.tag + "\0" + "\0".join(own.parts))
+        links = own.links + (own.tag == "a")
+        if own.length and not (own.dropped or own.holds_article or own.tag in ("html", "body")):
+            self.by_place[own.number] = own.article > 0 and not (links >= 2 and own.linked >= LINKED * own.length)
+            self.keys[own.number] = _hash(f"{own.path:x} {value:x}") if self.by_place[own.number] else value
         top = self.stack[-1]
         top.holds_article |= own.holds_article or own.article > top.article
         top.parts.append(f"{value:x}")
         top.length += own.length
+        top.linked += own.linked
+        top.links += links
 
-    def found(self) -> tuple[list[str], list[list[int]], list[int]]:
-        """Texts of the blocks that may be main text, for each the hashes of the elements whose
-        recurrence removes it, and the hashes to count."""
+    def found(self) -> tuple[list[str], list[int], list[int], list[int], list[int], list[int]]:
+        """Texts of the blocks that may be main text; for each the last element around it that may be removed (-1: none);
+        of those elements, each with a number above that of any around it, the next one around and the key; and the
+        page's distinct keys by content and by place."""
         blocks = [b for b in self.blocks if b[2]] if any(b[2] for b in self.blocks) else self.blocks
-        hashes = [[self.hashes[n] for n in above if self.removable[n]] for _, above, _ in blocks]
-        return [b[0] for b in blocks], hashes, sorted({h for h, ok in zip(self.hashes, self.removable) if ok})
+        needed = [False] * len(self.up)
+        for _, element, _ in blocks:
+            while element >= 0 and not needed[element]:
+                needed[element] = True
+                element = self.up[element]
+        near, up, keys = [-1] * len(self.up), [], []  # the element itself or the next around it that may be removed
+        for element, above in enumerate(self.up):
+            around = near[above] if above >= 0 else -1
+            if needed[element] and self.keys[element] is not None:
+                near[element] = len(up)
+                up.append(around)
+                keys.append(self.keys[element])
+            else:
+                near[element] = around
+        at = [near[element] if element >= 0 else -1 for _, element, _ in blocks]
+        of = [sorted({k for k, place in zip(self.keys, self.by_place) if k is not None and place == by}) for by in (False, True)]
+        return [b[0] for b in blocks], at, up, keys, *of
+
+
+def staying(texts: list[str], at: list[int], up: list[int], keys: list[int], gone: set[int]) -> list[str]:
+    """The blocks that lie in no element whose key is gone."""
+    removed = [False] * (len(up) + 1)  # the last is for -1
+    for element, around in enumerate(up):
+        removed[element] = keys[element] in gone or removed[around]
+    return [text for text, element in zip(texts, at) if not removed[element]]
 
 
 def host_of(url: str | None) -> str | None:
@@ -226,50 +268,63 @@ def host_of(url: str | None) -> str | None:
         return None
 
 
+_PARSED = "host string, texts array<string>, at array<int>, up array<int>, keys array<bigint>, contents array<bigint>, places array<bigint>, version bigint"
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, texts, within, subtrees, version) for each page; equal texts are one version."""
+    """(page_id, url, and _PARSED) for each page; equal texts are one version."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
+        for batch in in_slices(batches, 4 << 20):
             found = [Page(h.as_py() or "").found() for h in batch.column("html")]
+            texts, at, up, keys, contents, places = zip(*found)
+            ints = lambda lists, kind: pa.array(lists, pa.list_(kind))
             yield extended(
                 batch, ["page_id", "url"],
                 host=pa.array([host_of(u.as_py()) for u in batch.column("url")], pa.string()),
-                texts=pa.array([f[0] for f in found], pa.list_(pa.string())),
-                within=pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int64()))),
-                subtrees=pa.array([f[2] for f in found], pa.list_(pa.int64())),
-                version=pa.array([xxh64_intdigest("\n".join(f[0]).encode("utf-8", "surrogatepass")) - 2**63 for f in found], pa.int64()),
+                texts=pa.array(texts, pa.list_(pa.string())), at=ints(at, pa.int32()), up=ints(up, pa.int32()),
+                keys=ints(keys, pa.int64()), contents=ints(contents, pa.int64()), places=ints(places, pa.int64()),
+                version=pa.array([_hash("\n".join(t)) for t in texts], pa.int64()),
             )
 
-    added = "host string, texts array<string>, within array<array<bigint>>, subtrees array<bigint>, version bigint"
-    return pages.select("page_id", "url", "html").mapInArrow(parse, schema_of(pages, ["page_id", "url"], added))
+    return pages.select("page_id", "url", "html").mapInArrow(parse, schema_of(pages, ["page_id", "url"], _PARSED))
 
 
-def templates(subtrees: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, subtree) that occur on many different pages of the host, from rows (host, subtrees, version) of pages."""
-    own = subtrees.where("host is not null").select("host", "version", F.explode("subtrees").alias("subtree")).distinct()
-    return own.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("_on")).where(F.col("_on") >= least_pages).select("host", "subtree")
+def templates(found: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, key, pages) of the keys by content that occur on many different pages of the host, and of those by place that occur on
+    many and on most, from rows (host, contents, places, version) of pages."""
+    of_host = found.where("host is not null")
+    named = lambda column, by: F.transform(column, lambda k: F.struct(k.alias("key"), F.lit(by).alias("by_place")))
+    keys = F.explode(F.concat(named("contents", False), named("places", True))).alias("of")
+    own = of_host.select("host", "version", keys).select("host", "version", "of.*").distinct()
+    pages = of_host.select("host", "version").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_all"))
+    often = own.groupBy("host", "key", "by_place").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
+    most = joined(often, pages, ["host"]).where(~F.col("by_place") | (2 * F.col("pages") > F.col("_all")))
+    return most.select("host", "key", "pages")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     If no host has more than FEW templates and all hosts' together are few, each page gets its
-    host's; else the pages' subtrees meet them under a salt, so that a large host spreads.
+    host's; else the pages' keys meet them, those of HEAVY pages or more by going to all tasks while they are few.
     """
     found = written(parsed(pages).withColumn("_row", F.monotonically_increasing_id()), "pages")
-    often = written(templates(found.select("host", "subtrees", "version")), "templates")
+    often = written(templates(found.select("host", "contents", "places", "version")), "templates")
     most = often.groupBy("host").count().agg(F.max("count")).first()[0] or 0
     if most <= FEW and is_small(often):
-        gone = F.broadcast(often.groupBy("host").agg(F.collect_set("subtree").alias("gone")))
-        both = joined(found, gone, ["host"], "left")
+        gone = F.broadcast(often.groupBy("host").agg(F.collect_set("key").alias("_all_gone")))
+        both = joined(found, gone, ["host"], "left").withColumn("gone", F.array_intersect("keys", "_all_gone"))
     else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-        of_page = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int").alias("_salt")
-        own = found.where("host is not null").select("_row", "host", F.explode("subtrees").alias("subtree"), of_page)
-        met = joined(own, often.select("host", "subtree", salt), ["host", "subtree", "_salt"], "left_semi")
-        both = joined(found, met.groupBy("_row").agg(F.collect_set("subtree").alias("gone")), ["_row"], "left")
-    stays = F.filter(F.arrays_zip("texts", "within"), lambda b: F.coalesce(~F.arrays_overlap(b["within"], F.col("gone")), F.lit(True)))
-    text = F.array_join(F.transform(stays, lambda b: b["texts"]), "\n")
-    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+        own = found.where("host is not null").select("_row", "host", F.explode(F.array_distinct("keys")).alias("key"))
+        heavy = small(written(often.where(F.col("pages") >= HEAVY), "heavy"))
+        met = [joined(own, t.select("host", "key"), ["host", "key"], "left_semi") for t in (heavy, often.where(F.col("pages") < HEAVY))]
+        both = joined(found, met[0].unionByName(met[1]).groupBy("_row").agg(F.collect_set("key").alias("gone")), ["_row"], "left")
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, 4 << 20):
+            lists = [batch.column(c).to_pylist() for c in ("texts", "at", "up", "keys", "gone")]
+            texts = ["\n".join(staying(*own, set(gone or ()))) for *own, gone in zip(*lists)]
+            yield extended(batch, ["page_id", "url"], text=pa.array(texts, pa.string()))
+
+    rows = both.select("page_id", "url", "texts", "at", "up", "keys", "gone")
+    return rows.mapInArrow(resolve, schema_of(pages, ["page_id", "url"], "text string")).withColumn("n_chars", F.length("text").cast("long"))

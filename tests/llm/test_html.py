@@ -76,9 +76,27 @@ def test_no_rows_null_and_repeated_ids(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<ul>", "<li>", "</ul>", "<div class=ad>", "</div>", "<article>", "</article>", "<!--", "-->", "<", ">", "&", "&lt;", "a", " ", "'", '"', "<a href=", "<script>", "</script>", "<table>", "<td>", "</table>", "<br/>", "\0", "é"]), max_size=40))
 def test_any_markup_is_read(parts):
-    found, within, subtrees = html.Page("".join(parts)).found()
-    assert len(found) == len(within) and all(t == " ".join(t.split()) and t for t in found)
-    assert {h for hs in within for h in hs} <= set(subtrees)
+    page = html.Page("".join(parts))
+    found, at, up, keys, contents, places = page.found()
+    assert len(found) == len(at) and all(t == " ".join(t.split()) and t for t in found)
+    assert set(keys) <= {*contents, *places} and len(up) == len(keys)
+    assert all(-1 <= around < i for i, around in enumerate(up)) and all(-1 <= a < len(up) for a in at)
+    assert html.staying(found, at, up, keys, set()) == found
+    for gone in [*contents, *places]:
+        assert html.staying(found, at, up, keys, {gone}) == naive_staying(page, {gone})
+
+
+def naive_staying(page, gone):
+    """All elements around each block, one by one."""
+    kept = []
+    inside = any(b[2] for b in page.blocks)
+    for text, element, article in page.blocks:
+        removed = False
+        while element >= 0:
+            removed |= page.keys[element] in gone
+            element = page.up[element]
+        kept += [text] if (article or not inside) and not removed else []
+    return kept
 
 
 def test_very_long_page(spark):
@@ -96,12 +114,68 @@ def test_copies_of_a_page_are_one_page(spark):
 
 
 @pytest.mark.parametrize("few", [0, 10**6])
-@pytest.mark.parametrize("element", ["div", "article"])
-def test_templates_of_some_pages_of_a_large_host_go(spark, monkeypatch, few, element):
+def test_templates_of_some_pages_of_a_large_host_go(spark, monkeypatch, few):
     monkeypatch.setattr(html, "FEW", few, raising=False)
+    monkeypatch.setattr(html, "HEAVY", 10)
     rows, want = [], {}
     for i in range(100):
         more = "<p>Buy our yearly box now</p>" * (i % 20 == 1) + "<div><i>Seen in the paper</i></div>" * (i % 5 == 2)
-        rows.append((i, "http://f.example.org/", f"<body><{element}><p>Text {i}</p>{more}<p>End {i}</p></{element}></body>"))
+        rows.append((i, "http://f.example.org/", f"<body><div><p>Text {i}</p>{more}<p>End {i}</p></div></body>"))
         want[i] = f"Text {i}\nEnd {i}"
     assert texts(spark, rows) == want
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_what_recurs_in_articles(spark, monkeypatch, few):
+    """A labelled set: content that several articles share stays, lists of links and what is on most pages in one place go."""
+    monkeypatch.setattr(html, "FEW", few)
+    rows, want = [], {}
+    for i in range(40):
+        stays = ["Overview", f"Text {i} of an article.", "Yes", "1", "Released under the MIT License."]
+        table = "<table><tr><th>Yes</th><td>1</td></tr></table>"
+        links = "<ul><li><a href=a>First of our texts</a><li><a href=b>Second of them</a></ul>"
+        body = [f"<h2>{stays[0]}</h2>", f"<p>{stays[1]}</p>", table, f"<p>{stays[4]}</p>"]
+        keep = [0, 1, 2, 3, 4] if i % 4 == 0 else [1, 2, 3, 4] if i % 4 == 1 else [1]
+        shown = [body[0]] * (0 in keep) + [body[1]] + [body[2], body[3]] * (2 in keep)
+        shown.insert(1, links * (i % 10 < 3))
+        shown.append("<div class=x>Read on with our free app</div>" * (i % 5 > 0))  # on 32 of 40 pages
+        rows.append((i, "http://g.example.org/", f"<body><article>{''.join(shown)}</article></body>"))
+        want[i] = "\n".join(stays[k] for k in keep)
+    assert texts(spark, rows) == want
+
+
+def test_removal_equals_a_naive_version(spark):
+    """Pages of random parts against counts and removal written down plainly."""
+    rng = random.Random(4)
+    parts = ["<p>same words</p>", "<div><b>part</b> two</div>", "<ul><li><a>x y</a><li><a>z z</a></ul>", "<p>{0} own</p>", "<p>{1} some</p>", "loose", "</div>", "<div>"]
+    rows = []
+    for i in range(120):
+        inner = "".join(rng.choices(parts, k=rng.randint(1, 7))).replace("{0}", str(i)).replace("{1}", str(i % 9))
+        rows.append((i, f"http://{rng.choice('ab')}.example.org/", f"<article>{inner}</article>" if rng.random() < 0.5 else f"<main>{inner}" if rng.random() < 0.2 else inner))
+    pages = {i: (html.host_of(u), html.Page(h)) for i, u, h in rows}
+    versions, seen = {}, {}
+    for host, page in pages.values():
+        version = tuple(page.found()[0])
+        versions.setdefault(host, set()).add(version)
+        for key, place in zip(page.keys, page.by_place):
+            if key is not None:
+                seen.setdefault((host, key, place), set()).add(version)
+    gone = {}
+    for (host, key, place), on in seen.items():
+        if len(on) >= 4 and (not place or 2 * len(on) > len(versions[host])):
+            gone.setdefault(host, set()).add(key)
+    want = {i: "\n".join(naive_staying(page, gone.get(host, set()))) for i, (host, page) in pages.items()}
+    assert texts(spark, rows) == want
+
+
+@pytest.mark.parametrize("markup", [
+    "<b>" * 50_000 + "x", "<div>x" * 50_000, "<div>x" * 25_000 + "</i>" * 50_000, "<p><button>" + "<b>" * 25_000 + "<div>" * 25_000 + "y",
+    "<ul>" + "<li><ul>x" * 25_000, "<table><tr><td>" * 20_000 + "<br></p>" * 20_000, "<article>" * 30_000 + "z" + "</article>" * 30_000,
+])
+def test_deep_nesting_takes_time_in_proportion(markup):
+    import time
+
+    start = time.process_time()
+    found = html.Page(markup).found()
+    html.staying(*found[:4], set(found[4][:1]))
+    assert time.process_time() - start < 8
