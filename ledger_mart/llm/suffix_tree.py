@@ -351,12 +351,12 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        known = ids_sent.value
+        id_of = ids_sent.value
         for batch in in_slices(batches, 2 << 20):
             out = []
             for text in batch.column("text"):
                 words = tokens(text.as_py())
-                ids = np.fromiter((known.get(w, RARE) for w in words), np.int32, len(words))
+                ids = np.fromiter((id_of.get(w, RARE) for w in words), np.int32, len(words))
                 ids = np.concatenate([[START], ids, [END]]).astype(np.int32)
                 at = np.flatnonzero(ids == RARE)
                 rare = [words[i] for i in at - 1]

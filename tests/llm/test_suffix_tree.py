@@ -38,6 +38,7 @@ def test_base_score_by_hand(documents, monkeypatch, head):
     monkeypatch.setattr(st, "_HELD", 50)
     monkeypatch.setattr(st, "_HELD_WORDS", 20)
     monkeypatch.setattr(st, "_DOCS", 9)
+    monkeypatch.setattr(st, "in_slices", lambda batches, most: (b.slice(i, 9) for b in batches for i in range(0, b.num_rows, 9)))
     texts = corpus()
     got = score(documents(texts), ~held_out("doc_id", 7))
     counts = Counter()
