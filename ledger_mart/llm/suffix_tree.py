@@ -13,14 +13,14 @@ another: counts are grouped, a run meets its suffix for the test. The correction
 a sum over the runs in it: each run has one weight, log P of its last token less what
 its suffix and its context give already, and the mass that it leaves as a context itself.
 The FAST most counted runs' weights are sent to the tasks, those of all others meet the documents' runs
-in a join; so do the counts of words beyond the HEAD most counted ones. Two sieves keep from the shuffles
+in a join; the same join brings the counts of words beyond the HEAD most counted ones. Two sieves keep from the shuffles
 what cannot be frequent: one of the frequent runs a token shorter, and one that counts each run up to
 three, in cells that several runs may share. They may let more through and never lose a run.
 
 Defined results: null and empty texts are the end token alone; without training documents every score
 is 0 and nothing is known; repeated rows get equal results; a row without id is scored
 like any other; an empty table gives no rows; other columns of the input are not read.
-Runs are joined by hashes of 64 bits, and words beyond the head are counted in runs by theirs.
+Runs are joined by hashes of 64 bits, and words beyond the head by theirs of 62.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -42,16 +42,16 @@ DEPTH = 3
 LEAST_SHARE = 0.0  # of the corpus: none, LEAST_COUNT decides at every size
 LEAST_COUNT = 4
 HEAD = 300_000
-FAST = 500_000
+FAST = 1_000_000
 DISCOUNT = 0.75
 LOOSE = 4.0  # standard deviations by which a likelihood ratio must exceed its mean
 START, END, RARE = 0, 1, 2
 _FIRST_WORD = 3
-_HELD = 500_000  # runs that a task gathers before it passes them on
+_HELD = 300_000  # runs that a task gathers before it passes them on
 _HELD_WORDS = 200_000
 _DOCS = 256  # worked on at once
 _SIEVE_BITS = 27
-_CELL_BITS = (16, 28)  # the least and the most of the sieve that counts, along with the corpus
+_CELL_BITS = (16, 27)  # the least and the most of the sieve that counts, along with the corpus
 _CHUNK = 1 << 20
 _TAIL = 1 << 62  # ids of words beyond the head begin here
 _ODD, _ODDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -108,11 +108,25 @@ def runs(ids: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield key, ok
 
 
+def tail_ids(words: Iterable[bytes]) -> list[int]:
+    """Ids of words beyond the head."""
+    from xxhash import xxh64_intdigest
+
+    return [_TAIL + (xxh64_intdigest(w) >> 2) for w in words]
+
+
+def ids_in(batch: pa.RecordBatch) -> np.ndarray:
+    """The ids of the documents, one after another; the tail's take the places that are marked as rare."""
+    ids = batch.column("ids").flatten().to_numpy().astype(np.int64)
+    ids[ids == RARE] = batch.column("tails").flatten().to_numpy()
+    return ids
+
+
 def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The ids of a few documents at a time, one after another."""
+    """The ids of a few documents at a time."""
     for batch in batches:
         for at in range(0, len(batch), _DOCS):
-            yield batch.column("ids").slice(at, _DOCS).flatten().to_numpy()
+            yield ids_in(batch.slice(at, _DOCS))
 
 
 def sieve_of(keys: DataFrame) -> np.ndarray:
@@ -140,12 +154,11 @@ def add_counts(cells: np.ndarray, cell: np.ndarray, count: np.ndarray) -> None:
         cells[at] = (cells[at] & np.uint8(255 - (3 << 2 * place))) | (now << shift)
 
 
-def places(ids: np.ndarray, n: int, sieve: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def places(ids: np.ndarray, n: int, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends and keys of the runs of ``n`` tokens whose two shorter runs pass the sieve."""
-    *_, shorter, (key, ok) = [None, *runs(ids, n)]
-    if n > 1:
-        known = shorter[1] & passes(sieve, shorter[0])
-        ok = ok & known & np.concatenate([[False], known[:-1]])[: len(ids)]
+    *_, shorter, (key, ok) = runs(ids, n)
+    known = shorter[1] & passes(sieve, shorter[0])
+    ok = ok & known & np.concatenate([[False], known[:-1]])[: len(ids)]
     at = np.flatnonzero(ok)
     return at, key[at]
 
@@ -202,7 +215,7 @@ def counting_sieve(encoded: DataFrame, n: int, sieve: np.ndarray, total: int) ->
         if chunk is not None:
             yield out()
 
-    rows = encoded.where("taught").select("ids").mapInArrow(counted, "chunk int, cells binary")
+    rows = encoded.where("taught").select("ids", "tails").mapInArrow(counted, "chunk int, cells binary")
     merged = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, "chunk int, cells binary").toArrow()
     found = np.zeros(1 << (bits - 3), np.uint8)
     size = min(_CHUNK // 2, len(found))
@@ -211,9 +224,9 @@ def counting_sieve(encoded: DataFrame, n: int, sieve: np.ndarray, total: int) ->
     return found.view(np.uint64)
 
 
-def run_counts(encoded: DataFrame, n: int, least: int, sieve: np.ndarray | None, total: int) -> DataFrame:
-    """(key, prefix, suffix, count) of the frequent runs of ``n`` tokens; the sieve is of those one token shorter."""
-    often_enough = counting_sieve(encoded, n, sieve, total) if n > 1 and least >= 3 else None
+def run_counts(encoded: DataFrame, n: int, least: int, sieve: np.ndarray, total: int) -> DataFrame:
+    """(key, prefix, suffix, count) of the frequent runs of ``n`` > 1 tokens; the sieve is of those one token shorter."""
+    often_enough = counting_sieve(encoded, n, sieve, total) if least >= 3 else None
     sent = encoded.sparkSession.sparkContext.broadcast((sieve, often_enough))
     names = [f"w{i}" for i in range(n)]
 
@@ -241,17 +254,18 @@ def run_counts(encoded: DataFrame, n: int, least: int, sieve: np.ndarray | None,
         for batch in batches:
             ids = [batch.column(c).to_numpy() for c in names]
             key = key_of(ids)
-            ends = (key_of(ids[:-1]), key_of(ids[1:])) if n > 1 else (key, key)
+            ends = (key_of(ids[:-1]), key_of(ids[1:]))
             yield pa.record_batch([pa.array(key), *map(pa.array, ends), batch.column("count")], ["key", "prefix", "suffix", "count"])
 
-    rows = encoded.where("taught").select("ids").mapInArrow(counted, ", ".join(f"{c} long" for c in [*names, "count"]))
+    rows = encoded.where("taught").select("ids", "tails").mapInArrow(counted, ", ".join(f"{c} long" for c in [*names, "count"]))
     often = rows.groupBy(*names).agg(F.sum("count").alias("count")).where(F.col("count") >= least)
     return written(often.mapInArrow(keyed, "key long, prefix long, suffix long, count long"), f"runs{n}")
 
 
-def weights_of(encoded: DataFrame, least: int, spared: float, total: int) -> DataFrame:
-    """(key, count, value): what each occurrence of a run adds to a text's natural log probability by the root."""
-    shorter = run_counts(encoded, 1, least, None, total)
+def weights_of(encoded: DataFrame, singles: DataFrame, least: int, spared: float, total: int) -> DataFrame:
+    """(key, count, value): what each occurrence of a run adds to a text's natural log probability by the root.
+    ``singles`` has (key, count) of the runs of one token."""
+    shorter = singles.where(F.col("count") >= least)
     log_root = F.log(F.greatest(F.col("count") - spared, F.lit(1e-9)) / max(total, 1))
     below = shorter.select("key", "count", log_root.alias("log_p"))
     found = []
@@ -277,8 +291,9 @@ def weights_of(encoded: DataFrame, least: int, spared: float, total: int) -> Dat
     return written(both, "weights")
 
 
-def corrections(encoded: DataFrame, weights: DataFrame) -> DataFrame:
-    """(_row, more): the sum of the weights of the runs in each text."""
+def corrections(encoded: DataFrame, weights: DataFrame, tail: DataFrame) -> DataFrame:
+    """(_row, more, base, known): the sum of the weights of the runs in each text, and of what ``tail`` (key, more, base, known)
+    has for its words beyond the head."""
     fast_least = head_threshold(weights, FAST)
     fast = weights.where(F.col("count") >= fast_least).select("key", "value").toArrow()
     key, value = fast["key"].to_numpy(), fast["value"].to_numpy()
@@ -290,26 +305,32 @@ def corrections(encoded: DataFrame, weights: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), _DOCS):
                 lot = batch.slice(at, _DOCS)
-                ids = lot.column("ids").flatten().to_numpy()
-                row = np.repeat(lot.column("_row").to_numpy(), np.diff(lot.column("ids").offsets.to_numpy()))
-                more, slow = np.zeros(len(ids)), []
+                ids, rows = ids_in(lot), lot.column("_row").to_numpy()
+                row = np.repeat(rows, np.diff(lot.column("ids").offsets.to_numpy()))
+                more = np.zeros(len(ids))
+                beyond = np.flatnonzero(ids >= _TAIL)
+                asked = [(row[beyond], _step(None, ids[beyond], 0))]
                 for key, ok in runs(ids, DEPTH + 1):
                     some = np.flatnonzero(ok & passes(sieve, key))
                     own = key[some]
                     place = np.minimum(np.searchsorted(fast, own), max(len(fast) - 1, 0))
                     known = fast[place] == own if len(fast) else np.zeros(len(own), bool)
                     more[some[known]] += value[place[known]]
-                    slow.append((row[some[~known]], own[~known]))
-                starts = np.flatnonzero(ids == START)
-                rows = [row[starts], *(r for r, _ in slow)]
-                keys = [_step(None, row[starts], 0), *(k for _, k in slow)]
-                values = [np.add.reduceat(more, starts) if len(starts) else more, *(np.full(len(r), np.nan) for r, _ in slow)]
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (rows, keys, values)], ["_row", "key", "more"])
-
-    met = encoded.select("_row", "ids").mapInArrow(summed, "_row long, key long, more double")
-    both = joined(met, weights.where(F.col("count") < fast_least).select("key", "value"), ["key"], "left")
-    more = F.when(F.isnan("more"), F.coalesce("value", F.lit(0.0))).otherwise(F.col("more"))
-    return both.groupBy("_row").agg((F.sum(more) / math.log(10)).alias("more"))
+                    asked.append((row[some[~known]], own[~known]))
+                own = np.add.reduceat(more, np.flatnonzero(ids == START)) if len(ids) else more
+                row, key = (np.concatenate(x) for x in zip(*asked))
+                given = pa.array(np.concatenate([own, np.zeros(len(row))]), mask=np.arange(len(own) + len(row)) >= len(own))
+                rows, key = np.concatenate([rows, row]), np.concatenate([_step(None, rows, 0), key])
+                yield pa.record_batch([pa.array(rows), pa.array(key), given], ["_row", "key", "given"])
+
+    met = encoded.select("_row", "ids", "tails").mapInArrow(summed, "_row long, key long, given double")
+    none = [F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known")]
+    slow = weights.where(F.col("count") < fast_least).select("key", F.col("value").alias("more"), *none)
+    both = joined(met, slow.unionByName(tail), ["key"], "left")
+    # a row that gives a text's own sum asks for nothing
+    sums = [F.sum(F.coalesce("given", "more", F.lit(0.0))).alias("more")]
+    sums += [F.sum(F.when(F.col("given").isNull(), F.coalesce(c, F.lit(0)))).alias(c) for c in ("base", "known")]
+    return both.groupBy("_row").agg(*sums)
 
 
 def head_threshold(counts: DataFrame, most: int) -> int:
@@ -342,45 +363,51 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     spared = min(0.95, max(0.05, single / kinds)) if kinds else 0.5
     base = lambda c: np.log10((c + 1) / (total + kinds + 1))
     root = lambda c: np.log10(np.where(c > 0, np.maximum(c - spared, 1e-9), spared * max(kinds, 1)) / max(total, 1))
-    ids_sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head["word"].to_pylist(), _FIRST_WORD)})
-    base_by_id, root_by_id = base(by_id), root(by_id)
-    base_by_id[[START, RARE]] = root_by_id[[START, RARE]] = 0.0
+    words_sent = docs.sparkSession.sparkContext.broadcast(head["word"].combine_chunks())
+    del head
+    base_by_id, root_by_id = base(by_id), root(by_id)  # a rare word counts as unknown until the join
+    base_by_id[START] = root_by_id[START] = 0.0
     known_by_id = by_id > 0
     known_by_id[[START, RARE]] = False
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        id_of = ids_sent.value
+        id_of = {w: i for i, w in enumerate(words_sent.value.to_pylist(), _FIRST_WORD)}
         for batch in in_slices(batches, 2 << 20):
             out = []
             for text in batch.column("text"):
                 words = tokens(text.as_py())
                 ids = np.fromiter((id_of.get(w, RARE) for w in words), np.int32, len(words))
+                tails = tail_ids(words[i] for i in np.flatnonzero(ids == RARE).tolist())
                 ids = np.concatenate([[START], ids, [END]]).astype(np.int32)
-                at = np.flatnonzero(ids == RARE)
-                rare = [words[i] for i in at - 1]
-                named = ids.astype(np.int64)
-                named[at] = [_TAIL + (xxh64_intdigest(w) >> 2) for w in rare]
-                out.append((len(words) + 1, int(known_by_id[ids].sum()), float(base_by_id[ids].sum()), float(root_by_id[ids].sum()), named, rare))
-            n, known, base, root, ids, rare = zip(*out) if out else [()] * 6
+                out.append((len(words) + 1, int(known_by_id[ids].sum()), float(base_by_id[ids].sum()), float(root_by_id[ids].sum()), ids, tails))
+            n, known, base, root, ids, tails = zip(*out) if out else [()] * 6
             yield extended(
                 batch, [*keep, "taught"], n_tokens=pa.array(n, pa.int64()), n_known=pa.array(known, pa.int64()), base=pa.array(base, pa.float64()),
-                root=pa.array(root, pa.float64()), ids=pa.array(ids, pa.list_(pa.int64())), rare=pa.array(rare, pa.list_(pa.binary())),
+                root=pa.array(root, pa.float64()), ids=pa.array(ids, pa.list_(pa.int32())), tails=pa.array(tails, pa.list_(pa.int64())),
             )
 
-    schema = schema_of(named, [*keep, "taught"], "n_tokens long, n_known long, base double, root double, ids array<bigint>, rare array<binary>")
+    schema = schema_of(named, [*keep, "taught"], "n_tokens long, n_known long, base double, root double, ids array<int>, tails array<bigint>")
     encoded = written(named.mapInArrow(encode, schema).withColumn("_row", F.monotonically_increasing_id()), "encoded")
-    more = corrections(encoded, weights_of(encoded, least, spared, total))
-    rare = encoded.select("_row", F.explode("rare").alias("word"))
-    tail = counts.where(F.col("count") < head_least)
-    found = joined(rare, tail, ["word"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    log_base = F.log10((F.col("count") + 1) / float(total + kinds + 1))
-    log_root = F.log10(F.when(F.col("count") > 0, F.greatest(F.col("count") - spared, F.lit(1e-9))).otherwise(spared * max(kinds, 1)) / max(total, 1))
-    sums = found.groupBy("_row").agg(
-        F.count_if(F.col("count") > 0).alias("r_known"), F.sum(log_base).alias("r_base"), F.sum(log_root).alias("r_root")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys of the words, as runs of one token and as words of the tail."""
+        id_of = {w: i for i, w in enumerate(words_sent.value.to_pylist(), _FIRST_WORD)}
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            ids = np.array([id_of.get(w) or tail for w, tail in zip(words, tail_ids(words))], np.int64)
+            keys = [pa.array(_step(None, ids, length)) for length in (1, 0)]
+            yield pa.record_batch([*keys, batch.column("count")], ["key", "word_key", "count"])
+
+    word_keys = written(counts.select("word", "count").mapInArrow(keyed, "key long, word_key long, count long"), "word_keys")
+    ends_keys = _step(None, np.array([START, END]), 1).tolist() if ends else []
+    singles = word_keys.select("key", "count").unionByName(docs.sparkSession.createDataFrame([(k, ends) for k in ends_keys], "key long, count long"))
+    log_base = F.log10((F.col("count") + 1) / float(total + kinds + 1)) - float(base(np.array(0.0)))
+    log_root = F.log(F.greatest(F.col("count") - spared, F.lit(1e-9)) / max(total, 1)) - float(root(np.array(0.0))) * math.log(10)
+    tail = word_keys.where(F.col("count") < head_least).select(
+        F.col("word_key").alias("key"), log_root.alias("more"), log_base.alias("base"), F.lit(1).cast("long").alias("known")
     )
-    both = joined(joined(encoded.drop("ids", "rare"), more, ["_row"]), sums, ["_row"], "left")
+    more = corrections(encoded, weights_of(encoded, singles, least, spared, total), tail).withColumnsRenamed({"base": "r_base", "known": "r_known"})
+    both = joined(encoded.drop("ids", "tails"), more, ["_row"])
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     nothing = F.lit(total == 0)
     return both.select(
@@ -389,5 +416,5 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
         plus("n_known", "r_known").cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         plus("base", "r_base").alias("base_score"),
-        F.when(nothing, 0.0).otherwise(plus("root", "r_root") + F.col("more")).alias("score"),
+        F.when(nothing, 0.0).otherwise(F.col("root") + F.col("more") / math.log(10)).alias("score"),
     )
