@@ -146,15 +146,16 @@ class Bands:
             return None
         if distance <= 3:
             return 1, distance + 3, list(combinations(range(distance + 3), 3)), 0
-        inner = 3 if self.percent >= 85 else 2
-        spare = 2 if self.percent >= 85 else 4
-        return distance // 2 + 1 + spare, inner, list(combinations(range(inner), inner - 1)), spare
+        spare = 2 if self.percent >= 85 else 8
+        return distance // 2 + 1 + spare, 3, list(combinations(range(3), 2)), spare
 
     def signatures(self, sets: list[np.ndarray], band: int) -> list[np.ndarray]:
         """Signatures of sets for a band, their own or the next.
 
-        An empty choice is a signature only of sets that have more parts with an empty choice
-        than there are spare parts: any other like set agrees on a choice that isn't empty.
+        Empty choices would gather unrelated sets. Like sets agree in one part more than there are spare parts, so a set leaves out
+        its empty choices if no more than the spare parts have one; whatever the other set leaves out, they agree on a choice
+        that isn't empty. A set with more of them leaves out those of half as many parts: two such sets leave out no
+        more than the spare parts together.
         """
         cut = self.cut(band)
         if cut is None or not sets:
@@ -169,7 +170,8 @@ class Bands:
         sums = sums.reshape(len(sets), parts, inner)
         chosen = np.stack([sums[:, :, list(c)].sum(axis=2, dtype=np.uint64) for c in choices], axis=2)
         empty = chosen == 0
-        drop = empty & (empty.any(axis=2).sum(axis=1) <= spare)[:, None, None]
+        some = empty.any(axis=2)
+        drop = empty & ((some.sum(axis=1) <= spare)[:, None] | (np.cumsum(some, axis=1) <= spare // 2))[:, :, None]
         name = np.arange(parts * len(choices), dtype=np.uint64).reshape(1, parts, -1) + np.uint64((band + 1) << 32)
         found = mixed(chosen + mixed(name, 11), 13)
         return [f[~d] for f, d in zip(found.reshape(len(sets), -1), drop.reshape(len(sets), -1))]
