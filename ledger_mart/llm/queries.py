@@ -74,16 +74,16 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
     with vectors as (
-        select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+        select vec_id, row_number() over () as r, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
         from embeddings
         where vec_id is not null and len(embedding) > 0
           and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
     scored as (
-        select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+        select q.r, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
         from vectors q, vectors c
-        where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+        where q.vec_id % 50 = 0 and c.r <> q.r)
     select query_id, cast(rank as integer) as rank, vec_id, score
-    from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+    from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from scored)
     where rank <= 5"""
 
 
