@@ -43,6 +43,12 @@ DECAY = 0.6  # for each symbol left out
 WINDOW = 24
 ROUNDS = 5
 CUT = 0.3
+SUPPORT = 2  # toxic documents that must point to a window for it to be learned, where any window has so many
+OFTEN = 0.08  # of the documents that hold the toxic documents' commonest own window: what is in so many is an insult of its own
+TOGETHER = 10  # times that one counts which is seldom the chosen one
+PUT_IN, VARIED = 4, 4  # variants for each place of a word, and how much less one counts than the word
+#: Windows of each clean document that are learned from in each round, and how many of them all: the highest, and some of the rest.
+NEGATIVES, HARD, EASY = 2, 6000, 2000
 _EDGE, _OTHER = 0, 1
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _INSERTED = re.compile(r"[\W_]+")
@@ -115,6 +121,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -35, 35)))
 
 
+def xxh32(text: str) -> int:
+    from xxhash import xxh32_intdigest
+
+    return xxh32_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def variants(word: str) -> list[str]:
+    """The word with a letter put between two of its own, and with an inner one left out: what its writers
+    do to hide it. Which letter is put in depends on the word and the place alone."""
+    if len(word) < 4 or not word.isalpha():
+        return []
+    put = [word[:i] + chr(97 + xxh32(f"{word} {i} {k}") % 26) + word[i:] for i in range(1, len(word)) for k in range(PUT_IN)]
+    return put + [word[:i] + word[i + 1 :] for i in range(1, len(word) - 1) if len(word) > 4]
+
+
 def by_length(words: Iterable[str], most: int = 20_000) -> Iterator[list[str]]:
     """Lots of windows of like length, so that little is padding."""
     words = sorted(words, key=len)
@@ -203,17 +224,28 @@ def fit(docs: list[set[str]], truth: np.ndarray, share: float) -> Model:
     if not toxic or not clean:
         return constant
     in_clean = Counter(w for d in clean for w in d)
+    in_toxic = Counter(w for d in toxic for w in d)
+    most = max((n for w, n in in_toxic.items() if w not in in_clean), default=0)
+    # a document may hold several insults, of which only one is chosen below
+    often = sorted(w for w, n in in_toxic.items() if w not in in_clean and n >= max(SUPPORT, OFTEN * most))
     own = [[w for w in d if w not in in_clean] or list(d) for d in toxic]
     value = _first_margins([d for d, _ in train], np.array([t for _, t in train]))
     negative: set[str] = set()
     for turn in range(ROUNDS):
         chosen = Counter(max(words, key=lambda w: (value[w], w)) for words in own)
         for words in clean:
-            negative.update(sorted(words, key=lambda w: (-value[w], w))[:2])
-        positive = [w for w in chosen if w not in in_clean] or list(chosen)
+            negative.update(sorted(words, key=lambda w: (-value[w], w))[:NEGATIVES])
+        apart = [w for w in chosen if w not in in_clean] or list(chosen)
+        # what one document alone suggests may be any of its rare words
+        shared = [w for w in apart if chosen[w] >= SUPPORT] or apart
+        shared = list(dict.fromkeys([*shared, *often]))
+        weight_of = {w: max(chosen[w], min(in_toxic[w], TOGETHER)) for w in shared}
+        made = {v: weight_of[w] / VARIED for w in often for v in variants(w) if v not in in_clean and v not in weight_of}
+        weight_of |= made
+        positive = [*shared, *made]
         rest = sorted(negative - set(positive), key=lambda w: (-value[w], w))
-        rest = rest[: 6000] + rest[6000 :: max(1, len(rest) // 2000)]
-        by_count = sorted(positive, key=lambda w: (-chosen[w], w))
+        rest = rest[:HARD] + rest[HARD :: max(1, len(rest) // EASY)]
+        by_count = sorted(shared, key=lambda w: (-weight_of[w], w)) + sorted(made, key=lambda v: xxh32(v))
         half = LANDMARKS // 2
         marks = by_count[: half // 2] + by_count[half // 2 :: max(1, len(by_count) // half)][:half] + rest[:: max(1, len(rest) // half)][:half]
         used, dense = _kernel_to(list(dict.fromkeys(marks)))
@@ -221,7 +253,7 @@ def fit(docs: list[set[str]], truth: np.ndarray, share: float) -> Model:
         words = positive + rest
         x = np.column_stack([_kernel(words, used, dense) @ white, np.ones(len(words))])
         y = np.repeat([1.0, -1.0], [len(positive), len(rest)])
-        cost = np.concatenate([[chosen[w] for w in positive], np.ones(len(rest))])
+        cost = np.concatenate([[weight_of[w] for w in positive], np.ones(len(rest))])
         cost[: len(positive)] *= len(rest) / cost[: len(positive)].sum() / 2
         w = _machine(x, y, cost)
         weights = np.zeros(SYMBOLS**3, np.float32)
