@@ -38,11 +38,30 @@ def test_every_template_is_found(documents, model):
     ("You need a licence to drive; the software is free of charge.", []),
     ("All of this software is subject to review by the public domain office", []),
     (None, []), ("", []), (" \n\n", []), ("!!! ???", []),
+    ("GPLv3", ["gpl-3.0"]), ("This tool is under the GNU GPL v3.", ["gpl-3.0"]), ("Apache-2.0 license", ["apache-2.0"]),
+    ("Lesser General Public License, version 3", ["lgpl"]),
+    ("SPDX-License-Identifier: CC-BY-4.0", ["cc-by"]), ("// SPDX-License-Identifier: ISC", ["isc"]),
+    ("Creative Commons Attribution-NoDerivatives 4.0", ["cc-by-nd"]),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["cc-by-nd"]),
+    # licences that are in no family, of which the last five are not learned from
+    ("SPDX-License-Identifier: EPL-2.0", []), ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", []),
+    ("SPDX-License-Identifier: BSL-1.0", []), ("Distributed under the Boost Software License, Version 1.0.", []),
+    ("Licensed under the European Union Public Licence, version 1.2.", []), ("Licensed under the Microsoft Public License, version 1.0.", []),
+    ("Released under the PostgreSQL License.", []),
 ])
 def test_lines(documents, model, text, want):
     assert scan(documents, [text], model)[0]["families"] == want
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+    ("SPDX-License-Identifier: (GPL-2.0-only AND BSD-3-Clause) OR EPL-2.0", {"gpl-2.0", "bsd"}),
+    ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", {"mit", "apache-2.0"}),
+])
+def test_several_families_in_one_line(documents, model, text, want):
+    assert set(scan(documents, [text], model)[0]["families"]) == want
+
+
 def test_several_and_in_a_very_long_line(documents, model):
     rng = random.Random(3)
     filler = " ".join(corpus(rng, 300)).replace("\n", " ")
