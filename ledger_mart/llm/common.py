@@ -8,6 +8,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ WORDS = re.compile(WORD)
 #: Lower case for A-Z only, other letters as they are.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 SMALL_ROWS = 1_000_000
+MOST_BATCH = 4 << 20  # bytes of rows that one batch takes to Python
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _local_folders: dict[str, str] = {}
 _ROW_BITS = 33  # of monotonically_increasing_id
 
@@ -48,10 +51,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder once and read back: a lost executor costs
     nothing that came before."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python some megabytes at a time, whatever the length of their texts, for plans made
+    within the block; then the session's own setting holds again."""
+    own = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, min(int(own.removesuffix("b")), MOST_BATCH) if own.removesuffix("b").isdigit() else MOST_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, own)
+
+
 def schema_of(df: DataFrame, keep: Sequence[str], added: str) -> T.StructType:
     """The columns kept and those of a DDL string, all nullable."""
     own = [T.StructField(c, df.schema[c].dataType) for c in keep]

@@ -53,7 +53,7 @@ _EDGE, _OTHER = 0, 1
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _INSERTED = re.compile(r"[\W_]+")
 _TRIM = ".,!?;:\"'()[]{}«»…-"
-_KEPT = 400_000
+_KEPT = 100_000
 
 
 def _symbols() -> np.ndarray:
