@@ -182,6 +182,14 @@ def near(x: np.ndarray, x_length: np.ndarray, y: np.ndarray, y_length: np.ndarra
     return found
 
 
+def halves(words: list[str], longer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the front and back halves of words of one list. An edit lies in one of a word's halves at most, so near
+    words agree in the other; half of what, the length of the list's words says."""
+    half = [(len(w) - more) // 2 for w, more in zip(words, longer.tolist())]
+    parts = ([w[:h] for w, h in zip(words, half)], [w[len(w) - h :] for w, h in zip(words, half)])
+    return tuple(np.fromiter(map(hash, part), np.int64, len(words)) for part in parts)
+
+
 def _group_pairs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of the rows of each group [start, end), some at a time. Groups follow each other, the first from 0 on."""
     size = end - start
@@ -243,9 +251,11 @@ def near_pairs(lists: DataFrame) -> DataFrame:
             apart = rows.column("low").to_numpy() != rows.column("high").to_numpy()
             words, n = rows.column("word").to_pylist(), rows.column("n").to_numpy()
             codes, length = _codes(words)
+            front, back = halves(words, longer)
             for i, j in _group_pairs(end - size, end):
                 # two that are longer are compared in the lists of their own length; two blocks are held against each other
                 pick = ((longer[i] == 0) | (longer[j] == 0)) & (~apart[i] | (own[i] != own[j]))
+                pick &= (front[i] == front[j]) | (back[i] == back[j])
                 i, j = i[pick], j[pick]
                 hit = near(codes[i], length[i], codes[j], length[j])
                 found = set()
