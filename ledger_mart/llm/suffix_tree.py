@@ -42,7 +42,7 @@ DEPTH = 3
 LEAST_SHARE = 0.0  # of the corpus: none, LEAST_COUNT decides at every size
 LEAST_COUNT = 4
 HEAD = 300_000
-FAST = 1_000_000
+FAST = 2_000_000
 DISCOUNT = 0.75
 LOOSE = 4.0  # standard deviations by which a likelihood ratio must exceed its mean
 START, END, RARE = 0, 1, 2
@@ -299,6 +299,7 @@ def corrections(encoded: DataFrame, weights: DataFrame, tail: DataFrame) -> Data
     key, value = fast["key"].to_numpy(), fast["value"].to_numpy()
     order = np.argsort(key)
     sent = encoded.sparkSession.sparkContext.broadcast((sieve_of(weights), key[order], value[order]))
+    del fast, key, value, order
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, fast, value = sent.value
