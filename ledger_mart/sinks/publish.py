@@ -85,10 +85,10 @@ def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> Non
     recover(spark, path)
     folder = _beside(path, NEXT + uuid.uuid4().hex)
     write(folder)
-    if path_exists(spark, path) or current(spark, path) != path:
-        write_text(spark, _beside(path, MARKER), folder)
-        settle(spark, path)
-        if current(spark, path) == path:
-            recover(spark, path)
-    else:
+    if has_atomic_rename(spark, path) and not path_exists(spark, path):
         rename(spark, folder, path.rstrip("/"))
+        return
+    write_text(spark, _beside(path, MARKER), folder)
+    settle(spark, path)
+    if current(spark, path) == path:
+        recover(spark, path)
