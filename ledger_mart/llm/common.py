@@ -23,7 +23,7 @@ WORDS = re.compile(WORD)
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 SMALL_ROWS = 1_000_000
 MOST_BATCH = 4 << 20  # bytes of rows that one batch takes to Python
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _local_folders: dict[str, str] = {}
 _ROW_BITS = 33  # of monotonically_increasing_id
 
@@ -60,12 +60,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Rows go to Python some megabytes at a time, whatever the length of their texts, for plans made
     within the block; then the session's own setting holds again."""
-    own = spark.conf.get(_BATCH_BYTES)
-    spark.conf.set(_BATCH_BYTES, min(int(own.removesuffix("b")), MOST_BATCH) if own.removesuffix("b").isdigit() else MOST_BATCH)
+    own = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, min(int(own.removesuffix("b")), MOST_BATCH) if own.removesuffix("b").isdigit() else MOST_BATCH)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH_BYTES, own)
+        spark.conf.set(BATCH_BYTES, own)
 
 
 def schema_of(df: DataFrame, keep: Sequence[str], added: str) -> T.StructType:

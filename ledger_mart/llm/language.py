@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import extended, kept, schema_of
+from ledger_mart.llm.common import extended, in_slices, kept, schema_of
 from ledger_mart.llm.learning import by_chance, sample_by_class, whitening
 
 SYMBOLS = 64
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence, model = Presence(), sent.value and Model(**sent.value)
-        for batch in batches:
+        for batch in in_slices(batches, 1 << 20):
             predicted, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
             for at in range(0, len(batch), 512):
                 found = [presence(t.as_py()) for t in batch.column("_text")[at : at + 512]]
@@ -219,7 +219,7 @@ def familiarity(docs: DataFrame, model: Familiar | None, keep: list[str]) -> Dat
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value and Familiar(**sent.value)
-        for batch in batches:
+        for batch in in_slices(batches, 1 << 20):
             codes = [trigrams(t.as_py()) if model else () for t in batch.column("_text")]
             mean = [float(model.log_p[c].mean()) if len(c) else 0.0 for c in codes]
             n = np.array([len(np.unique(c)) for c in codes])  # repeats tell nothing more

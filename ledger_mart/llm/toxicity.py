@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_mart.llm.common import extended, joined, kept, schema_of
+from ledger_mart.llm.common import extended, in_slices, joined, kept, schema_of
 from ledger_mart.llm.learning import by_chance, sample_by_class, whitening
 
 SAMPLE = 4000  # labelled documents learned from, at most
@@ -59,7 +59,7 @@ _KEPT = 100_000
 def _symbols() -> np.ndarray:
     """Symbol by code point: edges, other characters, a to z, digits, and a hash of other letters."""
     point = np.arange(0x110000, dtype=np.uint64)
-    letter = np.array([chr(i).isalpha() for i in range(0x110000)])
+    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     hashed = 38 + (point * np.uint64(2654435761) >> np.uint64(9)) % np.uint64(SYMBOLS - 38)
     table = np.where(letter, hashed, _OTHER).astype(np.uint8)
     table[97:123] = range(2, 28)
@@ -136,7 +136,7 @@ def variants(word: str) -> list[str]:
     return put + [word[:i] + word[i + 1 :] for i in range(1, len(word) - 1) if len(word) > 4]
 
 
-def by_length(words: Iterable[str], most: int = 20_000) -> Iterator[list[str]]:
+def by_length(words: Iterable[str], most: int = 2_000) -> Iterator[list[str]]:
     """Lots of windows of like length, so that little is padding."""
     words = sorted(words, key=len)
     for at in range(0, len(words), most):
@@ -298,7 +298,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         if state.get("run") != run:
             state.clear()
         state["run"], known = run, state.setdefault("known", {})
-        for batch in batches:
+        for batch in in_slices(batches, 1 << 20):
             margin, window = [], []
             for at in range(0, len(batch), 256):
                 found = [windows(t.as_py()) for t in batch.column("_text")[at : at + 256]]
