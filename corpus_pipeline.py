@@ -1,7 +1,8 @@
 """From documents to packed training sequences.
 
 Each stage works on all rows that the one before kept. All but the last return the
-columns of documents.
+columns of documents. The stages set how many bytes of rows Spark sends to Python at a time, as texts may be long
+and whoever writes a stage's rows makes the plan.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledger_mart.llm import language, mixing, packing, partenum, toxicity
-from ledger_mart.llm.common import table, written
+from ledger_mart.llm.common import BATCH_BYTES, MOST_BATCH, table, written
 from ledger_mart.llm.queries import tokenizer
 
 #: A prediction below this is no better than a guess against the language.
@@ -22,6 +23,7 @@ LEAST_FAMILIAR = -5.0
 
 def _whole(docs: DataFrame) -> DataFrame:
     """Each row as one column beside its text, so that no other column's name is in the way."""
+    docs.sparkSession.conf.set(BATCH_BYTES, MOST_BATCH)
     return docs.select(F.struct("*").alias("_doc"), "text")
 
 
@@ -51,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in training sequences."""
+    spark.conf.set(BATCH_BYTES, MOST_BATCH)
     return packing.pack(docs, tokenizer())
 
 
