@@ -45,7 +45,7 @@ ROUNDS = 5
 CUT = 0.3
 SUPPORT = 2  # toxic documents that must point to a window for it to be learned, where any window has so many
 OFTEN = 0.08  # of the documents that hold the toxic documents' commonest own window: what is in so many is an insult of its own
-TOGETHER = 10  # times that one counts which is seldom the chosen one
+TOGETHER = 0.1  # of those documents: how often one counts at least, though it is seldom the chosen one
 PUT_IN, VARIED = 4, 4  # variants for each place of a word, and how much less one counts than the word
 #: Windows of each clean document that are learned from in each round, and how many of them all: the highest, and some of the rest.
 NEGATIVES, HARD, EASY = 2, 6000, 2000
@@ -239,7 +239,7 @@ def fit(docs: list[set[str]], truth: np.ndarray, share: float) -> Model:
         # what one document alone suggests may be any of its rare words
         shared = [w for w in apart if chosen[w] >= SUPPORT] or apart
         shared = list(dict.fromkeys([*shared, *often]))
-        weight_of = {w: max(chosen[w], min(in_toxic[w], TOGETHER)) for w in shared}
+        weight_of = {w: max(chosen[w], min(in_toxic[w], TOGETHER * most)) for w in shared}
         made = {v: weight_of[w] / VARIED for w in often for v in variants(w) if v not in in_clean and v not in weight_of}
         weight_of |= made
         positive = [*shared, *made]
