@@ -35,8 +35,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents in which no known language is recognised."""
+    """Leaves out documents in which no known language is recognised. What is familiar is written between the two models:
+    in one stage each core would run two Python workers, and all of them stay beside the stages that follow."""
     known = language.familiarity(_whole(docs), language.learn_familiar(docs), keep=["_doc"]).where(F.col("familiarity") >= LEAST_FAMILIAR)
+    known = written(known.select("_doc"), "familiar")
     found = language.predict(known.select("_doc", "_doc.text"), language.learn(docs), keep=["_doc"])
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select("_doc.*")
 
