@@ -14,6 +14,12 @@ from ledger_mart.storage import in_shared_folder
 SF_DIR = "/root/testdata/sf0.001"
 WRITERS = ["daily_job", "full_load", "quarantine", "daily_job_mapped", "export_mixed", "file_inventory"]
 
+FURTHER = [
+    "backfill", "command_line", "daily_end_to_end", "dynamic_overwrite", "empty_batch", "export_audit", "export_full", "export_partition", "export_status",
+    "fact_scan", "flag_types", "full_end_to_end", "full_load_interrupted", "mixed_fact_scan", "output_gate", "partition_audit", "quarantine_report",
+    "rerun_idempotent", "run_report", "static_overwrite", "unparsed_dates",
+]
+
 
 @pytest.fixture
 def mounted(spark, tmp_path, monkeypatch):
@@ -33,6 +39,11 @@ def test_queries_write_to_a_mounted_shared_folder(spark, mounted, name):
     assert __spark_entry__.queries()[name](spark, SF_DIR).count() > 0
 
 
+@pytest.mark.parametrize("name", FURTHER)
+def test_further_queries_write_to_a_mounted_shared_folder(spark, mounted, name):
+    assert __spark_entry__.queries()[name](spark, SF_DIR).count() > 0
+
+
 def test_only_the_shared_folder_is_taken_for_shared(spark, mounted):
     assert in_shared_folder(spark, str(mounted / "a" / "b"))
     assert not in_shared_folder(spark, f"{mounted}-not/a")
