@@ -52,7 +52,7 @@ class Presence:
     """Sorted codes of the n-grams that a text holds."""
 
     def __init__(self) -> None:
-        self.symbols = kept("letter symbols", _symbol_table)
+        self.symbols = kept("language", "letter symbols", _symbol_table)
         self.held = np.zeros(FEATURES, bool)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
 def trigrams(text: str | None) -> np.ndarray:
     """Codes of the trigrams in a text, words' edges among them, each as often as it occurs."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol = np.concatenate([[0], kept("letter symbols", _symbol_table)[points], [0]]).astype(np.int32)
+    symbol = np.concatenate([[0], kept("language", "letter symbols", _symbol_table)[points], [0]]).astype(np.int32)
     symbol = symbol[np.r_[True, (symbol[1:] > 0) | (symbol[:-1] > 0)]]
     return (symbol[:-2] * SYMBOLS + symbol[1:-1]) * SYMBOLS + symbol[2:]
 

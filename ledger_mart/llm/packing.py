@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept(("word ids", tokenizer), lambda: WordIds(tokenizer))
+        words = kept("packing", ("word ids", tokenizer), lambda: WordIds(tokenizer))
         for batch in batches:
             rows = []
             for at in range(0, len(batch), _TEXTS):

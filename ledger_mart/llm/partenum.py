@@ -35,9 +35,10 @@ _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B
 _SALTED = 500  # members of a centre that one group holds at most, or about so
 _SEEN = 200_000
 _LOT_BYTES = 1 << 20
+_KEPT_POWERS = 2 * _LOT_BYTES - 1
 _BLOCK = 512  # members of a centre whose texts are compared with each other at once, or with as many more
 _SKETCH_BLOCK = 4096  # the same for sketches, which are a tenth of the size or less
-_COLUMNS = 8192
+_COLUMNS = 2048  # shingles of a presence matrix, a row for each member of two blocks
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -58,6 +59,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers or more; those of a longer text than a lot are not kept."""
+    if n > _KEPT_POWERS:
+        return _powers(n)
+    held = kept("partenum", "powers", list)
+    if not held or len(held[0]) < n:
+        held[:] = _powers(1 << max(16, n.bit_length()))
+    return held[0], held[1]
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and 64-bit hashes of the words, A-Z as lower case.
 
@@ -65,9 +76,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     from running sums over all of them.
     """
     byte = np.frombuffer(data, np.uint8)
-    size = 1 << max(16, len(data).bit_length())
-    power, inverse = kept(("powers", size), lambda: _powers(size))
-    spaces, value = kept("bytes", _byte_tables)
+    power, inverse = kept_powers(len(data))
+    spaces, value = kept("partenum", "bytes", _byte_tables)
     space = np.r_[True, spaces[byte], True]
     starts = np.flatnonzero(space[:-2] & ~space[1:-1])
     ends = np.flatnonzero(~space[1:-1] & space[2:]) + 1

@@ -86,7 +86,7 @@ class Triples:
     """Codes and weights of the triples of windows: (windows x triples), 0 weight where there is none."""
 
     def __init__(self) -> None:
-        self.symbols = kept("window symbols", _symbols)
+        self.symbols = kept("toxicity", "window symbols", _symbols)
         self.offsets = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +294,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**sent.value)
-        state = kept("margins", dict)
+        state = kept("toxicity", "margins", dict)
         if state.get("run") != run:
             state.clear()
         state["run"], known = run, state.setdefault("known", {})

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import weakref
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -72,3 +73,36 @@ def test_small_tables_are_marked(spark, monkeypatch):
     assert hinted(common.small(frame))
     monkeypatch.setattr(common, "SMALL_ROWS", 9)
     assert not hinted(common.small(frame))
+
+
+def test_what_an_operator_kept_goes_when_another_begins():
+    class Words(list):
+        pass
+
+    first = common.kept("packing", "words", Words)
+    assert common.kept("packing", "words", Words) is first
+    gone = weakref.ref(first)
+    del first
+    assert common.kept("near copies", "words", lambda: "other words") == "other words"
+    assert gone() is None
+    assert isinstance(common.kept("packing", "words", Words), Words)
+
+
+def test_workers_of_a_session_hold_one_operators_things(spark):
+    from ledger_mart.llm import packing, partenum
+    from ledger_mart.llm.queries import tokenizer
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for _ in batches:
+            found = sys.modules["_llm_kept"].__dict__.get("found") if "_llm_kept" in sys.modules else {}
+            yield pa.record_batch([pa.array([str(key) for key in found], pa.string())], ["key"])
+
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string").coalesce(1)
+    packing.pieces(docs, tokenizer()).collect()
+    partenum.set_classes(docs, 3).collect()
+    keys = {r["key"] for r in docs.mapInArrow(held, "key string").collect()}
+    assert not any("word ids" in key for key in keys)

@@ -124,3 +124,14 @@ def test_sketches_rule_out_no_like_sets(both, left, right, seed):
     if percent:
         assert partenum.may_be_like((len(a), partenum.sketch(a)), (len(b), partenum.sketch(b)), percent)
     assert partenum.may_be_like((len(a), b""), (len(b), partenum.sketch(b)), 99)
+
+
+def test_powers_of_the_longest_lot_only_are_kept():
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (10, 20_000, 200_000, 500_000, 10)]
+    want = [partenum.shingle_sets([t], 3)[0] for t in reversed(texts)][::-1]
+    got = [partenum.shingle_sets([t], 3)[0] for t in texts]
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    assert [len(s) for s in got] == [8, 19_998, 199_998, 499_998, 8]
+    power, inverse = common.kept("partenum", "powers", list)
+    assert len(power) == len(inverse) <= partenum._KEPT_POWERS + 1
+    assert len(texts[3]) > partenum._KEPT_POWERS
