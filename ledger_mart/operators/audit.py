@@ -40,7 +40,7 @@ def output_gate(spark: SparkSession, path: str) -> DataFrame:
 def export_status(spark: SparkSession, path: str, batch_date: str) -> str:
     """What an export of ``batch_date`` will meet: no partition at all, a partition
     without Parquet files, or data."""
-    if not path_exists(spark, partition_path(current(spark, path), batch_date)):
+    if not path_exists(spark, partition_path(spark, current(spark, path), batch_date)):
         return "skipped"
     if file_inventory(spark, path, [batch_date]).isEmpty():
         return "empty"
