@@ -29,11 +29,14 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledger_mart.llm.common import extended, in_slices, joined, schema_of, small, written
@@ -50,7 +53,8 @@ _FIRST_WORD = 3
 _HELD = 300_000  # runs that a task gathers before it passes them on
 _HELD_WORDS = 200_000
 _DOCS = 256  # worked on at once
-_SIEVE_BITS = 27
+_SIEVE_BITS = (16, 27)  # the least and the most, along with the keys
+_SIEVE_CELLS = 64  # for each key, or more
 _CELL_BITS = (16, 27)  # the least and the most of the sieve that counts, along with the corpus
 _CHUNK = 1 << 20
 _TAIL = 1 << 62  # ids of words beyond the head begin here
@@ -129,12 +133,23 @@ def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield ids_in(batch.slice(at, _DOCS))
 
 
+@contextmanager
+def sent_to_tasks(spark: SparkSession, value: Any) -> Iterator[Broadcast]:
+    """A broadcast for jobs that end within the block. Its files, on the driver and on each executor that used it, go then."""
+    sent = spark.sparkContext.broadcast(value)
+    try:
+        yield sent
+    finally:
+        sent.destroy(blocking=True)
+
+
 def sieve_of(keys: DataFrame) -> np.ndarray:
     """Bits by the leading bits of the keys: 0 where there is none."""
-    slot = F.expr(f"shiftrightunsigned(key, {64 - _SIEVE_BITS + 6})").alias("slot")
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - _SIEVE_BITS}) & 63 as int))").alias("bit")
+    bits = min(max((keys.count() * _SIEVE_CELLS).bit_length(), _SIEVE_BITS[0]), _SIEVE_BITS[1])
+    slot = F.expr(f"shiftrightunsigned(key, {64 - bits + 6})").alias("slot")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))").alias("bit")
     found = keys.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
-    sieve = np.zeros(1 << (_SIEVE_BITS - 6), np.uint64)
+    sieve = np.zeros(1 << (bits - 6), np.uint64)
     sieve[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return sieve
 
@@ -163,14 +178,13 @@ def places(ids: np.ndarray, n: int, sieve: np.ndarray) -> tuple[np.ndarray, np.n
     return at, key[at]
 
 
-def counting_sieve(encoded: DataFrame, n: int, sieve: np.ndarray, total: int) -> np.ndarray:
+def counting_sieve(encoded: DataFrame, n: int, sent: Broadcast, total: int) -> np.ndarray:
     """Bits by the leading bits of the keys: 0 where all runs of ``n`` tokens together occur less than three times.
 
-    Each task counts in cells of two bits; they travel as compressed chunks and Spark adds them up,
+    ``sent`` holds the sieve of runs one token shorter. Each task counts in cells of two bits; they travel as compressed chunks and Spark adds them up,
     chunk by chunk, a row at a time.
     """
     bits = min(max(total.bit_length() + 1, _CELL_BITS[0]), _CELL_BITS[1])
-    sent = encoded.sparkSession.sparkContext.broadcast(sieve)
     names = ["chunk", "cells"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +240,17 @@ def counting_sieve(encoded: DataFrame, n: int, sieve: np.ndarray, total: int) ->
 
 def run_counts(encoded: DataFrame, n: int, least: int, sieve: np.ndarray, total: int) -> DataFrame:
     """(key, prefix, suffix, count) of the frequent runs of ``n`` > 1 tokens; the sieve is of those one token shorter."""
-    often_enough = counting_sieve(encoded, n, sieve, total) if least >= 3 else None
-    sent = encoded.sparkSession.sparkContext.broadcast((sieve, often_enough))
+    spark = encoded.sparkSession
+    with sent_to_tasks(spark, sieve) as sent:
+        with sent_to_tasks(spark, counting_sieve(encoded, n, sent, total) if least >= 3 else None) as sent_often:
+            return _run_counts(encoded, n, least, sent, sent_often)
+
+
+def _run_counts(encoded: DataFrame, n: int, least: int, sent: Broadcast, sent_often: Broadcast) -> DataFrame:
     names = [f"w{i}" for i in range(n)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (sieve, often_enough), held, size = sent.value, [], 0
+        sieve, often_enough, held, size = sent.value, sent_often.value, [], 0
 
         def out() -> pa.RecordBatch:
             found = np.concatenate([np.zeros((0, n + 1), np.int64), *held])
@@ -364,7 +383,7 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     spared = min(0.95, max(0.05, single / kinds)) if kinds else 0.5
     base = lambda c: np.log10((c + 1) / (total + kinds + 1))
     root = lambda c: np.log10(np.where(c > 0, np.maximum(c - spared, 1e-9), spared * max(kinds, 1)) / max(total, 1))
-    words_sent = docs.sparkSession.sparkContext.broadcast(head["word"].combine_chunks())
+    head_words = head["word"].combine_chunks()
     del head
     base_by_id, root_by_id = base(by_id), root(by_id)  # a rare word counts as unknown until the join
     base_by_id[START] = root_by_id[START] = 0.0
@@ -388,8 +407,6 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
             )
 
     schema = schema_of(named, [*keep, "taught"], "n_tokens long, n_known long, base double, root double, ids array<int>, tails array<bigint>")
-    encoded = written(named.mapInArrow(encode, schema).withColumn("_row", F.monotonically_increasing_id()), "encoded")
-
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keys of the words, as runs of one token and as words of the tail."""
         id_of = {w: i for i, w in enumerate(words_sent.value.to_pylist(), _FIRST_WORD)}
@@ -399,7 +416,10 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
             keys = [pa.array(_step(None, ids, length)) for length in (1, 0)]
             yield pa.record_batch([*keys, batch.column("count")], ["key", "word_key", "count"])
 
-    word_keys = written(counts.select("word", "count").mapInArrow(keyed, "key long, word_key long, count long"), "word_keys")
+    with sent_to_tasks(docs.sparkSession, head_words) as words_sent:
+        encoded = written(named.mapInArrow(encode, schema).withColumn("_row", F.monotonically_increasing_id()), "encoded")
+        word_keys = written(counts.select("word", "count").mapInArrow(keyed, "key long, word_key long, count long"), "word_keys")
+    del head_words
     ends_keys = _step(None, np.array([START, END]), 1).tolist() if ends else []
     singles = word_keys.select("key", "count").unionByName(docs.sparkSession.createDataFrame([(k, ends) for k in ends_keys], "key long, count long"))
     log_base = F.log10((F.col("count") + 1) / float(total + kinds + 1)) - float(base(np.array(0.0)))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -145,3 +146,22 @@ def test_the_threshold_does_not_rise_with_the_corpus(documents):
     rows = ["x " * 10_000] * 300 + ["p q"] * 4 + ["p", "q", "p q", "q p"]
     got = score(documents(rows, clash=False), F.col("doc_id") < 304)
     assert got[306]["score"] > got[307]["score"] + 5
+
+
+def test_what_was_sent_to_tasks_goes_when_its_jobs_end(documents, monkeypatch):
+    """Only what the returned rows still need is left on the disks."""
+    docs, left = documents(corpus()), []
+    context = type(docs.sparkSession.sparkContext)
+    make = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: left.append(make(self, value)) or left[-1])
+    rows = st.scored(docs, ~held_out("doc_id", 7))
+    assert len(left) > 6 and [b for b in left if os.path.exists(b._path)] == left[-1:]
+    assert rows.count() == len(corpus())
+
+
+def test_a_sieve_is_as_long_as_its_keys_need(spark):
+    keys = spark.range(100).selectExpr("xxhash64(id) as key")
+    sieve = st.sieve_of(keys)
+    assert len(sieve) == 1 << 10
+    assert st.passes(sieve, np.array([r["key"] for r in keys.collect()])).all()
+    assert len(st.sieve_of(spark.range(20_000).selectExpr("xxhash64(id) as key"))) == 1 << 15
