@@ -55,6 +55,7 @@ _HELD_WORDS = 200_000
 _DOCS = 256  # worked on at once
 _SIEVE_BITS = (16, 27)  # the least and the most, along with the keys
 _SIEVE_CELLS = 64  # for each key, or more
+_LOOKUP_CELLS = 512  # what passes by chance is shuffled to be looked up
 _CELL_BITS = (16, 27)  # the least and the most of the sieve that counts, along with the corpus
 _CHUNK = 1 << 20
 _TAIL = 1 << 62  # ids of words beyond the head begin here
@@ -143,9 +144,9 @@ def sent_to_tasks(spark: SparkSession, value: Any) -> Iterator[Broadcast]:
         sent.destroy(blocking=True)
 
 
-def sieve_of(keys: DataFrame) -> np.ndarray:
+def sieve_of(keys: DataFrame, cells: int = _SIEVE_CELLS) -> np.ndarray:
     """Bits by the leading bits of the keys: 0 where there is none."""
-    bits = min(max((keys.count() * _SIEVE_CELLS).bit_length(), _SIEVE_BITS[0]), _SIEVE_BITS[1])
+    bits = min(max((keys.count() * cells).bit_length(), _SIEVE_BITS[0]), _SIEVE_BITS[1])
     slot = F.expr(f"shiftrightunsigned(key, {64 - bits + 6})").alias("slot")
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))").alias("bit")
     found = keys.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -317,7 +318,7 @@ def corrections(encoded: DataFrame, weights: DataFrame, tail: DataFrame) -> Data
     fast = weights.where(F.col("count") >= fast_least).select("key", "value").toArrow()
     key, value = fast["key"].to_numpy(), fast["value"].to_numpy()
     order = np.argsort(key)
-    sent = encoded.sparkSession.sparkContext.broadcast((sieve_of(weights), key[order], value[order]))
+    sent = encoded.sparkSession.sparkContext.broadcast((sieve_of(weights, _LOOKUP_CELLS), key[order], value[order]))
     del fast, key, value, order
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
