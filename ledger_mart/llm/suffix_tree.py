@@ -16,6 +16,8 @@ The FAST most counted runs' weights are sent to the tasks, those of all others m
 in a join; the same join brings the counts of words beyond the HEAD most counted ones. Two sieves keep from the shuffles
 what cannot be frequent: one of the frequent runs a token shorter, and one that counts each run up to
 three, in cells that several runs may share. They may let more through and never lose a run.
+What is counted and looked up is shuffled as packed numbers, a row for each part of the keys and lot of documents;
+the number of parts grows with the corpus.
 
 Defined results: null and empty texts are the end token alone; without training documents every score
 is 0 and nothing is known; repeated rows get equal results; a row without id is scored
@@ -49,8 +51,9 @@ FAST = 2_000_000
 DISCOUNT = 0.75
 LOOSE = 4.0  # standard deviations by which a likelihood ratio must exceed its mean
 START, END, RARE = 0, 1, 2
+IDS = ["low", "high", "tails"]  # two bytes and one of each id, and the tail's
 _FIRST_WORD = 3
-_HELD = 300_000  # runs that a task gathers before it passes them on
+_HELD = 500_000  # runs that a task gathers before it passes them on
 _HELD_WORDS = 200_000
 _DOCS = 256  # worked on at once
 _SIEVE_BITS = (16, 27)  # the least and the most, along with the keys
@@ -58,6 +61,8 @@ _SIEVE_CELLS = 64  # for each key, or more
 _LOOKUP_CELLS = 512  # what passes by chance is shuffled to be looked up
 _CELL_BITS = (16, 27)  # the least and the most of the sieve that counts, along with the corpus
 _CHUNK = 1 << 20
+_COUNTED, _LOOKED_UP = 1 << 21, 1 << 23  # taught tokens for each part of the keys, up to twice as many
+_LOT = 1 << 15  # documents that ask together, at most
 _TAIL = 1 << 62  # ids of words beyond the head begin here
 _ODD, _ODDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -122,11 +127,46 @@ def tail_ids(words: Iterable[bytes]) -> list[int]:
 
 def ids_in(batch: pa.RecordBatch) -> np.ndarray:
     """The ids of the documents, one after another; the tail's take the places that are marked as rare."""
-    ids = batch.column("ids").flatten().to_numpy().astype(np.int64)
-    ids[ids == RARE] = batch.column("tails").flatten().to_numpy()
+    low, high, tails = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("low", "<u2"), ("high", "u1"), ("tails", "<i8")))
+    ids = low.astype(np.int64) | high.astype(np.int64) << 16
+    ids[ids == RARE] = tails
     return ids
 
 
+def by_place(numbers: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on, which Spark's shuffle compresses better."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def from_places(column: pa.ChunkedArray, of: str) -> list[np.ndarray]:
+    """The numbers of each row."""
+    size = np.dtype(of).itemsize
+    return [np.frombuffer(data.as_buffer(), np.uint8).reshape(size, -1).T.copy().view(of).ravel() for data in column]
+
+
+def parts_of(total: int, each: int) -> int:
+    """Leading bits of a key that name its part."""
+    return (total // each).bit_length() + 2
+
+
+def cuts(key: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(part, low, high) of keys in ascending order without sign."""
+    part = (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    low = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+    return list(zip(part[low].tolist(), low.tolist(), [*low[1:].tolist(), len(part)]))
+
+
+def in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the keys in ascending order without sign, equal ones as they come, and where each key begins there."""
+    order = np.argsort(key.view(np.uint64), kind="stable")
+    key = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+
+
+def in_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+
 def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """The ids of a few documents at a time."""
     for batch in batches:
@@ -230,7 +270,7 @@ def counting_sieve(encoded: DataFrame, n: int, sent: Broadcast, total: int) -> n
         if chunk is not None:
             yield out()
 
-    rows = encoded.where("taught").select("ids", "tails").mapInArrow(counted, "chunk int, cells binary")
+    rows = encoded.where("taught").select(*IDS).mapInArrow(counted, "chunk int, cells binary")
     merged = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, "chunk int, cells binary").toArrow()
     found = np.zeros(1 << (bits - 3), np.uint8)
     size = min(_CHUNK // 2, len(found))
@@ -244,19 +284,23 @@ def run_counts(encoded: DataFrame, n: int, least: int, sieve: np.ndarray, total:
     spark = encoded.sparkSession
     with sent_to_tasks(spark, sieve) as sent:
         with sent_to_tasks(spark, counting_sieve(encoded, n, sent, total) if least >= 3 else None) as sent_often:
-            return _run_counts(encoded, n, least, sent, sent_often)
+            return _run_counts(encoded, n, least, sent, sent_often, parts_of(total, _COUNTED))
 
 
-def _run_counts(encoded: DataFrame, n: int, least: int, sent: Broadcast, sent_often: Broadcast) -> DataFrame:
-    names = [f"w{i}" for i in range(n)]
+def _run_counts(encoded: DataFrame, n: int, least: int, sent: Broadcast, sent_often: Broadcast, bits: int) -> DataFrame:
+    own = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, often_enough, held, size = sent.value, sent_often.value, [], 0
 
         def out() -> pa.RecordBatch:
             found = np.concatenate([np.zeros((0, n + 1), np.int64), *held])
-            _, first, count = np.unique(found[:, n], return_index=True, return_counts=True)
-            return pa.record_batch([*(pa.array(found[first, i]) for i in range(n)), pa.array(count)], [*names, "count"])
+            order, first = in_order(np.ascontiguousarray(found[:, n]))
+            count = np.diff(np.append(first, len(order)))
+            found = found[order[first]]
+            return in_rows([
+                (part, by_place(found[low:high, :n].T.ravel()), by_place(count[low:high])) for part, low, high in cuts(np.ascontiguousarray(found[:, n]), bits)
+            ], own)
 
         for ids in ids_of(batches):
             at, key = places(ids, n, sieve)
@@ -270,16 +314,18 @@ def _run_counts(encoded: DataFrame, n: int, least: int, sent: Broadcast, sent_of
                 held, size = [], 0
         yield out()
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [batch.column(c).to_numpy() for c in names]
-            key = key_of(ids)
-            ends = (key_of(ids[:-1]), key_of(ids[1:]))
-            yield pa.record_batch([pa.array(key), *map(pa.array, ends), batch.column("count")], ["key", "prefix", "suffix", "count"])
+    def summed(rows: pa.Table) -> pa.Table:
+        ids = np.concatenate([x.reshape(n, -1) for x in from_places(rows["ids"], "<i8")], axis=1)
+        key, count = key_of(list(ids)), np.concatenate(from_places(rows["counts"], "<i8"))
+        order, first = in_order(key)
+        count = np.add.reduceat(count[order], first)
+        often = count >= least
+        first, count = order[first[often]], count[often]
+        ids = [own[first] for own in ids]
+        return pa.table({"key": key[first], "prefix": key_of(ids[:-1]), "suffix": key_of(ids[1:]), "count": count})
 
-    rows = encoded.where("taught").select("ids", "tails").mapInArrow(counted, ", ".join(f"{c} long" for c in [*names, "count"]))
-    often = rows.groupBy(*names).agg(F.sum("count").alias("count")).where(F.col("count") >= least)
-    return written(often.mapInArrow(keyed, "key long, prefix long, suffix long, count long"), f"runs{n}")
+    rows = encoded.where("taught").select(*IDS).mapInArrow(counted, "part int, ids binary, counts binary")
+    return written(rows.groupBy("part").applyInArrow(summed, "key long, prefix long, suffix long, count long"), f"runs{n}")
 
 
 def weights_of(encoded: DataFrame, singles: DataFrame, least: int, spared: float, total: int) -> DataFrame:
@@ -311,47 +357,124 @@ def weights_of(encoded: DataFrame, singles: DataFrame, least: int, spared: float
     return written(both, "weights")
 
 
-def corrections(encoded: DataFrame, weights: DataFrame, tail: DataFrame) -> DataFrame:
-    """(_row, more, base, known): the sum of the weights of the runs in each text, and of what ``tail`` (key, more, base, known)
-    has for its words beyond the head."""
+def in_parts(given: DataFrame, bits: int, first: int) -> DataFrame:
+    """(part, keys, more, base): the rows (key, more, base) of a part of the keys together, some at a time; parts count from ``first``."""
+    own = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "more", "base"))])
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        key, more, base = (rows[c].to_numpy() for c in ("key", "more", "base"))
+        order, _ = in_order(key)
+        key, more, base = key[order], more[order], base[order]
+        return in_rows([(first + part, *(by_place(x[low:high]) for x in (key, more, base))) for part, low, high in cuts(key, bits)], own)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) > _HELD:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
+
+    return given.select("key", "more", "base").mapInArrow(packed, "part int, keys binary, more binary, base binary")
+
+
+def corrections(encoded: DataFrame, weights: DataFrame, tail: DataFrame, total: int) -> DataFrame:
+    """(_row, more, base, known): the sum of the weights of the runs in each text, and of what ``tail`` (key, more, base)
+    has for its words beyond the head.
+
+    A lot of documents asks each part of the keys once, each key once for all its documents, and is answered
+    with sums for each document. Its own row, in parts below 0, has the documents and the sums of what was sent.
+    """
+    bits = parts_of(total, _LOOKED_UP)
     fast_least = head_threshold(weights, FAST)
     fast = weights.where(F.col("count") >= fast_least).select("key", "value").toArrow()
     key, value = fast["key"].to_numpy(), fast["value"].to_numpy()
     order = np.argsort(key)
     sent = encoded.sparkSession.sparkContext.broadcast((sieve_of(weights, _LOOKUP_CELLS), key[order], value[order]))
     del fast, key, value, order
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asks = pa.schema([("part", pa.int32()), ("lot", pa.int64()), *((c, pa.binary()) for c in ("keys", "times", "docs", "given"))])
+    answers = pa.schema([("part", pa.int32()), ("lot", pa.int64()), *((c, pa.binary()) for c in ("docs", "more", "base", "known"))])
+
+    def out(held: list[tuple[np.ndarray, np.ndarray, list, list]]) -> pa.RecordBatch:
+        rows, given, *asked = zip(*held)
+        rows, lot = np.concatenate(rows), int(rows[0][0])
+        found = [(-1 - lot % (1 << bits), lot, by_place(rows), b"", b"", by_place(np.concatenate(given)))]
+        for first, own in zip((0, 1 << bits), asked):
+            doc, key = (np.concatenate(x) for x in zip(*(pair for some in own for pair in some)))
+            order, at = in_order(key)
+            doc, key, at = doc[order].astype("<u2"), key[order[at]], np.append(at, len(order))
+            for part, low, high in cuts(key, bits):
+                times = np.diff(at[low : high + 1]).astype("<u4")
+                found.append((first + part, lot, by_place(key[low:high]), by_place(times), by_place(doc[at[low] : at[high]]), b""))
+        return in_rows(found, asks)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, fast, value = sent.value
+        held, docs, size = [], 0, 0
         for batch in batches:
             for at in range(0, len(batch), _DOCS):
-                lot = batch.slice(at, _DOCS)
-                ids, rows = ids_in(lot), lot.column("_row").to_numpy()
-                row = np.repeat(rows, np.diff(lot.column("ids").offsets.to_numpy()))
+                part = batch.slice(at, _DOCS)
+                ids, rows = ids_in(part), part.column("_row").to_numpy()
+                starts = np.flatnonzero(ids == START)
+                doc = docs + np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(ids))))
                 more = np.zeros(len(ids))
                 beyond = np.flatnonzero(ids >= _TAIL)
-                asked = [(row[beyond], _step(None, ids[beyond], 0))]
+                words, asked = [(doc[beyond], _step(None, ids[beyond], 0))], []
                 for key, ok in runs(ids, DEPTH + 1):
                     some = np.flatnonzero(ok & passes(sieve, key))
                     own = key[some]
                     place = np.minimum(np.searchsorted(fast, own), max(len(fast) - 1, 0))
                     known = fast[place] == own if len(fast) else np.zeros(len(own), bool)
                     more[some[known]] += value[place[known]]
-                    asked.append((row[some[~known]], own[~known]))
-                own = np.add.reduceat(more, np.flatnonzero(ids == START)) if len(ids) else more
-                row, key = (np.concatenate(x) for x in zip(*asked))
-                given = pa.array(np.concatenate([own, np.zeros(len(row))]), mask=np.arange(len(own) + len(row)) >= len(own))
-                rows, key = np.concatenate([rows, row]), np.concatenate([_step(None, rows, 0), key])
-                yield pa.record_batch([pa.array(rows), pa.array(key), given], ["_row", "key", "given"])
-
-    met = encoded.select("_row", "ids", "tails").mapInArrow(summed, "_row long, key long, given double")
-    none = [F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known")]
-    slow = weights.where(F.col("count") < fast_least).select("key", F.col("value").alias("more"), *none)
-    both = joined(met, slow.unionByName(tail), ["key"], "left")
-    # a row that gives a text's own sum asks for nothing
-    sums = [F.sum(F.coalesce("given", "more", F.lit(0.0))).alias("more")]
-    sums += [F.sum(F.when(F.col("given").isNull(), F.coalesce(c, F.lit(0)))).alias(c) for c in ("base", "known")]
-    return both.groupBy("_row").agg(*sums)
+                    asked.append((doc[some[~known]], own[~known]))
+                held.append((rows, np.add.reduceat(more, starts), asked, words))
+                docs, size = docs + len(rows), size + sum(len(key) for _, key in asked + words)
+                if size > _HELD or docs > _LOT:
+                    yield out(held)
+                    held, docs, size = [], 0, 0
+        if held:
+            yield out(held)
+
+    def answer(asked: pa.Table, given: pa.Table) -> pa.Table:
+        key, more, base = (np.concatenate([np.zeros(0, of), *from_places(given[c], of)]) for c, of in (("keys", "<i8"), ("more", "<f8"), ("base", "<f8")))
+        order, _ = in_order(key)
+        key, more, base = key[order].view(np.uint64), more[order], base[order]
+        columns = (from_places(asked[c], of) for c, of in (("keys", "<u8"), ("times", "<u4"), ("docs", "<u2"), ("given", "<f8")))
+        found = []
+        for part, lot, own, times, doc, sums in zip(asked["part"].to_pylist(), asked["lot"].to_pylist(), *columns):
+            if part < 0:
+                found.append((part, lot, by_place(own), by_place(sums), b"", b""))
+                continue
+            place = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
+            met = key[place] == own if len(key) else np.zeros(len(own), bool)
+            some = np.repeat(met, times)
+            place, doc = np.repeat(place[met], times[met]), doc[some]
+            known = np.bincount(doc)
+            docs = np.flatnonzero(known)
+            if len(docs):
+                sums = [by_place(x[docs]) for x in (np.bincount(doc, more[place]), np.bincount(doc, base[place]), known)] if part >= 1 << bits else [by_place(np.bincount(doc, more[place])[docs]), b"", b""]
+                found.append((part, lot, by_place(docs.astype("<u2")), *sums))
+        return pa.Table.from_batches([in_rows(found, answers)])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")  # sums of equal texts are equal to the last bit
+        docs, more, base, known = rows["docs"], *(from_places(rows[c], of) for c, of in (("more", "<f8"), ("base", "<f8"), ("known", "<i8")))
+        own = from_places(docs.slice(0, 1), "<i8")[0]
+        sums = [more[0], np.zeros(len(own)), np.zeros(len(own), np.int64)]
+        for i, at in enumerate(from_places(docs.slice(1), "<u2"), 1):
+            for total, x in zip(sums, (more[i], base[i], known[i])):
+                if len(x):
+                    total[at] += x
+        return pa.table(dict(zip(("_row", "more", "base", "known"), (own, *sums))))
+
+    met = encoded.select("_row", *IDS).mapInArrow(ask, "part int, lot long, keys binary, times binary, docs binary, given binary")
+    slow = weights.where(F.col("count") < fast_least).select("key", F.col("value").alias("more"), F.lit(0.0).alias("base"))
+    given = in_parts(slow, bits, 0).unionByName(in_parts(tail, bits, 1 << bits))
+    both = met.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(answer, "part int, lot long, docs binary, more binary, base binary, known binary")
+    return both.groupBy("lot").applyInArrow(summed, "_row long, more double, base double, known long")
 
 
 def head_threshold(counts: DataFrame, most: int) -> int:
@@ -392,22 +515,27 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     known_by_id[[START, RARE]] = False
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_of = {w: i for i, w in enumerate(words_sent.value.to_pylist(), _FIRST_WORD)}
+        class Ids(dict):
+            def __missing__(self, word: bytes) -> int:
+                return RARE
+
+        id_of = Ids((w, i) for i, w in enumerate(words_sent.value.to_pylist(), _FIRST_WORD))
         for batch in in_slices(batches, 2 << 20):
             out = []
             for text in batch.column("text"):
                 words = tokens(text.as_py())
-                ids = np.fromiter((id_of.get(w, RARE) for w in words), np.int32, len(words))
+                ids = np.fromiter(map(id_of.__getitem__, words), np.int32, len(words))
                 tails = tail_ids(words[i] for i in np.flatnonzero(ids == RARE).tolist())
                 ids = np.concatenate([[START], ids, [END]]).astype(np.int32)
-                out.append((len(words) + 1, int(known_by_id[ids].sum()), float(base_by_id[ids].sum()), float(root_by_id[ids].sum()), ids, tails))
-            n, known, base, root, ids, tails = zip(*out) if out else [()] * 6
+                own = (ids.astype("<u2").tobytes(), (ids >> 16).astype("u1").tobytes(), np.array(tails, "<i8").tobytes())
+                out.append((len(words) + 1, int(known_by_id[ids].sum()), float(base_by_id[ids].sum()), float(root_by_id[ids].sum()), *own))
+            n, known, base, root, *own = zip(*out) if out else [()] * 7
             yield extended(
                 batch, [*keep, "taught"], n_tokens=pa.array(n, pa.int64()), n_known=pa.array(known, pa.int64()), base=pa.array(base, pa.float64()),
-                root=pa.array(root, pa.float64()), ids=pa.array(ids, pa.list_(pa.int32())), tails=pa.array(tails, pa.list_(pa.int64())),
+                root=pa.array(root, pa.float64()), **{c: pa.array(x, pa.binary()) for c, x in zip(IDS, own)},
             )
 
-    schema = schema_of(named, [*keep, "taught"], "n_tokens long, n_known long, base double, root double, ids array<int>, tails array<bigint>")
+    schema = schema_of(named, [*keep, "taught"], "n_tokens long, n_known long, base double, root double, low binary, high binary, tails binary")
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keys of the words, as runs of one token and as words of the tail."""
         id_of = {w: i for i, w in enumerate(words_sent.value.to_pylist(), _FIRST_WORD)}
@@ -426,10 +554,10 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     log_base = F.log10((F.col("count") + 1) / float(total + kinds + 1)) - float(base(np.array(0.0)))
     log_root = F.log(F.greatest(F.col("count") - spared, F.lit(1e-9)) / max(total, 1)) - float(root(np.array(0.0))) * math.log(10)
     tail = word_keys.where(F.col("count") < head_least).select(
-        F.col("word_key").alias("key"), log_root.alias("more"), log_base.alias("base"), F.lit(1).cast("long").alias("known")
+        F.col("word_key").alias("key"), log_root.alias("more"), log_base.alias("base")
     )
-    more = corrections(encoded, weights_of(encoded, singles, least, spared, total), tail).withColumnsRenamed({"base": "r_base", "known": "r_known"})
-    both = joined(encoded.drop("ids", "tails"), more, ["_row"])
+    more = corrections(encoded, weights_of(encoded, singles, least, spared, total), tail, total).withColumnsRenamed({"base": "r_base", "known": "r_known"})
+    both = joined(encoded.drop(*IDS), more, ["_row"])
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     nothing = F.lit(total == 0)
     return both.select(

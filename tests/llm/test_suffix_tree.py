@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from ledger_mart.llm import suffix_tree as st
@@ -165,3 +166,14 @@ def test_a_sieve_is_as_long_as_its_keys_need(spark):
     assert len(sieve) == 1 << 10
     assert st.passes(sieve, np.array([r["key"] for r in keys.collect()])).all()
     assert len(st.sieve_of(spark.range(20_000).selectExpr("xxhash64(id) as key"))) == 1 << 15
+
+
+def test_lookups_are_shuffled_by_lots_of_documents(documents, monkeypatch):
+    """Not a row for each occurrence of a run whose weight isn't sent."""
+    asked, cogroup = [], GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda self, other: asked.append(self._df) or cogroup(self, other))
+    monkeypatch.setattr(st, "FAST", 0)
+    docs = documents(corpus())
+    assert st.scored(docs, ~held_out("doc_id", 7)).count() == len(corpus())
+    tokens = sum(len(words(t)) for t in corpus())
+    assert len(asked) == 1 and 0 < asked[0].count() <= 9 * docs.rdd.getNumPartitions() < tokens / 10
