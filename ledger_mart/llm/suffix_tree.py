@@ -29,14 +29,15 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import reduce
+from itertools import chain
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ START, END, RARE = 0, 1, 2
 IDS = ["low", "high", "tails"]  # two bytes and one of each id, and the tail's
 _FIRST_WORD = 3
 _HELD = 500_000  # runs that a task gathers before it passes them on
-_HELD_WORDS = 200_000
+_HELD_WORDS = 300_000
 _DOCS = 256  # worked on at once
 _SIEVE_BITS = (16, 27)  # the least and the most, along with the keys
 _SIEVE_CELLS = 64  # for each key, or more
@@ -75,18 +76,22 @@ def tokens(text: str | None) -> list[bytes]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, count) over the texts, each task summing up first."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held, size = [], 0
+        for batch in in_slices(batches, 2 << 20):
+            words, counts = pc.value_counts(pa.array(chain.from_iterable(map(tokens, batch.column("text").to_pylist())), pa.binary())).flatten()
+            held.append(pa.table([words, counts], ["word", "count"]))
+            size += len(words)
+            if size > 2 * _HELD_WORDS:
+                held = [summed(held)]
+                size = len(held[0])
+                if size > _HELD_WORDS:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from summed(held).to_batches()
 
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "count"])
-
-        for batch in in_slices(batches, 1 << 20):
-            for text in batch.column("text").to_pylist():
-                counts.update(tokens(text))
-            if len(counts) > _HELD_WORDS:
-                yield out()
-                counts.clear()
-        yield out()
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("count", "sum")]).select(["word", "count_sum"]).rename_columns(["word", "count"])
 
     return docs.select("text").mapInArrow(counted, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
@@ -167,6 +172,12 @@ def in_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
+def bytes_in_rows(numbers: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The numbers as bytes, so many for each row."""
+    ends = np.concatenate([[0], np.cumsum(lengths * numbers.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(numbers.tobytes())])
+
+
 def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """The ids of a few documents at a time."""
     for batch in batches:
@@ -425,6 +436,7 @@ def corrections(encoded: DataFrame, weights: DataFrame, tail: DataFrame, total:
                 words, asked = [(doc[beyond], _step(None, ids[beyond], 0))], []
                 for key, ok in runs(ids, DEPTH + 1):
                     some = np.flatnonzero(ok & passes(sieve, key))
+                    some = some[np.argsort(key[some])]  # a search in order keeps to the processor's cache
                     own = key[some]
                     place = np.minimum(np.searchsorted(fast, own), max(len(fast) - 1, 0))
                     known = fast[place] == own if len(fast) else np.zeros(len(own), bool)
@@ -515,24 +527,22 @@ def scored(docs: DataFrame, taught: Column, keep: list[str] | None = None) -> Da
     known_by_id[[START, RARE]] = False
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class Ids(dict):
-            def __missing__(self, word: bytes) -> int:
-                return RARE
-
-        id_of = Ids((w, i) for i, w in enumerate(words_sent.value.to_pylist(), _FIRST_WORD))
         for batch in in_slices(batches, 2 << 20):
-            out = []
-            for text in batch.column("text"):
-                words = tokens(text.as_py())
-                ids = np.fromiter(map(id_of.__getitem__, words), np.int32, len(words))
-                tails = tail_ids(words[i] for i in np.flatnonzero(ids == RARE).tolist())
-                ids = np.concatenate([[START], ids, [END]]).astype(np.int32)
-                own = (ids.astype("<u2").tobytes(), (ids >> 16).astype("u1").tobytes(), np.array(tails, "<i8").tobytes())
-                out.append((len(words) + 1, int(known_by_id[ids].sum()), float(base_by_id[ids].sum()), float(root_by_id[ids].sum()), *own))
-            n, known, base, root, *own = zip(*out) if out else [()] * 7
+            texts = [tokens(text) for text in batch.column("text").to_pylist()]
+            words, n = list(chain.from_iterable(texts)), np.array([len(own) for own in texts])
+            own = pc.index_in(pa.array(words, pa.binary()), value_set=words_sent.value).fill_null(RARE - _FIRST_WORD).to_numpy() + _FIRST_WORD
+            starts = np.cumsum(n + 2) - n - 2
+            ids, within = np.empty(len(words) + 2 * len(n), np.int32), np.ones(len(words) + 2 * len(n), bool)
+            ids[starts], ids[starts + n + 1] = START, END
+            within[starts] = within[starts + n + 1] = False
+            ids[within] = own
+            rare = np.flatnonzero(own == RARE)
+            tails = np.array(tail_ids(words[i] for i in rare.tolist()), "<i8")
+            n_tails = np.bincount(np.repeat(np.arange(len(n)), n)[rare], minlength=len(n))
+            known, base, root = (np.add.reduceat(x[ids], starts) for x in (known_by_id.astype(np.int64), base_by_id, root_by_id))
             yield extended(
-                batch, [*keep, "taught"], n_tokens=pa.array(n, pa.int64()), n_known=pa.array(known, pa.int64()), base=pa.array(base, pa.float64()),
-                root=pa.array(root, pa.float64()), **{c: pa.array(x, pa.binary()) for c, x in zip(IDS, own)},
+                batch, [*keep, "taught"], n_tokens=pa.array(n + 1), n_known=pa.array(known), base=pa.array(base), root=pa.array(root),
+                low=bytes_in_rows(ids.astype("<u2"), n + 2), high=bytes_in_rows((ids >> 16).astype("u1"), n + 2), tails=bytes_in_rows(tails, n_tails),
             )
 
     schema = schema_of(named, [*keep, "taught"], "n_tokens long, n_known long, base double, root double, low binary, high binary, tails binary")
